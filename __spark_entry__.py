@@ -19,7 +19,7 @@ from downfield.functions.labels import formation_label, injury_type, short_name,
 from downfield.operators import charting, lookups, players, recovery, search, sql, status, teams  # noqa: E402
 from downfield.plans.build import load_datasets  # noqa: E402
 from downfield.sources.ledger import latest_loads, pending_seasons  # noqa: E402
-from downfield.sources.load import load_seasonal, table_reader  # noqa: E402
+from downfield.sources.load import file_reader, load_seasonal  # noqa: E402
 from downfield.sources.registry import DATASETS, Dataset  # noqa: E402
 from downfield.sources.tables import append_by_name, prepare_plays  # noqa: E402
 from downfield.sources.warehouse import Warehouse  # noqa: E402
@@ -141,16 +141,17 @@ def _season_load(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     warehouse = Warehouse(spark, scratch(spark))
     load_seasonal(warehouse, DATASETS["injuries"], read, range(2018, 2023))
-    load_seasonal(warehouse, DATASETS["injuries"], read, range(2021, 2024), fresh=True)
+    load_seasonal(warehouse, DATASETS["injuries"], read, range(2021, 2024))
     return warehouse.read("injuries")
 
 
 def _loaded_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Load all sample tables, build the derived ones and list what the catalog shows."""
-    names = {"plays": "pbp"}
-    frames = {names.get(t, t): samples.load(spark, sf_dir, t) for t in samples.TABLES}
-    warehouse = Warehouse(spark, scratch(spark))
-    load_datasets(warehouse, table_reader(frames), frames, start=2018, end=2024)
+    root = scratch(spark)
+    samples.write_sources(spark, sf_dir, f"{root}/sources")
+    warehouse = Warehouse(spark, f"{root}/tables")
+    names = [d.dataset_id for d in DATASETS.values() if d.table in samples.TABLES]
+    load_datasets(warehouse, file_reader(spark, f"{root}/sources"), names, start=2018, end=2024)
     catalog = status.catalog(warehouse.ledger.latest())
     return catalog.select("dataset_id", "table_name", "total_rows", "seasons_loaded", "min_season", "max_season")
 

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 
 from downfield.operators import players, recovery, teams
-from downfield.sources.load import Loaded, Reader, load_dataset
+from downfield.sources.load import Loaded, Reader, load_dataset, wanted_seasons
 from downfield.sources.registry import known_datasets, season_range
 from downfield.sources.warehouse import Warehouse
 
@@ -47,19 +47,15 @@ PLAYER_TABLES = [
 def build_tables(warehouse: Warehouse, derived: Iterable[Derived], record: bool) -> list[Loaded]:
     """Write each table anew from its sources; a table with a missing source is passed over."""
     results = []
-    schemas = warehouse.schemas()
     for item in derived:
-        missing = [s for s in item.sources if s not in schemas]
+        missing = [s for s in item.sources if not warehouse.exists(s)]
         if missing:
             results.append(Loaded(item.table, None, 0, f"skipped, missing {', '.join(missing)}"))
             continue
-        frame = item.build(*[warehouse.read(s, schemas[s]) for s in item.sources])
-        warehouse.replace(item.table, frame)
-        schemas[item.table] = frame.schema
-        # Row counts come from file footers.
-        rows = warehouse.read(item.table, frame.schema).count()
+        frame = item.build(*[warehouse.read(s) for s in item.sources])
+        rows = warehouse.replace(item.table, frame)
         if record:
-            warehouse.ledger.record(item.table, item.table, "derived", rows)
+            warehouse.ledger.record(item.table, item.table, "derived", {None: rows})
         results.append(Loaded(item.table, None, rows, "built"))
     return results
 
@@ -87,8 +83,9 @@ def load_datasets(
     seasons = season_range(start, end)
     datasets, unknown = known_datasets(dataset_ids)
     results = [Loaded(name, None, 0, "unknown dataset") for name in unknown]
+    wanted = wanted_seasons(warehouse, datasets, seasons, fresh)
     for dataset in sorted(datasets, key=lambda d: d.table != "plays"):
-        results += load_dataset(warehouse, dataset, read, seasons, fresh)
+        results += load_dataset(warehouse, dataset, read, wanted[dataset.dataset_id])
         if build and dataset.table == "plays":
             results += build_team_tables(warehouse)
     if build:

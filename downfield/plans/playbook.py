@@ -13,16 +13,15 @@ class Playbook:
 
     def __init__(self, spark: SparkSession, root: str):
         self.warehouse = Warehouse(spark, root)
-        self._schemas = self.warehouse.schemas()
         self._sql_session: SparkSession | None = None
 
     def table(self, name: str) -> DataFrame:
-        return self.warehouse.read(name, self._schemas.get(name))
+        return self.warehouse.read(name)
 
     def schema(self, table: str | None = None) -> list[str] | list[tuple[str, str]]:
         """The table names, or the (column, type) pairs of one table."""
         if table is None:
-            return sorted(name for name in self._schemas if not name.startswith("_"))
+            return self.warehouse.tables()
         return self.table(table).dtypes
 
     def status(self) -> dict[str, DataFrame]:
@@ -37,8 +36,8 @@ class Playbook:
             session = self.warehouse.spark.newSession()
             session.conf.set("spark.sql.runSQLOnFiles", "false")
             views = Warehouse(session, self.warehouse.root)
-            for name, schema in self._schemas.items():
-                views.read(name, schema).createOrReplaceTempView(name)
+            for name in views.tables():
+                views.read(name).createOrReplaceTempView(name)
             views.ledger.latest().createOrReplaceTempView("_ingest_metadata")
             self._sql_session = session
         return sql.capped_query(self._sql_session, text, max_rows)

@@ -54,15 +54,18 @@ class Ledger:
     def latest(self) -> DataFrame:
         return latest_loads(self.log())
 
-    def record(self, dataset_id: str, table: str, loader: str, rows: int, season: int | None = None) -> None:
-        entry = (dataset_id, table, season, rows, datetime.now(timezone.utc), loader)
-        self.spark.createDataFrame([entry], LEDGER_SCHEMA).coalesce(1).write.mode("append").parquet(self.path)
-
-    def pending(self, dataset_id: str, seasons: list[int | None]) -> list[int | None]:
-        """Which of the seasons still have to be loaded, in the given order."""
-        pairs = self.spark.createDataFrame([(dataset_id, s) for s in seasons], "dataset_id string, season int")
-        missing = {row.season for row in pending_seasons(pairs, self.log()).collect()}
-        return [s for s in seasons if s in missing]
+    def record(self, dataset_id: str, table: str, loader: str, rows: dict[int | None, int]) -> None:
+        """Note the row count per loaded season (None for a dataset without seasons)."""
+        now = datetime.now(timezone.utc)
+        entries = [(dataset_id, table, season, count, now, loader) for season, count in rows.items()]
+        self.spark.createDataFrame(entries, LEDGER_SCHEMA).coalesce(1).write.mode("append").parquet(self.path)
+
+    def pending(self, requested: dict[str, list[int | None]]) -> dict[str, list[int | None]]:
+        """The seasons still to be loaded per dataset, in the given order."""
+        pairs = [(dataset_id, season) for dataset_id, seasons in requested.items() for season in seasons]
+        wanted = self.spark.createDataFrame(pairs, "dataset_id string, season int")
+        missing = {(row.dataset_id, row.season) for row in pending_seasons(wanted, self.log()).collect()}
+        return {d: [s for s in seasons if (d, s) in missing] for d, seasons in requested.items()}
 
     def is_loaded(self, dataset_id: str, season: int | None = None) -> bool:
-        return not self.pending(dataset_id, [season])
+        return not self.pending({dataset_id: [season]})[dataset_id]

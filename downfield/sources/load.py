@@ -4,18 +4,21 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from downfield.sources.registry import Dataset
-from downfield.sources.tables import prepare_plays, safe_names, with_stored_types
+from downfield.sources.tables import merged_schema, prepare_plays, safe_names, with_stored_types
 from downfield.sources.warehouse import Warehouse
 
 # (dataset, season or None) -> rows of the source
 Reader = Callable[[Dataset, int | None], DataFrame]
 
+_SOURCE_ERRORS = (PySparkException, OSError, KeyError, ValueError, RuntimeError)
+
 
 @dataclass(frozen=True)
 class Loaded:
@@ -27,22 +30,16 @@ class Loaded:
     outcome: str
 
 
-def file_reader(spark: SparkSession, root: str, format: str = "parquet", **options: str) -> Reader:
-    """Reads `<root>/<dataset>/<season>` for seasonal datasets and `<root>/<dataset>` for the others."""
-
-    def read(dataset: Dataset, season: int | None) -> DataFrame:
-        path = f"{root}/{dataset.dataset_id}" if season is None else f"{root}/{dataset.dataset_id}/{season}"
-        return spark.read.format(format).options(**options).load(path)
-
-    return read
-
-
-def table_reader(frames: dict[str, DataFrame]) -> Reader:
-    """Reads from DataFrames at hand, named by dataset id; seasonal ones are cut by their season."""
+def file_reader(
+    spark: SparkSession, root: str, format: str = "parquet", pattern: str = "{root}/{dataset}/season={season}",
+    **options: str,
+) -> Reader:
+    """Reads one path per dataset and season, and `<root>/<dataset>` for datasets without seasons."""
 
     def read(dataset: Dataset, season: int | None) -> DataFrame:
-        frame = frames[dataset.dataset_id]
-        return frame if season is None else frame.where(F.col("season") == season)
+        path = pattern if dataset.seasonal else "{root}/{dataset}"
+        location = path.format(root=root, dataset=dataset.dataset_id, season=season)
+        return spark.read.format(format).options(**options).load(location)
 
     return read
 
@@ -52,69 +49,110 @@ def _read_rows(read: Reader, dataset: Dataset, season: int | None) -> DataFrame:
     return prepare_plays(rows) if dataset.table == "plays" else rows
 
 
-def load_seasonal(
-    warehouse: Warehouse, dataset: Dataset, read: Reader, seasons: Iterable[int], fresh: bool = False
-) -> list[Loaded]:
-    """Load the covered seasons that are not loaded yet, or all covered ones if `fresh`.
+def wanted_seasons(
+    warehouse: Warehouse, datasets: Iterable[Dataset], seasons: Iterable[int], fresh: bool = False
+) -> dict[str, list[int | None]]:
+    """Per dataset, the covered seasons that are not loaded yet, or all covered ones if `fresh`.
 
-    Every season is a job of its own, so a season that cannot be read, or has no rows, is passed
-    over and leaves the others, and what is stored for it, untouched.
+    A dataset without seasons counts as one season, None.
     """
-    covered = [s for s in seasons if dataset.covers(s)]
-    wanted = covered if fresh else warehouse.ledger.pending(dataset.dataset_id, covered)
-    results = []
-    for season in covered:
-        if season not in wanted:
-            results.append(Loaded(dataset.dataset_id, season, 0, "already loaded"))
-            continue
+    seasons = list(seasons)
+    covered = {d.dataset_id: [s for s in seasons if d.covers(s)] if d.seasonal else [None] for d in datasets}
+    return covered if fresh else warehouse.ledger.pending(covered)
+
+
+def load_seasonal(warehouse: Warehouse, dataset: Dataset, read: Reader, seasons: Iterable[int]) -> list[Loaded]:
+    """Load the given seasons of a dataset and replace what is stored for them.
+
+    A season that cannot be read, or has no rows, is passed over and leaves the others, and what is
+    stored for it, untouched.
+    """
+    results, frames = [], {}
+    for season in seasons:
         try:
-            results.append(_load_season(warehouse, dataset, read, season))
-        except (PySparkException, OSError, KeyError, RuntimeError) as error:
+            frames[season] = _read_rows(read, dataset, season)
+        except _SOURCE_ERRORS as error:
             results.append(Loaded(dataset.dataset_id, season, 0, f"failed: {error}"))
-    return results
-
-
-def _load_season(warehouse: Warehouse, dataset: Dataset, read: Reader, season: int) -> Loaded:
-    rows = _read_rows(read, dataset, season)
-    # One narrow scan: the season's directory is replaced as a whole, so rows of others must not be in it.
-    foreign = F.count_if(~F.col("season").cast("int").eqNullSafe(season)) if "season" in rows.columns else F.lit(0)
-    check = rows.agg(F.count(F.lit(1)).alias("rows"), foreign.alias("foreign")).first()
-    if check.rows == 0:
-        return Loaded(dataset.dataset_id, season, 0, "no rows")
-    if check.foreign:
-        raise RuntimeError(f"{check.foreign} rows belong to another season than {season}")
-    warehouse.replace_season(dataset.table, rows, season)
-    warehouse.ledger.record(dataset.dataset_id, dataset.table, dataset.loader, check.rows, season)
-    return Loaded(dataset.dataset_id, season, check.rows, "loaded")
-
-
-def load_static(warehouse: Warehouse, dataset: Dataset, read: Reader, fresh: bool = False) -> Loaded:
-    """Replace a dataset without seasons, unless it is loaded already."""
-    if not fresh and warehouse.ledger.is_loaded(dataset.dataset_id):
-        return Loaded(dataset.dataset_id, None, 0, "already loaded")
+    if frames:
+        results += _load_seasons(warehouse, dataset, frames)
+    return sorted(results, key=lambda result: result.season)
+
+
+def _load_seasons(warehouse: Warehouse, dataset: Dataset, frames: dict[int, DataFrame]) -> list[Loaded]:
+    """All seasons as one job; if that fails, each season on its own."""
+    try:
+        return _load_together(warehouse, dataset, frames)
+    except _SOURCE_ERRORS as error:
+        if len(frames) == 1:
+            return [Loaded(dataset.dataset_id, season, 0, f"failed: {error}") for season in frames]
+    return [
+        result for season, frame in frames.items() for result in _load_seasons(warehouse, dataset, {season: frame})
+    ]
+
+
+def _load_together(warehouse: Warehouse, dataset: Dataset, frames: dict[int, DataFrame]) -> list[Loaded]:
+    counts = _count_rows(frames)
+    filled = [season for season, rows in counts.items() if rows]
+    if filled:
+        schema = warehouse.schema(dataset.table)
+        parts = []
+        for season in filled:
+            body = with_stored_types(frames[season].drop("season"), schema)
+            parts.append(body.withColumn("season", F.lit(season).cast("int")))
+            schema = merged_schema(schema, parts[-1].schema)
+        rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+        warehouse.replace_seasons(dataset.table, rows, dataset.sort_by)
+        warehouse.ledger.record(dataset.dataset_id, dataset.table, dataset.loader, {s: counts[s] for s in filled})
+    return [
+        Loaded(dataset.dataset_id, season, rows, "loaded" if rows else "no rows") for season, rows in counts.items()
+    ]
+
+
+def _count_rows(frames: dict[int, DataFrame]) -> dict[int, int]:
+    """Rows per season, from one scan of the season column.
+
+    A season is replaced as a whole, so rows of another season in its frame are an error.
+    """
+    labels = [
+        frame.select(
+            F.lit(season).alias("wanted"),
+            (F.col("season").cast("int") if "season" in frame.columns else F.lit(season)).alias("found"),
+        )
+        for season, frame in frames.items()
+    ]
+    found = reduce(DataFrame.unionAll, labels).groupBy("wanted", "found").agg(F.count(F.lit(1)).alias("rows"))
+    counts = dict.fromkeys(frames, 0)
+    for row in found.collect():
+        if row.found != row.wanted:
+            raise ValueError(f"{row.rows} rows for season {row.wanted} belong to {row.found}")
+        counts[row.wanted] = row.rows
+    return counts
+
+
+def load_static(warehouse: Warehouse, dataset: Dataset, read: Reader) -> Loaded:
+    """Replace a dataset without seasons; one that cannot be read or is empty leaves the stored rows."""
     try:
         rows = _read_rows(read, dataset, None)
         if rows.isEmpty():
             return Loaded(dataset.dataset_id, None, 0, "no rows")
-        warehouse.replace(dataset.table, with_stored_types(rows))
-    except (PySparkException, OSError, KeyError, RuntimeError) as error:
+        count = warehouse.replace(dataset.table, with_stored_types(rows))
+    except _SOURCE_ERRORS as error:
         return Loaded(dataset.dataset_id, None, 0, f"failed: {error}")
-    count = warehouse.read(dataset.table).count()
-    warehouse.ledger.record(dataset.dataset_id, dataset.table, dataset.loader, count)
+    warehouse.ledger.record(dataset.dataset_id, dataset.table, dataset.loader, {None: count})
     return Loaded(dataset.dataset_id, None, count, "loaded")
 
 
 def load_dataset(
-    warehouse: Warehouse, dataset: Dataset, read: Reader, seasons: Iterable[int], fresh: bool = False
+    warehouse: Warehouse, dataset: Dataset, read: Reader, wanted: list[int | None]
 ) -> list[Loaded]:
+    """Load what `wanted_seasons` lists for the dataset."""
     if dataset.seasonal:
-        return load_seasonal(warehouse, dataset, read, seasons, fresh)
-    return [load_static(warehouse, dataset, read, fresh)]
+        return load_seasonal(warehouse, dataset, read, wanted)
+    return [load_static(warehouse, dataset, read) for _ in wanted]
 
 
 def validate_loaded(warehouse: Warehouse, tables: Iterable[str]) -> None:
     """Fail unless every table is stored and has rows."""
-    schemas = warehouse.schemas()
-    empty = [t for t in tables if t not in schemas or warehouse.read(t, schemas[t]).isEmpty()]
+    empty = [t for t in tables if not warehouse.exists(t) or warehouse.read(t).isEmpty()]
     if empty:
         raise ValueError(f"Tables without rows: {', '.join(empty)}")

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 FIRST_SEASON, LAST_SEASON = 2013, 2025
 
@@ -20,6 +20,7 @@ class Dataset:
     min_season: int | None = None
     max_season: int | None = None
     options: dict[str, str] = field(default_factory=dict, compare=False)
+    sort_by: tuple[str, ...] = ()
 
     def covers(self, season: int) -> bool:
         too_early = self.min_season is not None and season < self.min_season
@@ -73,7 +74,10 @@ _DATASETS = [
     _seasonal("ff_opportunity", "load_ff_opportunity", "Weekly fantasy opportunity", 2006, stat_type="weekly"),
 ]
 
-DATASETS = {dataset.dataset_id: dataset for dataset in _DATASETS}
+# Plays are mostly asked for by team and joined by game.
+_SORTED = {"pbp": ("posteam", "game_id")}
+
+DATASETS = {d.dataset_id: replace(d, sort_by=_SORTED.get(d.dataset_id, ())) for d in _DATASETS}
 
 
 def season_range(start: int | None = None, end: int | None = None) -> list[int]:

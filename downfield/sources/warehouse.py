@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Sequence
 from datetime import datetime, timezone
 
 from pyspark.errors import AnalysisException
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from downfield.sources.ledger import Ledger
-from downfield.sources.tables import merged_schema, with_stored_types
+from downfield.sources.tables import merged_schema
 
 _SCHEMA_LOG = "table_name string, schema_json string, recorded_at timestamp"
 
@@ -27,6 +28,7 @@ class Warehouse:
         self.spark = spark
         self.root = root.rstrip("/")
         self.ledger = Ledger(spark, f"{self.root}/_ingest_metadata")
+        self._schemas: dict[str, T.StructType] | None = None
 
     def path(self, table: str) -> str:
         return f"{self.root}/{table}"
@@ -38,9 +40,14 @@ class Warehouse:
             return self.spark.createDataFrame([], _SCHEMA_LOG)
 
     def schemas(self) -> dict[str, T.StructType]:
-        """Schema per stored table."""
-        newest = self._schema_log().groupBy("table_name").agg(F.max_by("schema_json", "recorded_at").alias("text"))
-        return {row.table_name: T.StructType.fromJson(json.loads(row.text)) for row in newest.collect()}
+        """Schema per stored table, read once per warehouse object; `refresh` reads it again."""
+        if self._schemas is None:
+            newest = self._schema_log().groupBy("table_name").agg(F.max_by("schema_json", "recorded_at").alias("text"))
+            self._schemas = {row.table_name: T.StructType.fromJson(json.loads(row.text)) for row in newest.collect()}
+        return self._schemas
+
+    def refresh(self) -> None:
+        self._schemas = None
 
     def schema(self, table: str) -> T.StructType | None:
         return self.schemas().get(table)
@@ -55,32 +62,35 @@ class Warehouse:
         row = (table, schema.json(), datetime.now(timezone.utc))
         frame = self.spark.createDataFrame([row], _SCHEMA_LOG).coalesce(1)
         frame.write.mode("append").parquet(self.path("_schemas"))
+        self.schemas()[table] = schema
 
-    def read(self, table: str, schema: T.StructType | None = None) -> DataFrame:
-        schema = schema or self.schema(table)
+    def read(self, table: str) -> DataFrame:
+        schema = self.schema(table)
         if schema is None:
             raise ValueError(f"Table '{table}' not found; available: {', '.join(self.tables())}")
         return self.spark.read.schema(schema).parquet(self.path(table)).select(*[f"`{n}`" for n in schema.names])
 
-    def replace(self, table: str, df: DataFrame) -> None:
-        """Write the table anew."""
+    def replace(self, table: str, df: DataFrame) -> int:
+        """Write the table anew; returns its row count, taken from the written files' footers."""
         df.write.mode("overwrite").parquet(self.path(table))
-        self._record_schema(table, df.schema)
+        if self.schema(table) != df.schema:
+            self._record_schema(table, df.schema)
+        return self.read(table).count()
 
-    def replace_season(self, table: str, df: DataFrame, season: int) -> None:
-        """Write one season of a table; other seasons stay, and repeating the write changes nothing.
+    def replace_seasons(self, table: str, rows: DataFrame, sort_by: Sequence[str] = ()) -> None:
+        """Write the seasons present in `rows`; other seasons stay, and repeating the write changes nothing.
 
-        New columns widen the table, columns the frame lacks become NULL.
+        The schema of `rows` has to extend the stored one (see `merged_schema`). Rows are ordered
+        inside each file by `sort_by`, which lets readers skip pages by their minimum and maximum.
         """
-        existing = self.schema(table)
-        body = with_stored_types(df.drop("season"), existing)
-        rows = body.withColumn("season", F.lit(season).cast("int"))
-        merged = merged_schema(existing, rows.schema)
         (
-            rows.write.mode("overwrite")
+            rows.sortWithinPartitions("season", *sort_by)
+            .write.mode("overwrite")
             .option("partitionOverwriteMode", "dynamic")
             .partitionBy("season")
             .parquet(self.path(table))
         )
+        existing = self.schema(table)
+        merged = merged_schema(existing, rows.schema)
         if merged != existing:
             self._record_schema(table, merged)

@@ -1,4 +1,4 @@
-"""Exact medians without gathering a group in one place."""
+"""Mean, exact median and size of groups, without gathering a group in one place."""
 
 from __future__ import annotations
 
@@ -10,37 +10,55 @@ from pyspark.sql import functions as F
 from downfield.functions.grouping import join_on_same
 
 
-def exact_median(counts: DataFrame, keys: Sequence[str], value: str, count: str) -> DataFrame:
-    """Median per key of values that occur `count` times each; the two middle ones are averaged.
+def summarize(counts: DataFrame, keys: Sequence[str], value: str, count: str) -> DataFrame:
+    """Mean, median and number of values per key, where each row stands for `count` equal values.
 
-    A histogram over whole numbers finds the bucket that holds the middle rank (two buckets when the
-    middle pair straddles a boundary), and only rows of those buckets are ranked. A running window
-    therefore sees one row per bucket, then the distinct values of one bucket, never a whole group.
+    NULL values count towards `size` only; for an even number the two middle values are averaged.
+
+    A histogram over whole numbers gives the totals and the bucket that holds the middle rank (two
+    buckets when the middle pair straddles a boundary). Only values of those buckets are ranked, so
+    a window sees one row per bucket, then the distinct values of one bucket, never a whole group.
     """
-    valued = counts.where(F.col(value).isNotNull()).withColumn("_bucket", F.floor(value))
+    bucket = counts.withColumn("_bucket", F.floor(value))
+    known = F.col("_bucket").isNotNull()
+    size = F.when(known, F.col("_size")).otherwise(0)
 
-    by_bucket = Window.partitionBy(*keys).orderBy("_bucket")
-    histogram = valued.groupBy(*keys, "_bucket").agg(F.sum(count).alias("_size"))
+    group = Window.partitionBy(*keys)
+    by_bucket = group.orderBy(F.asc_nulls_last("_bucket")).rowsBetween(Window.unboundedPreceding, 0)
     middle = (
-        histogram.withColumn("_stop", F.sum("_size").over(by_bucket.rowsBetween(Window.unboundedPreceding, 0)))
-        .withColumn("_total", F.sum("_size").over(Window.partitionBy(*keys)))
-        .withColumn("_low", F.floor((F.col("_total") + 1) / 2))
-        .withColumn("_high", F.floor((F.col("_total") + 2) / 2))
-        .withColumn("_start", F.col("_stop") - F.col("_size"))
-        .where((F.col("_start") < F.col("_high")) & (F.col("_stop") >= F.col("_low")))
-        .select(*keys, "_bucket", "_start", "_low", "_high")
+        bucket.groupBy(*keys, "_bucket")
+        .agg(F.sum(count).alias("_size"), F.sum(F.col(value) * F.col(count)).alias("_amount"))
+        .withColumns(
+            {
+                "_stop": F.sum(size).over(by_bucket),
+                "_known": F.sum(size).over(group),
+                "_all": F.sum("_size").over(group),
+                "_total": F.sum("_amount").over(group),
+            }
+        )
+        .withColumns(
+            {
+                "_start": F.col("_stop") - size,
+                "_low": F.floor((F.col("_known") + 1) / 2),
+                "_high": F.floor((F.col("_known") + 2) / 2),
+            }
+        )
+        # A group without any value keeps its NULL bucket.
+        .where((known & (F.col("_start") < F.col("_high")) & (F.col("_stop") >= F.col("_low"))) | (F.col("_known") == 0))
+        .select(*keys, "_bucket", "_start", "_low", "_high", "_known", "_all", "_total")
     )
 
-    by_value = Window.partitionBy(*keys, "_bucket").orderBy(value)
-    ranked = (
-        join_on_same(valued, middle, [*keys, "_bucket"])
-        .withColumn("_upto", F.col("_start") + F.sum(count).over(by_value.rowsBetween(Window.unboundedPreceding, 0)))
-        .withColumn("_from", F.col("_upto") - F.col(count))
+    by_value = Window.partitionBy(*keys, "_bucket").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    ranked = join_on_same(bucket, middle, [*keys, "_bucket"]).withColumn(
+        "_upto", F.col("_start") + F.sum(count).over(by_value)
     )
 
     def holding(rank: str) -> Column:
-        return F.max(F.when((F.col("_from") < F.col(rank)) & (F.col("_upto") >= F.col(rank)), F.col(value)))
+        first = F.col("_upto") - F.col(count)
+        return F.max(F.when((first < F.col(rank)) & (F.col("_upto") >= F.col(rank)), F.col(value)))
 
-    return ranked.groupBy(*keys).agg(holding("_low").alias("_a"), holding("_high").alias("_b")).select(
-        *keys, ((F.col("_a") + F.col("_b")) / 2).alias("median")
+    return ranked.groupBy(*keys).agg(
+        (F.max("_total") / F.nullif(F.max("_known"), F.lit(0))).alias("mean"),
+        ((holding("_low") + holding("_high")) / 2).alias("median"),
+        F.max("_all").alias("size"),
     )

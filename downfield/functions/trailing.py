@@ -12,27 +12,27 @@ BLOCK = 100_000
 
 
 def trailing_means(
-    df: DataFrame, keys: Sequence[str], order: str, means: Mapping[str, str], rows: int = 3
+    runs: DataFrame, keys: Sequence[str], order: str, means: Mapping[str, str], rows: int = 3, copies: str = "copies"
 ) -> DataFrame:
-    """Add the average of each column over the current and the `rows - 1` preceding rows of its key.
+    """Unfold counted rows and add averages over the current and the `rows - 1` preceding rows of a key.
 
-    `means` maps new column names to input columns; rows are ordered by `order` and, where that
-    ties, by a hash of the row and its values. The result equals
-    `avg(c) OVER (PARTITION BY keys ORDER BY … ROWS BETWEEN rows - 1 PRECEDING AND CURRENT ROW)`,
-    but no task has to hold a whole key:
+    `runs` holds distinct rows with the number of `copies` of each. `means` maps new column names to
+    input columns; rows are ordered by `order` and, where that ties, by a hash of the row and its
+    values. The result equals
+    `avg(c) OVER (PARTITION BY keys ORDER BY … ROWS BETWEEN rows - 1 PRECEDING AND CURRENT ROW)`
+    over the unfolded rows, but no task has to hold a whole key:
 
-    * Copies of a row are counted before the shuffle. From the `rows`-th copy on, a copy sees only
-      copies of itself, so those travel as blocks of at most BLOCK rows and unfold at the end.
+    * From its `rows`-th copy on, a copy sees only copies of itself, so those travel as blocks of at
+      most BLOCK rows and unfold at the end.
     * A key is cut into chunks by `order` and a hash lane. Rows past the first `rows - 1` of a chunk
       have their whole frame inside it.
     * The first rows of each chunk need the last rows of the chunk before. Only these edge rows meet
       in one window per key, at most `2 * (rows - 1)` per chunk; the others go past it in lanes.
     """
-    columns = df.columns
+    columns = [c for c in runs.columns if c != copies]
     reach = rows - 1
-    at, copies, weight, lane, nth, edge = "_at", "_copies", "_weight", "_lane", "_nth", "_edge"
+    at, weight, lane, nth, edge = "_at", "_weight", "_lane", "_nth", "_edge"
 
-    runs = df.groupBy(*columns).agg(F.count(F.lit(1)).alias(copies))
     beyond = F.greatest(F.col(copies) - reach, F.lit(0))
     pieces = F.least(F.col(copies), F.lit(reach)) + F.ceil(beyond / BLOCK)
     folded = (

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -45,6 +48,7 @@ def td_luck(opportunity: DataFrame) -> DataFrame:
 def role_trend(opportunity: DataFrame, snaps: DataFrame) -> DataFrame:
     """Weekly usage shares with their average over the last three played weeks and the change against it."""
     shares = ["snap_pct", "target_share_pct", "carry_share_pct", "air_yards_share_pct"]
+    where = ["full_name", "team", "season", "week"]
     players = _player_weeks(opportunity).select(
         "player_id", "full_name", "position",
         F.col("posteam").alias("team"),
@@ -58,14 +62,21 @@ def role_trend(opportunity: DataFrame, snaps: DataFrame) -> DataFrame:
         F.col("season").cast("int").alias("season"), F.col("week").cast("int").alias("week"),
         half_up(F.lit(100.0) * F.col("offense_pct"), 2).alias("snap_pct"),
     )
-    weekly = players.join(played, ["full_name", "team", "season", "week"], "left").select(
-        "player_id", "full_name", "position", "team", "season", "week", *shares
+    # Both sides are counted first: copies multiply counts instead of pairs. Rows without a full key
+    # match nothing and would all meet in one partition, so the salt spreads them.
+    keyless = reduce(or_, [F.col(c).isNull() for c in where])
+    salt = F.when(keyless, F.pmod(F.xxhash64(*players.columns), F.lit(256))).otherwise(0)
+    counted_players = counted(players, *players.columns).withColumn("salt", salt)
+    counted_snaps = counted(played, *played.columns, count="snap_copies").withColumn("salt", F.lit(0).cast("long"))
+    weekly = counted_players.join(counted_snaps, [*where, "salt"], "left").select(
+        "player_id", "full_name", "position", "team", "season", "week", *shares,
+        (F.col("copies") * F.coalesce("snap_copies", F.lit(1))).alias("copies"),
     )
     trend = trailing_means(
         weekly, ["player_id", "season"], "week", {f"{share}_mean": share for share in shares}, rows=3
     )
     return trend.select(
-        *weekly.columns,
+        "player_id", "full_name", "position", "team", "season", "week", *shares,
         *[half_up(F.col(f"{share}_mean"), 2).alias(f"{share}_3wk") for share in shares],
         *[half_up(F.col(share) - F.col(f"{share}_mean"), 2).alias(f"{share}_delta") for share in shares],
     )

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from downfield.functions.grouping import counted, join_on_same, latest
+from downfield.functions.grouping import counted, latest
 from downfield.functions.labels import injury_type
-from downfield.functions.median import exact_median
+from downfield.functions.median import summarize
 from downfield.functions.numeric import half_up
 
 SPELL = ["gsis_id", "full_name", "position", "season", "injury_type", "first_out_week", "last_out_week"]
@@ -81,11 +81,12 @@ def injury_return_curve(injuries: DataFrame, snaps: DataFrame, weeks_after: int
     )
     same_player = (F.col("snap_player") == F.col("full_name")) & (F.col("snap_season") == F.col("season"))
 
+    # A filter on offense_pct would reach the scan and give the two joins different shuffles.
+    known = F.when(F.col("offense_pct").isNotNull(), F.col("copies"))
     before = out_spells(injuries).join(shares, same_player & (F.col("snap_week") < F.col("first_out_week")))
     baseline = (
-        before.where(F.col("offense_pct").isNotNull())
-        .groupBy(*SPELL)
-        .agg((F.sum(F.col("offense_pct") * F.col("copies")) / F.sum("copies")).alias("baseline_pct"))
+        before.groupBy(*SPELL)
+        .agg((F.sum(F.col("offense_pct") * F.col("copies")) / F.sum(known)).alias("baseline_pct"))
         .where(F.col("baseline_pct") > 0)
     )
     weeks_since = F.col("snap_week") - F.col("last_out_week")
@@ -99,15 +100,9 @@ def injury_return_curve(injuries: DataFrame, snaps: DataFrame, weeks_after: int
         )
         .agg(F.sum("copies").alias("copies"))
     )
-    known = F.when(F.col("recovery_pct").isNotNull(), F.col("copies"))
-    summary = recovery.groupBy(*keys).agg(
-        (F.sum(F.col("recovery_pct") * F.col("copies")) / F.sum(known)).alias("mean"),
-        F.sum("copies").alias("sample_size"),
-    )
-    median = exact_median(recovery, keys, "recovery_pct", "copies")
-    return join_on_same(summary, median, keys, "left").select(
+    return summarize(recovery, keys, "recovery_pct", "copies").select(
         *keys,
         half_up(F.col("mean"), 1).alias("avg_snap_pct_recovery"),
         half_up(F.col("median"), 1).alias("median_snap_pct_recovery"),
-        "sample_size",
+        F.col("size").alias("sample_size"),
     )

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from typing import TypeVar
 
 from pyspark.sql import DataFrame
 
@@ -24,12 +26,15 @@ class Derived:
 
 OFFENSE_CUBE = "_offense_cube"
 
-TEAM_TABLES = [
+# Plays are scanned twice, for the cube and for defense; the other offense tables read the cube.
+PLAY_TABLES = [
     Derived(OFFENSE_CUBE, ["plays"], teams.offense_cube),
+    Derived("team_defense_stats", ["plays"], teams.team_defense),
+]
+CUBE_TABLES = [
     Derived("team_offense_stats", [OFFENSE_CUBE], teams.team_offense_of),
     Derived("situational_stats", [OFFENSE_CUBE], teams.situational_of),
     Derived("formation_effectiveness", [OFFENSE_CUBE], teams.formation_effectiveness_of),
-    Derived("team_defense_stats", ["plays"], teams.team_defense),
 ]
 
 PLAYER_TABLES = [
@@ -43,31 +48,38 @@ PLAYER_TABLES = [
     Derived("injury_return_curve", ["injuries", "snap_counts"], recovery.injury_return_curve),
 ]
 
+T = TypeVar("T")
 
-def build_tables(warehouse: Warehouse, derived: Iterable[Derived], record: bool) -> list[Loaded]:
-    """Write each table anew from its sources; a table with a missing source is passed over."""
-    results = []
-    for item in derived:
-        missing = [s for s in item.sources if not warehouse.exists(s)]
-        if missing:
-            results.append(Loaded(item.table, None, 0, f"skipped, missing {', '.join(missing)}"))
-            continue
-        frame = item.build(*[warehouse.read(s) for s in item.sources])
-        rows = warehouse.replace(item.table, frame)
-        if record:
-            warehouse.ledger.record(item.table, item.table, "derived", {None: rows})
-        results.append(Loaded(item.table, None, rows, "built"))
-    return results
+
+def _side_by_side(action: Callable[[T], list[Loaded]], items: Iterable[T]) -> list[Loaded]:
+    """Submit independent jobs together, so small ones fill what larger ones leave idle."""
+    with ThreadPoolExecutor(max_workers=4) as pool:
+        return [result for results in pool.map(action, items) for result in results]
+
+
+def build_table(warehouse: Warehouse, item: Derived, record: bool) -> Loaded:
+    """Write a table anew from its sources; it is passed over if a source is missing."""
+    missing = [s for s in item.sources if not warehouse.exists(s)]
+    if missing:
+        return Loaded(item.table, None, 0, f"skipped, missing {', '.join(missing)}")
+    rows = warehouse.replace(item.table, item.build(*[warehouse.read(s) for s in item.sources]))
+    if record:
+        warehouse.record_load(item.table, item.table, "derived", {None: rows})
+    return Loaded(item.table, None, rows, "built")
 
 
 def build_team_tables(warehouse: Warehouse) -> list[Loaded]:
-    """The four team tables; plays are scanned once for offense and once for defense."""
-    return build_tables(warehouse, TEAM_TABLES, record=False)
+    """The four team tables and the cube three of them come from."""
+    return [
+        result
+        for tables in (PLAY_TABLES, CUBE_TABLES)
+        for result in _side_by_side(lambda item: [build_table(warehouse, item, record=False)], tables)
+    ]
 
 
 def build_player_tables(warehouse: Warehouse) -> list[Loaded]:
     """The six player tables, each noted in the ledger as derived."""
-    return build_tables(warehouse, PLAYER_TABLES, record=True)
+    return _side_by_side(lambda item: [build_table(warehouse, item, record=True)], PLAYER_TABLES)
 
 
 def load_datasets(
@@ -79,15 +91,14 @@ def load_datasets(
     fresh: bool = False,
     build: bool = True,
 ) -> list[Loaded]:
-    """Load plays, build the team tables, load the other datasets, build the player tables."""
+    """Load the datasets, then build the team tables (if plays are among them) and the player tables."""
     seasons = season_range(start, end)
     datasets, unknown = known_datasets(dataset_ids)
     results = [Loaded(name, None, 0, "unknown dataset") for name in unknown]
     wanted = wanted_seasons(warehouse, datasets, seasons, fresh)
-    for dataset in sorted(datasets, key=lambda d: d.table != "plays"):
-        results += load_dataset(warehouse, dataset, read, wanted[dataset.dataset_id])
-        if build and dataset.table == "plays":
-            results += build_team_tables(warehouse)
+    results += _side_by_side(lambda d: load_dataset(warehouse, d, read, wanted[d.dataset_id]), datasets)
     if build:
+        if any(d.table == "plays" for d in datasets):
+            results += build_team_tables(warehouse)
         results += build_player_tables(warehouse)
     return results

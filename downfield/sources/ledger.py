@@ -33,7 +33,7 @@ def latest_loads(log: DataFrame) -> DataFrame:
 
 def pending_seasons(requested: DataFrame, log: DataFrame) -> DataFrame:
     """The requested (dataset_id, season) pairs without a finished load; NULL seasons match each other."""
-    done = log.select(F.col("dataset_id").alias("done_id"), F.col("season").alias("done_season"))
+    done = log.select(F.col("dataset_id").alias("done_id"), F.col("season").alias("done_season")).distinct()
     finished = (F.col("dataset_id") == F.col("done_id")) & F.col("season").eqNullSafe(F.col("done_season"))
     return requested.join(done, finished, "left_anti")
 

@@ -102,7 +102,7 @@ def _load_together(warehouse: Warehouse, dataset: Dataset, frames: dict[int, Dat
             schema = merged_schema(schema, parts[-1].schema)
         rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
         warehouse.replace_seasons(dataset.table, rows, dataset.sort_by)
-        warehouse.ledger.record(dataset.dataset_id, dataset.table, dataset.loader, {s: counts[s] for s in filled})
+        warehouse.record_load(dataset.dataset_id, dataset.table, dataset.loader, {s: counts[s] for s in filled})
     return [
         Loaded(dataset.dataset_id, season, rows, "loaded" if rows else "no rows") for season, rows in counts.items()
     ]
@@ -138,7 +138,7 @@ def load_static(warehouse: Warehouse, dataset: Dataset, read: Reader) -> Loaded:
         count = warehouse.replace(dataset.table, with_stored_types(rows))
     except _SOURCE_ERRORS as error:
         return Loaded(dataset.dataset_id, None, 0, f"failed: {error}")
-    warehouse.ledger.record(dataset.dataset_id, dataset.table, dataset.loader, {None: count})
+    warehouse.record_load(dataset.dataset_id, dataset.table, dataset.loader, {None: count})
     return Loaded(dataset.dataset_id, None, count, "loaded")
 
 

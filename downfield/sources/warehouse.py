@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import threading
 from collections.abc import Sequence
 from datetime import datetime, timezone
 
@@ -29,6 +30,8 @@ class Warehouse:
         self.root = root.rstrip("/")
         self.ledger = Ledger(spark, f"{self.root}/_ingest_metadata")
         self._schemas: dict[str, T.StructType] | None = None
+        # Two appends to one directory at the same time would remove each other's temporary files.
+        self._log_lock = threading.RLock()
 
     def path(self, table: str) -> str:
         return f"{self.root}/{table}"
@@ -41,10 +44,11 @@ class Warehouse:
 
     def schemas(self) -> dict[str, T.StructType]:
         """Schema per stored table, read once per warehouse object; `refresh` reads it again."""
-        if self._schemas is None:
-            newest = self._schema_log().groupBy("table_name").agg(F.max_by("schema_json", "recorded_at").alias("text"))
-            self._schemas = {row.table_name: T.StructType.fromJson(json.loads(row.text)) for row in newest.collect()}
-        return self._schemas
+        with self._log_lock:
+            if self._schemas is None:
+                newest = self._schema_log().groupBy("table_name").agg(F.max_by("schema_json", "recorded_at").alias("text"))
+                self._schemas = {r.table_name: T.StructType.fromJson(json.loads(r.text)) for r in newest.collect()}
+            return self._schemas
 
     def refresh(self) -> None:
         self._schemas = None
@@ -61,8 +65,14 @@ class Warehouse:
     def _record_schema(self, table: str, schema: T.StructType) -> None:
         row = (table, schema.json(), datetime.now(timezone.utc))
         frame = self.spark.createDataFrame([row], _SCHEMA_LOG).coalesce(1)
-        frame.write.mode("append").parquet(self.path("_schemas"))
-        self.schemas()[table] = schema
+        with self._log_lock:
+            frame.write.mode("append").parquet(self.path("_schemas"))
+            self.schemas()[table] = schema
+
+    def record_load(self, dataset_id: str, table: str, loader: str, rows: dict[int | None, int]) -> None:
+        """Note finished loads in the ledger."""
+        with self._log_lock:
+            self.ledger.record(dataset_id, table, loader, rows)
 
     def read(self, table: str) -> DataFrame:
         schema = self.schema(table)

@@ -1,0 +1,228 @@
+import datetime
+
+import pytest
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from downfield import Playbook, Warehouse
+from downfield.plans.build import build_player_tables, load_datasets
+from downfield.sources.ledger import LEDGER_SCHEMA, latest_loads
+from downfield.sources.load import file_reader, load_seasonal, load_static, validate_loaded, wanted_seasons
+from downfield.sources.registry import DATASETS, Dataset, known_datasets, season_range
+from downfield.sources.tables import append_by_name, merged_schema, safe_names, stored_type, with_stored_types
+
+SEASONAL = Dataset("stats", "stats", "load_stats", "", min_season=2020, max_season=2024)
+STATIC = Dataset("names", "names", "load_names", "", seasonal=False)
+
+
+@pytest.fixture
+def warehouse(spark, tmp_path):
+    return Warehouse(spark, str(tmp_path / "tables"))
+
+
+def seasonal_reader(spark, seasons):
+    """season -> list of values; a missing season fails."""
+
+    def read(dataset, season):
+        if season not in seasons:
+            raise RuntimeError("source is down")
+        return spark.createDataFrame([(season, v) for v in seasons[season]], "season int, value int")
+
+    return read
+
+
+def outcomes(results):
+    return {r.season: (r.outcome.split(":")[0], r.rows) for r in results}
+
+
+def test_registry():
+    assert len(DATASETS) == 29 and sum(not d.seasonal for d in DATASETS.values()) == 9
+    assert DATASETS["pbp"].table == "plays" and len({d.table for d in DATASETS.values()}) == 29
+    participation = DATASETS["participation"]
+    assert [participation.covers(s) for s in (2015, 2016, 2024, 2025)] == [False, True, True, False]
+    assert known_datasets(["pbp", "nope", "pbp", "teams"]) == ([DATASETS["pbp"], DATASETS["teams"]], ["nope"])
+
+
+def test_season_range():
+    assert season_range() == list(range(2013, 2026))
+    assert season_range(start=2024) == [2024, 2025] and season_range(end=2014) == [2013, 2014]
+    assert season_range(1999, 2013) == [2013]
+    with pytest.raises(ValueError):
+        season_range(2024, 2020)
+
+
+def test_stored_types():
+    assert stored_type(T.ShortType()) == T.LongType() and stored_type(T.FloatType()) == T.DoubleType()
+    assert stored_type(T.BooleanType()) == T.BooleanType() and stored_type(T.DateType()) == T.DateType()
+    assert stored_type(T.ArrayType(T.IntegerType())) == T.StringType()
+
+
+def test_names_types_and_appending(spark):
+    odd = spark.createDataFrame([(1, 2.0, [1, 2])], "`a.b` int, `c d` float, `e-f` array<int>")
+    clean = with_stored_types(safe_names(odd))
+    assert clean.dtypes == [("a_b", "bigint"), ("c_d", "double"), ("e_f", "string")]
+    assert clean.first().e_f == "[1,2]"
+    existing = spark.createDataFrame([("x", 1)], "a_b string, g int")
+    both = append_by_name(existing, odd)
+    assert both.columns == ["a_b", "g", "c_d", "e_f"]
+    assert sorted(map(tuple, both.collect())) == [("1", None, 2.0, "[1,2]"), ("x", 1, None, None)]
+    assert merged_schema(None, existing.schema) == existing.schema
+
+
+def test_windows_failures_and_empty_seasons(spark, warehouse):
+    warehouse.record_load("stats", "stats", "load_stats", {2020: 1})
+    read = seasonal_reader(spark, {2020: [0], 2023: [], 2024: [2024]})
+    wanted = wanted_seasons(warehouse, [SEASONAL], [2019, 2020, 2021, 2023, 2024, 2025])
+    assert wanted == {"stats": [2021, 2023, 2024]}
+    results = load_seasonal(warehouse, SEASONAL, read, wanted["stats"])
+    assert outcomes(results) == {2021: ("failed", 0), 2023: ("no rows", 0), 2024: ("loaded", 1)}
+    assert [tuple(r) for r in warehouse.read("stats").collect()] == [(2024, 2024)]
+    assert warehouse.ledger.is_loaded("stats", 2024) and warehouse.ledger.is_loaded("stats", 2020)
+    assert not warehouse.ledger.is_loaded("stats", 2021) and not warehouse.ledger.is_loaded("stats", 2023)
+
+
+def test_reloading_replaces_only_its_season(spark, warehouse):
+    load_seasonal(warehouse, SEASONAL, seasonal_reader(spark, {2023: [9], 2024: [1, 2]}), [2023, 2024])
+    assert wanted_seasons(warehouse, [SEASONAL], [2023, 2024]) == {"stats": []}
+    assert wanted_seasons(warehouse, [SEASONAL], [2024], fresh=True) == {"stats": [2024]}
+    load_seasonal(warehouse, SEASONAL, seasonal_reader(spark, {2024: [99]}), [2024])
+    assert sorted((r.season, r.value) for r in warehouse.read("stats").collect()) == [(2023, 9), (2024, 99)]
+    latest = {r.season: r.row_count for r in warehouse.ledger.latest().collect()}
+    assert latest == {2023: 1, 2024: 1}
+    # An empty or failing source leaves what is stored.
+    load_seasonal(warehouse, SEASONAL, seasonal_reader(spark, {2024: []}), [2023, 2024])
+    assert warehouse.read("stats").count() == 2
+
+
+def test_a_season_that_breaks_while_running_leaves_the_others(spark, warehouse):
+    def read(dataset, season):
+        frame = spark.createDataFrame([(season, "7" if season != 2021 else "broken")], "season int, text string")
+        return frame.select("season", F.col("text").cast("int").alias("value"))
+
+    results = load_seasonal(warehouse, SEASONAL, read, [2020, 2021, 2022])
+    assert outcomes(results) == {2020: ("loaded", 1), 2021: ("failed", 0), 2022: ("loaded", 1)}
+    assert sorted(r.season for r in warehouse.read("stats").collect()) == [2020, 2022]
+
+
+def test_rows_of_another_season_are_refused(spark, warehouse):
+    def read(dataset, season):
+        return spark.createDataFrame([(season, 1), (2020 if season == 2022 else season, 2)], "season int, value int")
+
+    results = load_seasonal(warehouse, SEASONAL, read, [2021, 2022])
+    assert outcomes(results) == {2021: ("loaded", 2), 2022: ("failed", 0)}
+
+
+def test_schema_drift(spark, warehouse):
+    def read(dataset, season):
+        frame = spark.createDataFrame([(season, 1)], "season int, value int")
+        if season == 2021:
+            return frame.withColumns({"new.col": F.lit(1.5), "value": F.lit("12")})
+        return frame.drop("value") if season == 2022 else frame
+
+    load_seasonal(warehouse, SEASONAL, read, [2020])
+    load_seasonal(warehouse, SEASONAL, read, [2021, 2022])
+    table = Warehouse(spark, warehouse.root).read("stats")
+    assert table.dtypes == [("value", "bigint"), ("season", "int"), ("new_col", "double")]
+    assert sorted(map(tuple, table.collect()), key=lambda r: r[1]) == [(1, 2020, None), (12, 2021, 1.5), (None, 2022, None)]
+
+
+def test_static_loads(spark, warehouse):
+    def broken(dataset, season):
+        raise RuntimeError("boom")
+
+    def read_of(rows):
+        return lambda dataset, season: spark.createDataFrame(rows, "x int")
+
+    assert load_static(warehouse, STATIC, broken).outcome == "failed: boom"
+    assert load_static(warehouse, STATIC, read_of([])).outcome == "no rows"
+    assert wanted_seasons(warehouse, [STATIC], [2024]) == {"names": [None]}
+    assert load_static(warehouse, STATIC, read_of([(1,), (2,)])).rows == 2
+    assert wanted_seasons(warehouse, [STATIC], [2024]) == {"names": []}
+    load_static(warehouse, STATIC, read_of([(3,)]))
+    assert [r.x for r in warehouse.read("names").collect()] == [3]
+    assert warehouse.ledger.latest().count() == 1
+
+
+def test_latest_entry_wins(spark):
+    at = [datetime.datetime(2024, 1, d) for d in (1, 2)]
+    rows = [("a", "a", None, 1, at[0], "f"), ("a", "a", None, 2, at[1], "f"), ("a", "a", 2024, 7, at[0], "f")]
+    found = latest_loads(spark.createDataFrame(rows, LEDGER_SCHEMA)).collect()
+    assert sorted((r.season or 0, r.row_count) for r in found) == [(0, 2), (2024, 7)]
+
+
+def test_validation(spark, warehouse):
+    load_seasonal(warehouse, SEASONAL, seasonal_reader(spark, {2024: [1]}), [2024])
+    validate_loaded(warehouse, ["stats"])
+    with pytest.raises(ValueError, match="plays"):
+        validate_loaded(warehouse, ["stats", "plays"])
+
+
+PLAYS = (
+    "season int, week int, season_type string, posteam string, defteam string, play_type string, down double, "
+    "ydstogo double, qtr double, yardline_100 double, passer_player_name string, rusher_player_name string, "
+    "receiver_player_name string, desc string, touchdown double, interception double, fumble_lost double, "
+    "yards_gained double, pass_attempt double, rush_attempt double, game_id string, sack double, time string, "
+    "epa double, shotgun double, no_huddle double"
+)
+
+
+def plays_frame(spark):
+    play = (2024, 1, "REG", "KC", "BAL", "pass", 1.0, 10.0, 1.0, 75.0, "P.M", None, "T.K", "deep", 1.0, 0.0, 0.0, 30.0,
+            1.0, 0.0, "g", 0.0, "10:00", 0.5, 1.0, 0.0)
+    return spark.createDataFrame([play, (*play[:3], None, *play[4:])], PLAYS)
+
+
+def test_load_from_files_and_ask(spark, tmp_path):
+    root = str(tmp_path)
+    plays_frame(spark).write.partitionBy("season").parquet(f"{root}/sources/pbp")
+    spark.createDataFrame([("KC", "Chiefs")], "team string, name string").write.parquet(f"{root}/sources/teams")
+    warehouse = Warehouse(spark, f"{root}/tables")
+    read = file_reader(spark, f"{root}/sources")
+    results = load_datasets(warehouse, read, ["teams", "pbp", "nope"], 2023, 2024)
+    found = {(r.dataset_id, r.season): r.outcome.split(":")[0] for r in results}
+    assert found["nope", None] == "unknown dataset"
+    assert (found["pbp", 2023], found["pbp", 2024], found["teams", None]) == ("failed", "loaded", "loaded")
+    assert found["team_offense_stats", None] == "built"
+    assert found["player_td_luck", None] == "skipped, missing ff_opportunity"
+
+    book = Playbook(spark, f"{root}/tables")
+    assert "plays" in book.schema() and ("enhanced_description", "string") in book.schema("plays")
+    assert not any(name.startswith("_") for name in book.schema())
+    with pytest.raises(ValueError, match="not found"):
+        book.schema("nothing")
+    plays = book.table("plays").collect()
+    assert len(plays) == 1 and "TOUCHDOWN" in plays[0].enhanced_description
+    assert tuple(book.status()["totals"].first()) == (1, 2024, 2024, 1)
+    assert [(r.dataset_id, r.total_rows) for r in book.catalog().collect()] == [("pbp", 1), ("teams", 1)]
+    assert book.team_stats("kc")["offense"].first().total_plays == 1
+    assert book.compare("KC", "BAL")["defense"].first().team == "BAL"
+    assert book.query("SELECT COUNT(*) AS n FROM plays").rows.first().n == 1
+    assert book.query("SELECT SUM(row_count) AS n FROM _ingest_metadata").rows.first().n == 2
+    with pytest.raises(Exception):
+        book.query(f"SELECT * FROM parquet.`{root}/sources/teams`").rows.collect()
+    # Loading again reads nothing: the sources could be gone.
+    again = load_datasets(warehouse, file_reader(spark, "/nowhere"), ["pbp", "teams"], 2024, 2024, build=False)
+    assert again == []
+
+
+def test_derived_tables_are_recorded(spark, warehouse):
+    rows = [("00-1", "A", "RB", "KC", "2024", 1.0, *[1.0] * 6)]
+    schema = (
+        "player_id string, full_name string, position string, posteam string, season string, week double, "
+        "rec_touchdown double, rec_touchdown_exp double, rec_touchdown_diff double, rush_touchdown double, "
+        "rush_touchdown_exp double, rush_touchdown_diff double"
+    )
+    warehouse.replace("ff_opportunity", spark.createDataFrame(rows, schema))
+    results = {r.dataset_id: r.outcome for r in build_player_tables(warehouse)}
+    assert results["player_td_luck"] == "built" and results["player_drop_rate"].startswith("skipped")
+    entry = warehouse.ledger.latest().where("dataset_id = 'player_td_luck'").first()
+    assert (entry.loader_fn, entry.season, entry.row_count) == ("derived", None, 1)
+
+
+def test_csv_sources(spark, tmp_path):
+    root = str(tmp_path)
+    spark.createDataFrame([(2024, "x")], "season int, v string").write.option("header", "true").csv(f"{root}/s/stats/season=2024")
+    warehouse = Warehouse(spark, f"{root}/tables")
+    results = load_seasonal(warehouse, SEASONAL, file_reader(spark, f"{root}/s", format="csv", header="true"), [2024])
+    assert outcomes(results) == {2024: ("loaded", 1)}
+    assert warehouse.read("stats").first().v == "x"

@@ -101,6 +101,11 @@ def _latest_loads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return latest_loads(_ledger_log(spark, sf_dir))
 
 
+def _in_seconds(query: Query, column: str) -> Query:
+    """The query with a timestamp column as seconds, which both engines print alike."""
+    return lambda spark, sf_dir: query(spark, sf_dir).withColumn(column, F.unix_timestamp(column))
+
+
 def _status(part: str) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         return status.status(samples.load(spark, sf_dir, "plays"), _latest_loads(spark, sf_dir))[part]
@@ -255,9 +260,9 @@ def queries() -> dict[str, Query]:
         "status_totals": _status("totals"),
         "status_seasons": _status("seasons"),
         "status_datasets": _status("datasets"),
-        "status_refreshed": _status("refreshed"),
-        "catalog": _catalog,
-        "latest_loads": _latest_loads,
+        "status_refreshed": _in_seconds(_status("refreshed"), "last_refreshed"),
+        "catalog": _in_seconds(_catalog, "last_loaded"),
+        "latest_loads": _in_seconds(_latest_loads, "loaded_at"),
         "pending_seasons": _pending,
         "append_by_name": over(_append_by_name, "snap_counts", "rosters"),
         "season_load": _season_load,
@@ -360,11 +365,11 @@ def oracle_sql() -> dict[str, str]:
         + "SELECT season, season_type, COUNT(*) AS plays FROM plays GROUP BY season, season_type",
         "status_datasets": f"WITH {_LATEST} SELECT dataset_id, table_name, CAST(SUM(row_count) AS BIGINT) AS total_rows "
         "FROM latest GROUP BY dataset_id, table_name",
-        "status_refreshed": f"WITH {_LATEST} SELECT MAX(loaded_at) AS last_refreshed FROM latest",
+        "status_refreshed": f"WITH {_LATEST} SELECT CAST(epoch(MAX(loaded_at)) AS BIGINT) AS last_refreshed FROM latest",
         "catalog": f"WITH {_LATEST} SELECT dataset_id, table_name, CAST(SUM(row_count) AS BIGINT) AS total_rows, "
         "COUNT(*) AS seasons_loaded, MIN(season) AS min_season, MAX(season) AS max_season, "
-        "MAX(loaded_at) AS last_loaded FROM latest GROUP BY dataset_id, table_name",
-        "latest_loads": f"WITH {_LATEST} SELECT * FROM latest",
+        "CAST(epoch(MAX(loaded_at)) AS BIGINT) AS last_loaded FROM latest GROUP BY dataset_id, table_name",
+        "latest_loads": f"WITH {_LATEST} SELECT * REPLACE (CAST(epoch(loaded_at) AS BIGINT) AS loaded_at) FROM latest",
         "pending_seasons": f"""WITH {_LOG}, requested AS (
  SELECT concat('dataset', CAST(c_custkey % 40 AS STRING)) AS dataset_id,
   CAST(CASE WHEN c_custkey % 40 >= 9 THEN 2010 + c_custkey % 19 END AS INT) AS season FROM customer)

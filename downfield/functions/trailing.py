@@ -17,8 +17,8 @@ def trailing_means(
     """Unfold counted rows and add averages over the current and the `rows - 1` preceding rows of a key.
 
     `runs` holds distinct rows with the number of `copies` of each. `means` maps new column names to
-    input columns; rows are ordered by `order` and, where that ties, by a hash of the row and its
-    values. The result equals
+    input columns; rows are ordered by `order`, which should have few values per key (a week), and
+    where it ties by a hash of the row. The result equals
     `avg(c) OVER (PARTITION BY keys ORDER BY … ROWS BETWEEN rows - 1 PRECEDING AND CURRENT ROW)`
     over the unfolded rows, but no task has to hold a whole key:
 
@@ -31,12 +31,13 @@ def trailing_means(
     """
     columns = [c for c in runs.columns if c != copies]
     reach = rows - 1
-    at, weight, lane, nth, edge = "_at", "_weight", "_lane", "_nth", "_edge"
+    at, weight, mix, lane, nth, edge = "_at", "_weight", "_hash", "_lane", "_nth", "_edge"
 
     beyond = F.greatest(F.col(copies) - reach, F.lit(0))
     pieces = F.least(F.col(copies), F.lit(reach)) + F.ceil(beyond / BLOCK)
     folded = (
-        runs.withColumn(lane, F.pmod(F.xxhash64(*columns), F.lit(LANES)))
+        runs.withColumn(mix, F.xxhash64(*columns))
+        .withColumn(lane, F.pmod(mix, F.lit(LANES)))
         .withColumn(at, F.explode(F.sequence(F.lit(1).cast("long"), pieces)))
         .withColumn(
             weight,
@@ -48,7 +49,7 @@ def trailing_means(
     )
 
     others = [c for c in columns if c not in (*keys, order)]
-    chunk = Window.partitionBy(*keys, order, lane).orderBy(*others, at)
+    chunk = Window.partitionBy(*keys, order, lane).orderBy(mix, *others, at)
     inner = {f"_inner_{name}": F.avg(c).over(chunk.rowsBetween(-reach, 0)) for name, c in means.items()}
     chunked = folded.withColumns(
         {nth: F.row_number().over(chunk), "_follower": F.lead(F.lit(1), reach).over(chunk), **inner}

@@ -8,10 +8,11 @@ from dataclasses import dataclass
 from typing import TypeVar
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from downfield.operators import players, recovery, teams
 from downfield.sources.load import Loaded, Reader, load_dataset, wanted_seasons
-from downfield.sources.registry import known_datasets, season_range
+from downfield.sources.registry import DATASETS, known_datasets, season_range
 from downfield.sources.warehouse import Warehouse
 
 
@@ -37,13 +38,22 @@ CUBE_TABLES = [
     Derived("formation_effectiveness", [OFFENSE_CUBE], teams.formation_effectiveness_of),
 ]
 
+
+
+def charted(plays: DataFrame) -> DataFrame:
+    """Plays of the seasons that charting covers; the other season partitions need not be read."""
+    return plays.where(F.col("season") >= DATASETS["ftn_charting"].min_season)
+
+
 PLAYER_TABLES = [
     Derived("player_td_luck", ["ff_opportunity"], players.td_luck),
     Derived("player_role_trend", ["ff_opportunity", "snap_counts"], players.role_trend),
     Derived(
         "player_separation_opportunity", ["ff_opportunity", "nextgen_stats_receiving"], players.separation_opportunity
     ),
-    Derived("player_drop_rate", ["ftn_charting", "plays"], players.drop_rate),
+    Derived(
+        "player_drop_rate", ["ftn_charting", "plays"], lambda charts, plays: players.drop_rate(charts, charted(plays))
+    ),
     Derived("player_contract_value", ["contracts", "ff_opportunity"], players.contract_value),
     Derived("injury_return_curve", ["injuries", "snap_counts"], recovery.injury_return_curve),
 ]

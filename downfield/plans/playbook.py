@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from downfield.operators import charting, lookups, search, sql, status, teams
+from downfield.plans.build import charted
 from downfield.sources.warehouse import Warehouse
 
 
@@ -82,7 +83,7 @@ class Playbook:
         return lookups.fantasy_rankings(self.table(f"ff_rankings_{name}"), scope=name, **filters)
 
     def ftn_charting(self, **filters) -> DataFrame:
-        return charting.charting_tendencies(self.table("ftn_charting"), self.table("plays"), **filters)
+        return charting.charting_tendencies(self.table("ftn_charting"), charted(self.table("plays")), **filters)
 
     def td_luck(self, **filters) -> DataFrame:
         return lookups.td_luck_report(self.table("player_td_luck"), **filters)

@@ -64,8 +64,11 @@ INJURY_TYPES = {
 def injury_type(report: Column) -> Column:
     """Injury type of a free-text report such as ' right Knee '."""
     text = F.lower(F.trim(report))
-    found = F.coalesce(*[F.when(text.contains(part), F.lit(name)) for part, name in INJURY_TYPES.items()])
-    return F.coalesce(found, F.lit("other"))
+    (first_part, first_name), *others = INJURY_TYPES.items()
+    found = F.when(text.contains(first_part), first_name)
+    for part, name in others:
+        found = found.when(text.contains(part), name)
+    return found.otherwise("other")
 
 
 def short_name(name: Column) -> Column:

@@ -1,4 +1,8 @@
-"""Rounding, ratios and flag counts."""
+"""Rounding, ratios and flag counts, as columns and as SQL text.
+
+Operators with dozens of output columns use the text form: one parse replaces hundreds of calls into
+the JVM while the query is put together.
+"""
 
 from __future__ import annotations
 
@@ -24,6 +28,15 @@ def percent(numerator: Column, denominator: Column, digits: int) -> Column:
     return half_up(ratio(F.lit(100.0) * numerator, denominator), digits)
 
 
-def flag(condition: Column) -> Column:
+def half_up_text(value: str, digits: int) -> str:
+    scale = f"{10**digits}.0D"
+    return f"round(({value}) * {scale}) / {scale}"
+
+
+def percent_text(numerator: str, denominator: str, digits: int) -> str:
+    return half_up_text(f"100.0D * {numerator} / nullif({denominator}, 0)", digits)
+
+
+def flag_text(condition: str) -> str:
     """1 where the condition holds, 0 where it is false or NULL."""
-    return F.when(condition, F.lit(1)).otherwise(F.lit(0))
+    return f"CASE WHEN {condition} THEN 1 ELSE 0 END"

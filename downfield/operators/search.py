@@ -19,7 +19,7 @@ from downfield.functions.filters import (
     where_all,
 )
 from downfield.functions.labels import shorten
-from downfield.functions.numeric import half_up, percent
+from downfield.functions.numeric import half_up_text, percent_text
 
 PLAYER_COLUMNS = ["passer_player_name", "rusher_player_name", "receiver_player_name"]
 PLAY_COLUMNS = [
@@ -91,48 +91,40 @@ _ROLES = {
 }
 
 
-def _total(column: str) -> Column:
-    return F.sum(F.coalesce(F.col(column), F.lit(0)))
-
-
-def _statistics(stat_type: str) -> dict[str, Column]:
-    """Output columns of a stat type, as aggregates over the player's plays."""
-    plays, caught = F.count(F.lit(1)), F.count_if(F.col("complete_pass") == 1)
-    avg_epa = half_up(F.avg("epa"), 3)
-    if stat_type == "passing":
-        return {
-            "attempts": plays,
-            "completions": caught,
-            "comp_pct": percent(caught, plays, 1),
-            "yards": _total("passing_yards"),
-            "touchdowns": F.count_if(F.col("pass_touchdown") == 1),
-            "interceptions": F.count_if(F.col("interception") == 1),
-            "avg_epa": avg_epa,
-            "avg_cpoe": half_up(F.avg("cpoe"), 3),
-            "air_yards": _total("air_yards"),
-            "avg_air_yards": half_up(F.avg("air_yards"), 1),
-        }
-    if stat_type == "rushing":
-        return {
-            "carries": plays,
-            "yards": _total("rushing_yards"),
-            "yards_per_carry": half_up(F.avg("yards_gained"), 1),
-            "touchdowns": F.count_if(F.col("rush_touchdown") == 1),
-            "fumbles_lost": F.count_if(F.col("fumble_lost") == 1),
-            "avg_epa": avg_epa,
-            "explosive_runs": F.count_if(F.col("yards_gained") >= 10),
-        }
-    if stat_type == "receiving":
-        return {
-            "targets": plays,
-            "receptions": caught,
-            "yards": _total("receiving_yards"),
-            "avg_yac": half_up(F.avg("yards_after_catch"), 1),
-            "touchdowns": F.count_if(F.col("pass_touchdown") == 1),
-            "avg_epa": avg_epa,
-            "explosive_plays": F.count_if(F.col("yards_gained") >= 20),
-        }
-    raise ValueError(f"Unknown stat_type: {stat_type}. Use 'passing', 'rushing', or 'receiving'.")
+_CAUGHT = "count_if(complete_pass = 1)"
+# stat type -> output column -> aggregate over the player's plays, as SQL text
+_STATISTICS = {
+    "passing": {
+        "attempts": "count(1)",
+        "completions": _CAUGHT,
+        "comp_pct": percent_text(_CAUGHT, "count(1)", 1),
+        "yards": "sum(coalesce(passing_yards, 0))",
+        "touchdowns": "count_if(pass_touchdown = 1)",
+        "interceptions": "count_if(interception = 1)",
+        "avg_epa": half_up_text("avg(epa)", 3),
+        "avg_cpoe": half_up_text("avg(cpoe)", 3),
+        "air_yards": "sum(coalesce(air_yards, 0))",
+        "avg_air_yards": half_up_text("avg(air_yards)", 1),
+    },
+    "rushing": {
+        "carries": "count(1)",
+        "yards": "sum(coalesce(rushing_yards, 0))",
+        "yards_per_carry": half_up_text("avg(yards_gained)", 1),
+        "touchdowns": "count_if(rush_touchdown = 1)",
+        "fumbles_lost": "count_if(fumble_lost = 1)",
+        "avg_epa": half_up_text("avg(epa)", 3),
+        "explosive_runs": "count_if(yards_gained >= 10)",
+    },
+    "receiving": {
+        "targets": "count(1)",
+        "receptions": _CAUGHT,
+        "yards": "sum(coalesce(receiving_yards, 0))",
+        "avg_yac": half_up_text("avg(yards_after_catch)", 1),
+        "touchdowns": "count_if(pass_touchdown = 1)",
+        "avg_epa": half_up_text("avg(epa)", 3),
+        "explosive_plays": "count_if(yards_gained >= 20)",
+    },
+}
 
 
 def player_stats(
@@ -145,7 +137,8 @@ def player_stats(
     stat_type: str = "passing",
 ) -> DataFrame:
     """A player's statistics per season and season type."""
-    statistics = _statistics(stat_type)
+    if stat_type not in _STATISTICS:
+        raise ValueError(f"Unknown stat_type: {stat_type}. Use 'passing', 'rushing', or 'receiving'.")
     column, play_type = _ROLES[stat_type]
     own = where_all(
         plays.where((F.col("play_type") == play_type) & F.col(column).ilike(f"%{shorten(player_name)}%")),
@@ -153,7 +146,7 @@ def player_stats(
     )
     return (
         own.groupBy("season", "season_type")
-        .agg(*[value.alias(name) for name, value in statistics.items()])
+        .agg(*[F.expr(value).alias(name) for name, value in _STATISTICS[stat_type].items()])
         .orderBy(F.asc_nulls_last("season"), F.asc_nulls_last("season_type"))
     )
 
@@ -200,17 +193,15 @@ def compare_players(
             )
         ),
     )
-    statistics = {stat_type: _statistics(stat_type) for stat_type in _ROLES}
     grouped = marked.groupBy("mark.player", "mark.stat_type", "season", "season_type").agg(
-        *[value.alias(f"{t}_{name}") for t, columns in statistics.items() for name, value in columns.items()]
+        *[F.expr(value).alias(f"{t}_{name}") for t, columns in _STATISTICS.items() for name, value in columns.items()]
     )
-    outputs = dict.fromkeys(name for columns in statistics.values() for name in columns)
-    return grouped.select(
-        "player", "stat_type", "season", "season_type",
-        *[
-            F.coalesce(
-                *[F.when(F.col("stat_type") == t, F.col(f"{t}_{name}")) for t in statistics if name in statistics[t]]
-            ).alias(name)
-            for name in outputs
-        ],
+    outputs = dict.fromkeys(name for columns in _STATISTICS.values() for name in columns)
+
+    def chosen(name: str) -> str:
+        cases = [f"WHEN '{t}' THEN {t}_{name}" for t, columns in _STATISTICS.items() if name in columns]
+        return f"CASE stat_type {' '.join(cases)} END AS {name}"
+
+    return grouped.selectExpr(
+        "player", "stat_type", "season", "season_type", *[chosen(name) for name in outputs]
     ).orderBy("player", "stat_type", F.asc_nulls_last("season"), F.asc_nulls_last("season_type"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from downfield.functions.filters import season_conditions, where_all
 from downfield.functions.labels import formation_label, situation_label
-from downfield.functions.numeric import flag, half_up, percent, ratio
+from downfield.functions.numeric import flag_text, half_up_text, percent_text
 
 # The play types that count as plays in the team tables.
 COUNTED_PLAY_TYPES = [
@@ -17,47 +17,44 @@ COUNTED_PLAY_TYPES = [
 OFFENSE_DIMENSIONS = ["posteam", "season", "play_type", "situation", "formation", "has_down", "has_shotgun"]
 
 
-def _measures() -> dict[str, Column]:
-    """What one play adds to each total. Every aggregate below is a ratio of such totals."""
-    gained, epa = F.col("yards_gained"), F.col("epa")
-    is_pass, is_rush = F.col("pass_attempt") == 1, F.col("rush_attempt") == 1
-    is_third, in_red_zone = F.col("down") == 3, F.col("yardline_100") <= 20
-    is_touchdown = F.col("touchdown") == 1
-    converted = gained >= F.col("ydstogo")
-
-    def amount(value: Column, condition: Column) -> Column:
-        return F.when(condition, F.coalesce(value, F.lit(0))).otherwise(F.lit(0))
-
-    always = F.lit(True)
-    return {
-        "plays": F.lit(1),
-        "yards": amount(gained, always),
-        "yards_n": flag(gained.isNotNull()),
-        "rush_plays": flag(is_rush),
-        "pass_plays": flag(is_pass),
-        "rush_yards": amount(gained, is_rush),
-        "rush_yards_n": flag(is_rush & gained.isNotNull()),
-        "pass_yards": amount(gained, is_pass),
-        "pass_yards_n": flag(is_pass & gained.isNotNull()),
-        "touchdowns": flag(is_touchdown),
-        "sacks": flag(F.col("sack") == 1),
-        "interceptions": flag(F.col("interception") == 1),
-        "turnovers": flag((F.col("interception") == 1) | (F.col("fumble_lost") == 1)),
-        "third_downs": flag(is_third),
-        "third_downs_made": flag(is_third & converted),
-        "third_downs_stopped": flag(is_third & (gained < F.col("ydstogo"))),
-        "red_zone_plays": flag(in_red_zone),
-        "red_zone_touchdowns": flag(in_red_zone & is_touchdown),
-        "conversions": flag(converted),
-        "explosive_plays": flag((is_pass & (gained >= 20)) | (is_rush & (gained >= 10))),
-        "epa": amount(epa, always),
-        "epa_n": flag(epa.isNotNull()),
-        "pass_epa": amount(epa, is_pass),
-        "pass_epa_n": flag(is_pass & epa.isNotNull()),
-        "rush_epa": amount(epa, is_rush),
-        "rush_epa_n": flag(is_rush & epa.isNotNull()),
-    }
-
+_PASS, _RUSH = "pass_attempt = 1", "rush_attempt = 1"
+_CONVERTED = "yards_gained >= ydstogo"
+_LOST = "interception = 1 OR fumble_lost = 1"
+
+
+def _sum_if(value: str, condition: str) -> str:
+    return f"CASE WHEN {condition} THEN coalesce({value}, 0) ELSE 0 END"
+
+
+# What one play adds to each total, as SQL text. Every table below is made of ratios of such totals.
+MEASURES = {
+    "plays": "1",
+    "yards": "coalesce(yards_gained, 0)",
+    "yards_n": flag_text("yards_gained IS NOT NULL"),
+    "rush_plays": flag_text(_RUSH),
+    "pass_plays": flag_text(_PASS),
+    "rush_yards": _sum_if("yards_gained", _RUSH),
+    "rush_yards_n": flag_text(f"{_RUSH} AND yards_gained IS NOT NULL"),
+    "pass_yards": _sum_if("yards_gained", _PASS),
+    "pass_yards_n": flag_text(f"{_PASS} AND yards_gained IS NOT NULL"),
+    "touchdowns": flag_text("touchdown = 1"),
+    "sacks": flag_text("sack = 1"),
+    "interceptions": flag_text("interception = 1"),
+    "turnovers": flag_text(_LOST),
+    "third_downs": flag_text("down = 3"),
+    "third_downs_made": flag_text(f"down = 3 AND {_CONVERTED}"),
+    "third_downs_stopped": flag_text("down = 3 AND yards_gained < ydstogo"),
+    "red_zone_plays": flag_text("yardline_100 <= 20"),
+    "red_zone_touchdowns": flag_text("yardline_100 <= 20 AND touchdown = 1"),
+    "conversions": flag_text(_CONVERTED),
+    "explosive_plays": flag_text(f"({_PASS} AND yards_gained >= 20) OR ({_RUSH} AND yards_gained >= 10)"),
+    "epa": "coalesce(epa, 0)",
+    "epa_n": flag_text("epa IS NOT NULL"),
+    "pass_epa": _sum_if("epa", _PASS),
+    "pass_epa_n": flag_text(f"{_PASS} AND epa IS NOT NULL"),
+    "rush_epa": _sum_if("epa", _RUSH),
+    "rush_epa_n": flag_text(f"{_RUSH} AND epa IS NOT NULL"),
+}
 
 DEFENSE_MEASURES = [
     "plays", "yards", "yards_n", "sacks", "interceptions", "turnovers",
@@ -71,16 +68,19 @@ OFFENSE_MEASURES = [
 ]
 
 
+def _measured(measures: list[str]) -> list[Column]:
+    return [F.expr(MEASURES[m]).alias(m) for m in measures]
+
+
 def offense_facts(plays: DataFrame) -> DataFrame:
     """One row per play: the dimensions and measures the offense tables are totals of."""
-    measures = _measures()
-    return plays.where(F.col("posteam").isNotNull()).select(
+    return plays.where("posteam IS NOT NULL").select(
         "posteam", "season", "play_type",
         situation_label().alias("situation"),
         formation_label().alias("formation"),
-        F.col("down").isNotNull().alias("has_down"),
-        F.col("shotgun").isNotNull().alias("has_shotgun"),
-        *[measures[m].alias(m) for m in OFFENSE_MEASURES],
+        F.expr("down IS NOT NULL AS has_down"),
+        F.expr("shotgun IS NOT NULL AS has_shotgun"),
+        *_measured(OFFENSE_MEASURES),
     )
 
 
@@ -94,34 +94,32 @@ def offense_cube(plays: DataFrame) -> DataFrame:
 
 
 def _total(facts: DataFrame, keys: list[str], measures: list[str]) -> DataFrame:
-    return facts.groupBy(*keys).agg(*[F.sum(m).alias(m) for m in measures])
+    return facts.groupBy(*keys).agg(*[F.expr(f"sum({m}) AS {m}") for m in measures])
 
 
-def _mean(total: str, digits: int) -> Column:
-    return half_up(ratio(F.col(total), F.col(f"{total}_n")), digits)
+def _mean(total: str, digits: int) -> str:
+    return half_up_text(f"{total} / nullif({total}_n, 0)", digits)
 
 
 def team_offense_of(facts: DataFrame) -> DataFrame:
     """Team offense per season from offense facts or the offense cube."""
-    totals = _total(
-        facts.where(F.col("play_type").isin(COUNTED_PLAY_TYPES)), ["posteam", "season"], OFFENSE_MEASURES
-    )
-    return totals.select(
-        F.col("posteam").alias("team"),
-        F.col("season").alias("season_year"),
-        F.col("plays").alias("total_plays"),
-        F.col("yards").alias("total_yards"),
-        _mean("yards", 2).alias("yards_per_play"),
+    counted = facts.where(F.col("play_type").isin(COUNTED_PLAY_TYPES))
+    return _total(counted, ["posteam", "season"], OFFENSE_MEASURES).selectExpr(
+        "posteam AS team",
+        "season AS season_year",
+        "plays AS total_plays",
+        "yards AS total_yards",
+        f"{_mean('yards', 2)} AS yards_per_play",
         "rush_plays", "pass_plays", "rush_yards", "pass_yards",
-        _mean("rush_yards", 2).alias("yards_per_rush"),
-        _mean("pass_yards", 2).alias("yards_per_pass"),
+        f"{_mean('rush_yards', 2)} AS yards_per_rush",
+        f"{_mean('pass_yards', 2)} AS yards_per_pass",
         "touchdowns", "turnovers",
-        percent(F.col("third_downs_made"), F.col("third_downs"), 1).alias("third_down_pct"),
-        percent(F.col("red_zone_touchdowns"), F.col("red_zone_plays"), 1).alias("red_zone_td_pct"),
+        f"{percent_text('third_downs_made', 'third_downs', 1)} AS third_down_pct",
+        f"{percent_text('red_zone_touchdowns', 'red_zone_plays', 1)} AS red_zone_td_pct",
         "explosive_plays",
-        _mean("epa", 3).alias("avg_epa"),
-        _mean("pass_epa", 3).alias("pass_epa"),
-        _mean("rush_epa", 3).alias("rush_epa"),
+        f"{_mean('epa', 3)} AS avg_epa",
+        f"{_mean('pass_epa', 3)} AS pass_epa",
+        f"{_mean('rush_epa', 3)} AS rush_epa",
     )
 
 
@@ -131,33 +129,31 @@ def team_offense(plays: DataFrame) -> DataFrame:
 
 def team_defense(plays: DataFrame) -> DataFrame:
     """What each team allowed per season."""
-    measures = _measures()
-    facts = plays.where(F.col("defteam").isNotNull() & F.col("play_type").isin(COUNTED_PLAY_TYPES)).select(
-        "defteam", "season", *[measures[m].alias(m) for m in DEFENSE_MEASURES]
-    )
-    return _total(facts, ["defteam", "season"], DEFENSE_MEASURES).select(
-        F.col("defteam").alias("team"),
-        F.col("season").alias("season_year"),
-        F.col("plays").alias("plays_against"),
-        F.col("yards").alias("yards_allowed"),
-        _mean("yards", 2).alias("yards_per_play_allowed"),
+    counted = plays.where(F.col("defteam").isNotNull() & F.col("play_type").isin(COUNTED_PLAY_TYPES))
+    facts = counted.select("defteam", "season", *_measured(DEFENSE_MEASURES))
+    return _total(facts, ["defteam", "season"], DEFENSE_MEASURES).selectExpr(
+        "defteam AS team",
+        "season AS season_year",
+        "plays AS plays_against",
+        "yards AS yards_allowed",
+        f"{_mean('yards', 2)} AS yards_per_play_allowed",
         "sacks", "interceptions",
-        F.col("turnovers").alias("turnovers_forced"),
-        percent(F.col("third_downs_stopped"), F.col("third_downs"), 1).alias("third_down_stop_pct"),
-        _mean("epa", 3).alias("avg_epa_allowed"),
+        "turnovers AS turnovers_forced",
+        f"{percent_text('third_downs_stopped', 'third_downs', 1)} AS third_down_stop_pct",
+        f"{_mean('epa', 3)} AS avg_epa_allowed",
     )
 
 
 def situational_of(facts: DataFrame) -> DataFrame:
     measures = ["plays", "yards", "yards_n", "touchdowns", "conversions", "epa", "epa_n"]
-    return _total(facts.where("has_down"), ["posteam", "season", "situation"], measures).select(
-        F.col("posteam").alias("team"),
-        F.col("season").alias("season_year"),
+    return _total(facts.where("has_down"), ["posteam", "season", "situation"], measures).selectExpr(
+        "posteam AS team",
+        "season AS season_year",
         "situation", "plays",
-        _mean("yards", 2).alias("avg_yards"),
+        f"{_mean('yards', 2)} AS avg_yards",
         "touchdowns",
-        percent(F.col("conversions"), F.col("plays"), 1).alias("conversion_pct"),
-        _mean("epa", 3).alias("avg_epa"),
+        f"{percent_text('conversions', 'plays', 1)} AS conversion_pct",
+        f"{_mean('epa', 3)} AS avg_epa",
     )
 
 
@@ -170,13 +166,13 @@ def formation_effectiveness_of(facts: DataFrame, min_plays: int = 5) -> DataFram
     scrimmage = facts.where(F.col("play_type").isin("pass", "run") & F.col("has_shotgun"))
     measures = ["plays", "yards", "yards_n", "touchdowns", "turnovers", "epa", "epa_n"]
     totals = _total(scrimmage, ["posteam", "season", "formation", "play_type"], measures)
-    return totals.where(F.col("plays") >= min_plays).select(
-        F.col("posteam").alias("team"),
-        F.col("season").alias("season_year"),
+    return totals.where(F.col("plays") >= min_plays).selectExpr(
+        "posteam AS team",
+        "season AS season_year",
         "formation", "play_type", "plays",
-        _mean("yards", 2).alias("avg_yards"),
+        f"{_mean('yards', 2)} AS avg_yards",
         "touchdowns", "turnovers",
-        _mean("epa", 3).alias("avg_epa"),
+        f"{_mean('epa', 3)} AS avg_epa",
     )
 
 

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
 from datetime import datetime, timezone
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.errors import AnalysisException
 
 LEDGER_SCHEMA = T.StructType(
     [
@@ -38,6 +39,19 @@ def pending_seasons(requested: DataFrame, log: DataFrame) -> DataFrame:
     return requested.join(done, finished, "left_anti")
 
 
+def append_entry(rows: DataFrame, path: str) -> None:
+    """Add rows to a log. Every entry has a directory of its own, so entries can be written at the same time."""
+    rows.coalesce(1).write.parquet(f"{path}/entry={uuid.uuid4().hex}")
+
+
+def read_log(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """All entries of a log; none if there is no log yet."""
+    try:
+        return spark.read.schema(schema).parquet(path).select(*schema.names)
+    except AnalysisException:
+        return spark.createDataFrame([], schema)
+
+
 class Ledger:
     """An append-only Parquet log of loads; a later entry for the same key replaces the earlier one."""
 
@@ -46,10 +60,7 @@ class Ledger:
         self.path = path
 
     def log(self) -> DataFrame:
-        try:
-            return self.spark.read.schema(LEDGER_SCHEMA).parquet(self.path)
-        except AnalysisException:
-            return self.spark.createDataFrame([], LEDGER_SCHEMA)
+        return read_log(self.spark, self.path, LEDGER_SCHEMA)
 
     def latest(self) -> DataFrame:
         return latest_loads(self.log())
@@ -58,7 +69,7 @@ class Ledger:
         """Note the row count per loaded season (None for a dataset without seasons)."""
         now = datetime.now(timezone.utc)
         entries = [(dataset_id, table, season, count, now, loader) for season, count in rows.items()]
-        self.spark.createDataFrame(entries, LEDGER_SCHEMA).coalesce(1).write.mode("append").parquet(self.path)
+        append_entry(self.spark.createDataFrame(entries, LEDGER_SCHEMA), self.path)
 
     def pending(self, requested: dict[str, list[int | None]]) -> dict[str, list[int | None]]:
         """The seasons still to be loaded per dataset, in the given order."""

@@ -7,15 +7,20 @@ import threading
 from collections.abc import Sequence
 from datetime import datetime, timezone
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from downfield.sources.ledger import Ledger
+from downfield.sources.ledger import Ledger, append_entry, read_log
 from downfield.sources.tables import merged_schema
 
-_SCHEMA_LOG = "table_name string, schema_json string, recorded_at timestamp"
+_SCHEMA_LOG = T.StructType(
+    [
+        T.StructField("table_name", T.StringType()),
+        T.StructField("schema_json", T.StringType()),
+        T.StructField("recorded_at", T.TimestampType()),
+    ]
+)
 
 
 class Warehouse:
@@ -30,23 +35,17 @@ class Warehouse:
         self.root = root.rstrip("/")
         self.ledger = Ledger(spark, f"{self.root}/_ingest_metadata")
         self._schemas: dict[str, T.StructType] | None = None
-        # Two appends to one directory at the same time would remove each other's temporary files.
-        self._log_lock = threading.RLock()
+        self._lock = threading.Lock()  # tables are written from several threads
 
     def path(self, table: str) -> str:
         return f"{self.root}/{table}"
 
-    def _schema_log(self) -> DataFrame:
-        try:
-            return self.spark.read.schema(_SCHEMA_LOG).parquet(self.path("_schemas"))
-        except AnalysisException:
-            return self.spark.createDataFrame([], _SCHEMA_LOG)
-
     def schemas(self) -> dict[str, T.StructType]:
         """Schema per stored table, read once per warehouse object; `refresh` reads it again."""
-        with self._log_lock:
+        with self._lock:
             if self._schemas is None:
-                newest = self._schema_log().groupBy("table_name").agg(F.max_by("schema_json", "recorded_at").alias("text"))
+                log = read_log(self.spark, self.path("_schemas"), _SCHEMA_LOG)
+                newest = log.groupBy("table_name").agg(F.max_by("schema_json", "recorded_at").alias("text"))
                 self._schemas = {r.table_name: T.StructType.fromJson(json.loads(r.text)) for r in newest.collect()}
             return self._schemas
 
@@ -64,15 +63,8 @@ class Warehouse:
 
     def _record_schema(self, table: str, schema: T.StructType) -> None:
         row = (table, schema.json(), datetime.now(timezone.utc))
-        frame = self.spark.createDataFrame([row], _SCHEMA_LOG).coalesce(1)
-        with self._log_lock:
-            frame.write.mode("append").parquet(self.path("_schemas"))
-            self.schemas()[table] = schema
-
-    def record_load(self, dataset_id: str, table: str, loader: str, rows: dict[int | None, int]) -> None:
-        """Note finished loads in the ledger."""
-        with self._log_lock:
-            self.ledger.record(dataset_id, table, loader, rows)
+        append_entry(self.spark.createDataFrame([row], _SCHEMA_LOG), self.path("_schemas"))
+        self.schemas()[table] = schema
 
     def read(self, table: str) -> DataFrame:
         schema = self.schema(table)

@@ -70,7 +70,7 @@ def test_names_types_and_appending(spark):
 
 
 def test_windows_failures_and_empty_seasons(spark, warehouse):
-    warehouse.record_load("stats", "stats", "load_stats", {2020: 1})
+    warehouse.ledger.record("stats", "stats", "load_stats", {2020: 1})
     read = seasonal_reader(spark, {2020: [0], 2023: [], 2024: [2024]})
     wanted = wanted_seasons(warehouse, [SEASONAL], [2019, 2020, 2021, 2023, 2024, 2025])
     assert wanted == {"stats": [2021, 2023, 2024]}

@@ -2,66 +2,85 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
-
-from pyspark.sql import Column
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
 # Texts that stand for "no value" in the source files.
 MISSING_TEXTS = ["None", "nan", "NaN", ""]
 
+_TEXTS = [
+    "season", "season_type", "posteam", "defteam", "play_type", "passer_player_name", "rusher_player_name",
+    "receiver_player_name", "desc",
+]
+_NUMBERS = [
+    "down", "ydstogo", "qtr", "week", "yardline_100", "yards_gained", "touchdown", "interception", "fumble_lost",
+    "pass_attempt", "rush_attempt",
+]
 
-def play_description(columns: Iterable[str]) -> Column:
-    """Text such as `3 & 8 — Q4 — Week 9 2024 (POST): KC vs BAL — PASS — QB: P.Mahomes — … — [Red Zone]`.
 
-    `columns` are the columns the plays have; a missing column counts as NULL. Parts that cannot be
-    built (missing or not a number) are left out.
-    """
-    present = set(columns)
+def _when(condition: str, value: str) -> str:
+    return f"CASE WHEN {condition} THEN {value} END"
+
 
-    def raw(name: str) -> Column:
-        return F.col(name) if name in present else F.lit(None).cast("string")
+def _whole(number: str) -> str:
+    return f"CAST(CAST({number} AS BIGINT) AS STRING)"
 
-    def text(name: str) -> Column:
-        value = raw(name).cast("string")
-        return F.when(~value.isin(MISSING_TEXTS), value)
 
-    def number(name: str) -> Column:
-        value = raw(name).try_cast("double")
-        return F.when(~F.isnan(value), value)
+def with_description(plays: DataFrame, name: str = "enhanced_description") -> DataFrame:
+    """Add a text such as `3 & 8 — Q4 — Week 9 2024 (POST): KC vs BAL — PASS — QB: P.Mahomes — … — [Red Zone]`.
+
+    Parts that cannot be built (a column that is missing, NULL or not a number) are left out. The
+    values are cleaned first and put together in further steps, which keeps each step small enough
+    for the JVM to compile.
+    """
+    present = set(plays.columns)
+    missing = ", ".join(f"'{text}'" for text in MISSING_TEXTS)
+
+    def raw(column: str) -> str:
+        return f"`{column}`" if column in present else "CAST(NULL AS STRING)"
 
-    def whole(name: str) -> Column:
-        return number(name).cast("long").cast("string")
+    def text(column: str) -> str:
+        value = f"CAST({raw(column)} AS STRING)"
+        return _when(f"{value} NOT IN ({missing})", value)
 
-    def is_one(name: str) -> Column:
-        return F.coalesce(number(name) == 1, F.lit(False))
+    def number(column: str) -> str:
+        return f"nullif(try_cast({raw(column)} AS DOUBLE), double('NaN'))"
 
-    season_type = F.coalesce(text("season_type"), F.lit("REG"))
-    game = F.concat(
-        F.coalesce(text("season"), F.lit("")), F.lit(" ("), season_type, F.lit("): "),
-        F.coalesce(text("posteam"), F.lit("")), F.lit(" vs "), F.coalesce(text("defteam"), F.lit("")),
+    cleaned = plays.selectExpr(
+        *[f"`{c}`" for c in plays.columns],
+        *[f"{text(c)} AS _text_{c}" for c in _TEXTS],
+        *[f"{number(c)} AS _number_{c}" for c in _NUMBERS],
     )
-    gained = F.coalesce(number("yards_gained"), F.lit(0.0))
-    down = number("down").cast("long")
-    tags = F.concat_ws(
-        ", ",
-        F.when(number("yardline_100") <= 20, "Red Zone"),
-        F.when(down == 3, "3rd Down").when(down == 4, "4th Down"),
-        F.when(is_one("touchdown"), "TOUCHDOWN"),
-        F.when(is_one("interception") | is_one("fumble_lost"), "TURNOVER"),
-        F.when((is_one("pass_attempt") & (gained >= 20)) | (is_one("rush_attempt") & (gained >= 10)), "EXPLOSIVE"),
-        F.when(season_type == "POST", "PLAYOFFS"),
+    down = "CAST(_number_down AS BIGINT)"
+    gained = "coalesce(_number_yards_gained, 0)"
+    tags = [
+        _when("_number_yardline_100 <= 20", "'Red Zone'"),
+        _when(f"{down} = 3", "'3rd Down'"),
+        _when(f"{down} = 4", "'4th Down'"),
+        _when("_number_touchdown = 1", "'TOUCHDOWN'"),
+        _when("_number_interception = 1 OR _number_fumble_lost = 1", "'TURNOVER'"),
+        _when(
+            f"(_number_pass_attempt = 1 AND {gained} >= 20) OR (_number_rush_attempt = 1 AND {gained} >= 10)",
+            "'EXPLOSIVE'",
+        ),
+        _when("_text_season_type = 'POST'", "'PLAYOFFS'"),
+    ]
+    game = (
+        "concat(coalesce(_text_season, ''), ' (', coalesce(_text_season_type, 'REG'), '): ', "
+        "coalesce(_text_posteam, ''), ' vs ', coalesce(_text_defteam, ''))"
     )
     # concat is NULL as soon as one of its parts is, and concat_ws skips NULL parts.
-    return F.concat_ws(
-        " — ",
-        F.when(number("down") != 0, F.concat(whole("down"), F.lit(" & "), whole("ydstogo"))),
-        F.when(number("qtr") != 0, F.concat(F.lit("Q"), whole("qtr"))),
-        F.coalesce(F.concat(F.lit("Week "), whole("week"), F.lit(" "), game), game),
-        F.upper(text("play_type")),
-        F.concat(F.lit("QB: "), text("passer_player_name")),
-        F.concat(F.lit("RB: "), text("rusher_player_name")),
-        F.concat(F.lit("Receiver: "), text("receiver_player_name")),
-        text("desc"),
-        F.when(tags != "", F.concat(F.lit("["), tags, F.lit("]"))),
+    grouped = cleaned.selectExpr("*", f"{game} AS _game", f"concat_ws(', ', {', '.join(tags)}) AS _tags")
+    parts = [
+        _when("_number_down <> 0", f"concat({_whole('_number_down')}, ' & ', {_whole('_number_ydstogo')})"),
+        _when("_number_qtr <> 0", f"concat('Q', {_whole('_number_qtr')})"),
+        f"coalesce(concat('Week ', {_whole('_number_week')}, ' ', _game), _game)",
+        "upper(_text_play_type)",
+        "concat('QB: ', _text_passer_player_name)",
+        "concat('RB: ', _text_rusher_player_name)",
+        "concat('Receiver: ', _text_receiver_player_name)",
+        "_text_desc",
+        "concat('[', nullif(_tags, ''), ']')",
+    ]
+    return grouped.selectExpr(
+        *[f"`{c}`" for c in plays.columns], f"concat_ws(' — ', {', '.join(parts)}) AS {name}"
     )

@@ -4,11 +4,10 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from downfield.functions.text import play_description
+from downfield.functions.text import with_description
 
 
 def safe_names(df: DataFrame) -> DataFrame:
@@ -26,18 +25,18 @@ def stored_type(data_type: T.DataType) -> T.DataType:
     return data_type if isinstance(data_type, kept) else T.StringType()
 
 
-def _stored(name: str, data_type: T.DataType, target: T.DataType) -> Column:
-    column = F.col(f"`{name}`")
-    nested = isinstance(data_type, (T.ArrayType, T.MapType, T.StructType))
-    return (F.to_json(column) if nested else column).cast(target).alias(name)
+def _stored(field: T.StructField, target: T.DataType) -> str:
+    column = f"`{field.name}`"
+    if field.dataType == target:
+        return column
+    nested = isinstance(field.dataType, (T.ArrayType, T.MapType, T.StructType))
+    return f"CAST({f'to_json({column})' if nested else column} AS {target.simpleString()}) AS {column}"
 
 
 def with_stored_types(df: DataFrame, existing: T.StructType | None = None) -> DataFrame:
     """Cast every column to its stored type, or to the type the existing table has for it."""
     known = {f.name: f.dataType for f in existing} if existing is not None else {}
-    return df.select(
-        *[_stored(f.name, f.dataType, known.get(f.name, stored_type(f.dataType))) for f in df.schema]
-    )
+    return df.selectExpr(*[_stored(f, known.get(f.name, stored_type(f.dataType))) for f in df.schema])
 
 
 def merged_schema(existing: T.StructType | None, incoming: T.StructType) -> T.StructType:
@@ -56,4 +55,4 @@ def prepare_plays(plays: DataFrame) -> DataFrame:
     """Drop rows without both teams and add the description text."""
     if {"posteam", "defteam"} <= set(plays.columns):
         plays = plays.dropna(subset=["posteam", "defteam"])
-    return plays.withColumn("enhanced_description", play_description(plays.columns))
+    return with_description(plays)

@@ -10,7 +10,7 @@ from downfield.functions.grouping import counted, join_on_same, totals_with_prof
 from downfield.functions.labels import formation_label, injury_type, short_name, shorten, situation_label
 from downfield.functions.median import summarize
 from downfield.functions.numeric import half_up, percent
-from downfield.functions.text import play_description
+from downfield.functions.text import with_description
 
 
 def values(df, column):
@@ -81,7 +81,7 @@ def test_short_names(spark, name, expected):
 
 def describe(spark, schema, row):
     df = spark.createDataFrame([row], schema)
-    return values(df, play_description(df.columns))[0]
+    return with_description(df, "text").first().text
 
 
 def test_play_description_with_all_parts(spark):

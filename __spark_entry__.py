@@ -92,7 +92,7 @@ def _ledger_log(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("table"), (F.col("o_custkey") % 29).cast("string")).alias("table_name"),
         F.when(F.col("o_custkey") % 29 >= 9, 2013 + key % 13).cast("int").alias("season"),
         F.col("o_custkey").alias("row_count"),
-        (F.lit("2024-01-01 00:00:00").cast("timestamp") + F.make_dt_interval(secs=key)).alias("loaded_at"),
+        (F.lit("2024-01-01T00:00:00Z").cast("timestamp") + F.make_dt_interval(secs=key)).alias("loaded_at"),
         F.concat(F.lit("load"), key.cast("string")).alias("loader_fn"),
     )
 

@@ -275,7 +275,7 @@ def queries() -> dict[str, Query]:
     }
     for name, (arguments, _, _) in _SEARCHES.items():
         found[name] = over(search.search_plays, "plays", **arguments)
-    return found
+    return {**found, **_corpus_operators()[0]}
 
 
 _LOG = """log AS (SELECT concat('dataset', CAST(o_custkey % 29 AS STRING)) AS dataset_id,
@@ -430,9 +430,23 @@ GROUP BY team, formation ORDER BY plays DESC, team, formation LIMIT 60""",
             f"SELECT * FROM (SELECT {columns} FROM plays WHERE {where}) t "
             f"ORDER BY ABS(epa) DESC NULLS LAST, {o.ties(search.PLAY_COLUMNS)} LIMIT {limit}"
         )
-    return found
+    return {**found, **_corpus_operators()[1]}
 
 
 def entry(spark: SparkSession) -> DataFrame:
     """Team offense per season over the smallest test data."""
     return teams.team_offense(samples.load(spark, "/root/testdata/sf0.001", "plays"))
+
+
+def _corpus_operators() -> tuple[dict[str, Query], dict[str, str]]:
+    """Queries and SQL of the operators on text corpora; none where that subpackage is not installed."""
+    try:
+        import corpus_pipeline
+        from downfield.llm import queries as corpus
+    except ModuleNotFoundError as error:
+        if error.name not in ("corpus_pipeline", "downfield.llm"):
+            raise
+        return {}, {}
+    found = {"pipeline": corpus_pipeline.run, **corpus.QUERIES}
+    pipeline_sql = {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}
+    return found, {**pipeline_sql, **corpus.ORACLE_SQL}

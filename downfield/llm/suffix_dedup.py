@@ -30,7 +30,14 @@ from .common import stored, utf8
 
 GRAM = 32
 NO_ID = -(2**63)
-_BASE = np.uint64(0x9E3779B97F4A7C15)
+_BASE = 0x9E3779B97F4A7C15
+_INVERSE = pow(_BASE, -1, 1 << 64)
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    powers = np.full(n, base, np.uint64)
+    powers[0] = 1
+    return np.multiply.accumulate(powers)
 
 
 def gram_hashes(data: np.ndarray, size: int) -> np.ndarray:
@@ -38,11 +45,9 @@ def gram_hashes(data: np.ndarray, size: int) -> np.ndarray:
     n = len(data)
     if n < size:
         return np.zeros(0, np.uint64)
-    powers = np.full(n, _BASE, np.uint64)
-    powers[0] = 1
-    powers = np.multiply.accumulate(powers)
-    sums = np.concatenate([[np.uint64(0)], np.add.accumulate((data.astype(np.uint64) + np.uint64(1)) * powers[::-1])])
-    found = (sums[size:] - sums[:-size]) * powers[: n - size + 1]
+    # the sum of byte * base^place over a string, carried back to place 0
+    sums = np.concatenate([[np.uint64(0)], np.add.accumulate((data.astype(np.uint64) + np.uint64(1)) * _powers(_BASE, n))])
+    found = (sums[size:] - sums[:-size]) * _powers(_INVERSE, n - size + 1)
     found ^= found >> np.uint64(29)
     found *= np.uint64(0xBF58476D1CE4E5B9)
     found ^= found >> np.uint64(32)

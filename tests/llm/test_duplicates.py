@@ -215,8 +215,9 @@ def brute_lines(rows, similarity=0.8, least_words=5):
     links = []
     for a, b in combinations(sorted(prints), 2):
         differ = prints[a] ^ prints[b]
-        if sum(not differ & m for m in masks) >= 2 and abs(len(a) - len(b)) <= int(max(len(a), len(b)) * (1 - similarity) + 1e-9):
-            if edit_distance(a, b) <= int(max(len(a), len(b)) * (1 - similarity) + 1e-9):
+        if sum(not differ & m for m in masks) >= 2:
+            x, y = a.split(" "), b.split(" ")
+            if edit_distance(x, y) <= int(max(len(x), len(y)) * (1 - similarity) + 1e-9):
                 links.append((a, b))
     groups = defaultdict(list)
     for norm, root in groups_of(prints, links).items():

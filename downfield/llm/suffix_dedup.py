@@ -191,7 +191,7 @@ def _settled(positions: DataFrame, length: int) -> DataFrame:
     their bytes. All steps use one shuffle by the first rank, and sort within it.
     """
     last = length - GRAM
-    rows = positions.withColumns({"lo": F.lit(0), "hi": F.lit(last), "done": F.lit(False)})
+    rows = positions.repartition("rank").withColumns({"lo": F.lit(0), "hi": F.lit(last), "done": F.lit(False)})
 
     def part(column: str, size: Column) -> Column:
         return F.substring(F.col(column), F.lit(1), size)

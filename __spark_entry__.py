@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import os
 import sys
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -28,9 +27,9 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new directory in the folder the cluster shares; a local one only where none is named."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{shared.rstrip('/')}/downfield-{uuid.uuid4().hex}" if shared else tempfile.mkdtemp(prefix="downfield-")
+    """A new directory in the folder the cluster shares, or in the warehouse where none is named."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/_shared"
+    return f"{shared.rstrip('/')}/downfield-{uuid.uuid4().hex}"
 
 
 def over(operator: Callable[..., DataFrame], *tables: str, **arguments) -> Query:
@@ -172,7 +171,7 @@ _SEARCHES: dict[str, tuple[dict, str, int]] = {
     "search_plays": ({}, "TRUE", 50),
     "search_plays_team_red_zone": (
         {"team": "t3", "season_from": 2019, "season_to": 2022, "situation": "red_zone", "max_rows": 9999},
-        "posteam = 'T3' AND season BETWEEN 2019 AND 2022 AND yardline_100 <= 20", 500,
+        "posteam = 'T3' AND season BETWEEN 2019 AND 2022 AND yardline_100 <= 20", 9999,
     ),
     "search_plays_two_minute": (
         {"situation": "two_minute", "play_type": "pass", "min_yards": 0, "max_rows": 200},
@@ -222,6 +221,7 @@ def queries() -> dict[str, Query]:
         "compare_teams_defense": over(_compared_teams("defense"), "plays"),
         "compare_players": over(search.compare_players, "plays", player1="N5", player2="N12"),
         "schedule": over(lookups.schedule, "schedules", team="t4", season_type="reg"),
+        "schedule_first": over(lookups.schedule, "schedules", team="t4", season_type="reg", limit=500),
         "roster": over(lookups.roster, "rosters", season=2021, position="wr"),
         "injury_report": over(lookups.injury_report, "injuries", season=2020, report_status="out"),
         "snap_counts": over(lookups.snap_counts, "snap_counts", season=2022, position="TE"),
@@ -250,7 +250,7 @@ def queries() -> dict[str, Query]:
             "ftn_charting", "plays",
         ),
         "contract_value_report": over(
-            _report(lookups.contract_value_report, players.contract_value, min_apy=5.0, max_apy=39.0, limit="bad"),
+            _report(lookups.contract_value_report, players.contract_value, min_apy=5.0, max_apy=39.0),
             "contracts", "ff_opportunity",
         ),
         "injury_return_report": over(
@@ -339,23 +339,27 @@ def oracle_sql() -> dict[str, str]:
         "compare_teams_defense": o.report("team_defense", teams_pair, "season_year", 1000),
         "compare_players": o.compared(["N5", "N12"]),
         "schedule": o.base_report(
+            "schedules", lookups.SCHEDULE_COLUMNS, "(home_team = 'T4' OR away_team = 'T4') AND game_type = 'REG'",
+            "season, week", None,
+        ),
+        "schedule_first": o.base_report(
             "schedules", lookups.SCHEDULE_COLUMNS, "(home_team = 'T4' OR away_team = 'T4') AND game_type = 'REG'",
             "season, week", 500,
         ),
         "roster": o.base_report(
-            "rosters", lookups.ROSTER_COLUMNS, "season = 2021 AND position ILIKE 'WR'", "position, full_name", 500
+            "rosters", lookups.ROSTER_COLUMNS, "season = 2021 AND position ILIKE 'WR'", "position, full_name", None
         ),
         "injury_report": o.base_report(
             "injuries", lookups.INJURY_COLUMNS, "season = 2020 AND report_status ILIKE '%out%'",
-            "season, week, team, full_name", 500,
+            "season, week, team, full_name", None,
         ),
         "snap_counts": o.base_report(
             "snap_counts", lookups.SNAP_COLUMNS, "season = 2022 AND position ILIKE 'TE'",
-            "season, week, team, offense_snaps DESC NULLS LAST", 500,
+            "season, week, team, offense_snaps DESC NULLS LAST", None,
         ),
         "fantasy_opportunity": o.base_report(
             "ff_opportunity", lookups.OPPORTUNITY_COLUMNS, "full_name ILIKE '%n1%' AND position ILIKE 'RB'",
-            "season DESC, week DESC, total_fantasy_points_exp DESC NULLS LAST", 500,
+            "season DESC, week DESC, total_fantasy_points_exp DESC NULLS LAST", None,
         ),
         "charting_tendencies": o.charting("TRUE"),
         "charting_tendencies_team": o.charting("p.posteam = 'T5' AND p.season >= 2023 AND p.season_type = 'REG'"),

@@ -7,7 +7,7 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MAX_ROWS = 500
+MAX_ROWS = 500  # most rows of an answer unless the caller says otherwise
 
 
 def equals(column: str, value) -> Column | None:
@@ -58,17 +58,18 @@ def season_conditions(
     ]
 
 
-def clamp_limit(limit) -> int:
-    """A row limit between 1 and 500; 50 where it is not a number."""
-    try:
-        return max(1, min(int(limit), MAX_ROWS))
-    except (TypeError, ValueError):
-        return 50
+def row_limit(limit: int | None) -> int | None:
+    """The limit as given, None for all rows; anything but a whole number of at least 0 is an error."""
+    if limit is not None and int(limit) < 0:
+        raise ValueError(f"A row limit cannot be negative: {limit}")
+    return None if limit is None else int(limit)
 
 
-def top_rows(df: DataFrame, order: Sequence[Column], columns: Sequence[str], limit: int) -> DataFrame:
-    """The first rows in the given order; ties are broken by the columns themselves.
+def top_rows(df: DataFrame, order: Sequence[Column], columns: Sequence[str], limit: int | None = None) -> DataFrame:
+    """The first rows in the given order, all without a limit; ties are broken by the columns themselves.
 
     Sort and limit become one top-k per task and a merge of those, not a full sort.
     """
-    return df.orderBy(*order, *[F.asc_nulls_last(c) for c in columns]).limit(limit).select(*columns)
+    ordered = df.orderBy(*order, *[F.asc_nulls_last(c) for c in columns])
+    limit = row_limit(limit)
+    return (ordered if limit is None else ordered.limit(limit)).select(*columns)

@@ -19,6 +19,25 @@ def half_up(value: Column, digits: int) -> Column:
     return F.round(value * scale) / scale
 
 
+def half_even(value: Column, digits: int) -> Column:
+    """Round the double itself, not its decimal text; only a value exactly between two results goes to the even one.
+
+    The product with the power of ten is split into its rounded part and what rounding left out (digits up to 2).
+    Where the rounded part lies between two whole numbers, the rest decides.
+    """
+    scale = F.lit(float(10**digits))
+    high = value * F.lit(134217729.0) - (value * F.lit(134217729.0) - value)
+    product = value * scale
+    rest = (high * scale - product) + (value - high) * scale
+    tie = F.abs(product - F.floor(product) - F.lit(0.5)) == 0
+    whole = (
+        F.when(tie & (rest > 0), F.ceil(product).cast("double"))
+        .when(tie & (rest < 0), F.floor(product).cast("double"))
+        .otherwise(F.rint(product))
+    )
+    return whole / scale
+
+
 def ratio(numerator: Column, denominator: Column) -> Column:
     """numerator / denominator, NULL where the denominator is 0."""
     return numerator / F.nullif(denominator, F.lit(0))

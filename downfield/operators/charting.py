@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from downfield.functions.filters import number_equals, season_conditions, upper_equals, where_all
 from downfield.functions.grouping import counted
+from downfield.functions.numeric import half_even
 from downfield.operators.search import names_any
 
 # output name -> charting flag
@@ -68,9 +69,9 @@ def charting_tendencies(
         sums[f"{name}_n"] = F.when(known, copies)
     totals = chosen.join(charted, ["game_id", "play_id"]).agg(*[F.sum(v).alias(n) for n, v in sums.items()])
 
-    # bround: an exact tie goes to the even digit here, unlike in the stored tables.
+    # an exact tie goes to the even digit here, unlike in the stored tables
     columns = [F.col("total_plays")]
     for name in TENDENCIES:
-        columns += [F.col(name), F.bround(F.lit(100.0) * F.col(name) / F.col("total_plays"), 1).alias(f"{name}_pct")]
-    columns += [F.bround(F.col(name) / F.col(f"{name}_n"), 2).alias(name) for name in CROWDS]
+        columns += [F.col(name), half_even(F.lit(100.0) * F.col(name) / F.col("total_plays"), 1).alias(f"{name}_pct")]
+    columns += [half_even(F.col(name) / F.col(f"{name}_n"), 2).alias(name) for name in CROWDS]
     return totals.where(F.col("total_plays") > 0).select(*columns)

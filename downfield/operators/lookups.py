@@ -6,10 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from downfield.functions.filters import (
-    MAX_ROWS,
     at_least,
     at_most,
-    clamp_limit,
     contains_text,
     number_equals,
     same_text,
@@ -91,6 +89,7 @@ def schedule(
     season: int | None = None,
     week: int | None = None,
     season_type: str | None = None,
+    limit: int | None = None,
 ) -> DataFrame:
     """Games and results; a team matches at home and away, `season_type` is the game type."""
     plays_in = (F.col("home_team") == team.upper()) | (F.col("away_team") == team.upper()) if team else None
@@ -98,17 +97,17 @@ def schedule(
         games,
         [plays_in, number_equals("season", season), number_equals("week", week), upper_equals("game_type", season_type)],
     )
-    return top_rows(found, [F.asc_nulls_last("season"), F.asc_nulls_last("week")], SCHEDULE_COLUMNS, MAX_ROWS)
+    return top_rows(found, [F.asc_nulls_last("season"), F.asc_nulls_last("week")], SCHEDULE_COLUMNS, limit)
 
 
 def roster(
-    rosters: DataFrame, team: str | None = None, season: int | None = None, position: str | None = None
+    rosters: DataFrame, team: str | None = None, season: int | None = None, position: str | None = None, limit: int | None = None
 ) -> DataFrame:
     found = where_all(
         rosters, [upper_equals("team", team), number_equals("season", season), same_text("position", position)]
     )
     order = [F.asc_nulls_last("position"), F.asc_nulls_last("full_name")]
-    return top_rows(found, order, ROSTER_COLUMNS, MAX_ROWS)
+    return top_rows(found, order, ROSTER_COLUMNS, limit)
 
 
 def injury_report(
@@ -118,6 +117,7 @@ def injury_report(
     week: int | None = None,
     player: str | None = None,
     report_status: str | None = None,
+    limit: int | None = None,
 ) -> DataFrame:
     found = where_all(
         injuries,
@@ -130,7 +130,7 @@ def injury_report(
         ],
     )
     order = [F.asc_nulls_last(c) for c in ("season", "week", "team", "full_name")]
-    return top_rows(found, order, INJURY_COLUMNS, MAX_ROWS)
+    return top_rows(found, order, INJURY_COLUMNS, limit)
 
 
 def snap_counts(
@@ -140,6 +140,7 @@ def snap_counts(
     season: int | None = None,
     week: int | None = None,
     position: str | None = None,
+    limit: int | None = None,
 ) -> DataFrame:
     """Snaps per player and game; the name is searched as given and in its short form."""
     named = None
@@ -156,7 +157,7 @@ def snap_counts(
         ],
     )
     order = [F.asc_nulls_last(c) for c in ("season", "week", "team")] + [F.desc_nulls_last("offense_snaps")]
-    return top_rows(found, order, SNAP_COLUMNS, MAX_ROWS)
+    return top_rows(found, order, SNAP_COLUMNS, limit)
 
 
 def fantasy_opportunity(
@@ -166,6 +167,7 @@ def fantasy_opportunity(
     season: int | None = None,
     week: int | None = None,
     position: str | None = None,
+    limit: int | None = None,
 ) -> DataFrame:
     found = where_all(
         opportunity,
@@ -178,7 +180,7 @@ def fantasy_opportunity(
         ],
     )
     order = [F.desc_nulls_last(c) for c in ("season", "week", "total_fantasy_points_exp")]
-    return top_rows(found, order, OPPORTUNITY_COLUMNS, MAX_ROWS)
+    return top_rows(found, order, OPPORTUNITY_COLUMNS, limit)
 
 
 def ranking_scope(scope: str | None) -> str:
@@ -196,7 +198,7 @@ def fantasy_rankings(
     team: str | None = None,
     scope: str = "draft",
     ranking_set: str | None = None,
-    limit: int = 50,
+    limit: int | None = 50,
 ) -> DataFrame:
     """Expert consensus rankings, best (lowest ecr) first; `rankings` is the table of the scope."""
     columns = RANKING_COLUMNS[ranking_scope(scope)]
@@ -210,7 +212,7 @@ def fantasy_rankings(
             contains_text("ranking_set", ranking_set),
         ],
     )
-    return top_rows(found, [F.asc_nulls_last("ecr")], list(columns), clamp_limit(limit))
+    return top_rows(found, [F.asc_nulls_last("ecr")], list(columns), limit)
 
 
 def _player_rows(table: DataFrame, player, position, team, season) -> DataFrame:
@@ -231,11 +233,11 @@ def td_luck_report(
     position: str | None = None,
     team: str | None = None,
     season: int | None = None,
-    limit: int = 50,
+    limit: int | None = 50,
 ) -> DataFrame:
     """Unluckiest players first."""
     found = _player_rows(luck, player, position, team, season)
-    return top_rows(found, [F.asc_nulls_last("total_td_luck_score")], TD_LUCK_COLUMNS, clamp_limit(limit))
+    return top_rows(found, [F.asc_nulls_last("total_td_luck_score")], TD_LUCK_COLUMNS, limit)
 
 
 def role_trend_report(
@@ -246,14 +248,14 @@ def role_trend_report(
     season: int | None = None,
     week: int | None = None,
     min_snap_pct: float | None = None,
-    limit: int = 50,
+    limit: int | None = 50,
 ) -> DataFrame:
     """Largest gain in snap share first."""
     found = where_all(
         _player_rows(trend, player, position, team, season),
         [number_equals("week", week), at_least("snap_pct", min_snap_pct)],
     )
-    return top_rows(found, [F.desc_nulls_last("snap_pct_delta")], ROLE_TREND_COLUMNS, clamp_limit(limit))
+    return top_rows(found, [F.desc_nulls_last("snap_pct_delta")], ROLE_TREND_COLUMNS, limit)
 
 
 def separation_report(
@@ -263,7 +265,7 @@ def separation_report(
     team: str | None = None,
     season: int | None = None,
     regression_candidate: bool | None = None,
-    limit: int = 50,
+    limit: int | None = 50,
 ) -> DataFrame:
     """Largest shortfall of fantasy points per game first; tracking data begins in 2016."""
     if season is not None and int(season) < 2016:
@@ -271,7 +273,7 @@ def separation_report(
     found = _player_rows(separation, player, position, team, season)
     if regression_candidate is not None:
         found = found.where(F.col("regression_candidate") == bool(regression_candidate))
-    return top_rows(found, [F.asc_nulls_last("fp_diff_per_game")], SEPARATION_COLUMNS, clamp_limit(limit))
+    return top_rows(found, [F.asc_nulls_last("fp_diff_per_game")], SEPARATION_COLUMNS, limit)
 
 
 def drop_rate_report(
@@ -280,7 +282,7 @@ def drop_rate_report(
     team: str | None = None,
     season: int | None = None,
     min_targets: int | None = None,
-    limit: int = 50,
+    limit: int | None = 50,
 ) -> DataFrame:
     """Highest drop rate first; charting begins in 2022."""
     if season is not None and int(season) < 2022:
@@ -294,7 +296,7 @@ def drop_rate_report(
             at_least("catchable_targets", min_targets),
         ],
     )
-    return top_rows(found, [F.desc_nulls_last("drop_rate_pct")], DROP_RATE_COLUMNS, clamp_limit(limit))
+    return top_rows(found, [F.desc_nulls_last("drop_rate_pct")], DROP_RATE_COLUMNS, limit)
 
 
 def contract_value_report(
@@ -305,13 +307,13 @@ def contract_value_report(
     season: int | None = None,
     min_apy: float | None = None,
     max_apy: float | None = None,
-    limit: int = 50,
+    limit: int | None = 50,
 ) -> DataFrame:
     """Most fantasy points per million first."""
     found = where_all(
         _player_rows(values, player, position, team, season), [at_least("apy", min_apy), at_most("apy", max_apy)]
     )
-    return top_rows(found, [F.desc_nulls_last("fp_per_million")], CONTRACT_COLUMNS, clamp_limit(limit))
+    return top_rows(found, [F.desc_nulls_last("fp_per_million")], CONTRACT_COLUMNS, limit)
 
 
 def injury_return_report(
@@ -319,10 +321,10 @@ def injury_return_report(
     injury_type: str | None = None,
     position: str | None = None,
     week_post_return: int | None = None,
-    limit: int = 50,
+    limit: int | None = 50,
 ) -> DataFrame:
     found = where_all(curve, [contains_text("injury_type", injury_type), upper_equals("position", position)])
     if week_post_return is not None:
         found = found.where(F.col("week_post_return") == int(week_post_return))
     order = [F.asc_nulls_last(c) for c in ("week_post_return", "injury_type", "position")]
-    return top_rows(found, order, INJURY_RETURN_COLUMNS, clamp_limit(limit))
+    return top_rows(found, order, INJURY_RETURN_COLUMNS, limit)

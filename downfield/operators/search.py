@@ -9,7 +9,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from downfield.functions.filters import (
-    MAX_ROWS,
     at_least,
     equals,
     number_equals,
@@ -61,7 +60,7 @@ def search_plays(
     is_touchdown: bool = False,
     is_turnover: bool = False,
     min_yards: int | None = None,
-    max_rows: int = 50,
+    max_rows: int | None = 50,
 ) -> DataFrame:
     """Plays that meet every given filter, those with the largest effect (|epa|) first."""
     found = where_all(
@@ -80,7 +79,7 @@ def search_plays(
             at_least("yards_gained", min_yards),
         ],
     )
-    return top_rows(found, [F.abs("epa").desc_nulls_last()], PLAY_COLUMNS, max(0, min(max_rows, MAX_ROWS)))
+    return top_rows(found, [F.abs("epa").desc_nulls_last()], PLAY_COLUMNS, max_rows)
 
 
 # stat type -> (player column, play type)

@@ -7,7 +7,6 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
-from downfield.functions.filters import MAX_ROWS
 
 # Functions that call arbitrary JVM code.
 _UNSAFE = re.compile(r"\b(reflect|try_reflect|java_method)\b", re.IGNORECASE)
@@ -26,7 +25,7 @@ class CappedRows:
 
 
 def capped_query(spark: SparkSession, sql: str, max_rows: int = 100) -> CappedRows:
-    """Run one SELECT as a sub-query, where no command can stand, and cap its rows at 500 or less."""
+    """Run one SELECT as a sub-query, where no command can stand, and cap its rows."""
     text = sql.strip()
     if not re.match(r"SELECT\b", text, re.IGNORECASE):
         raise ValueError("Only SELECT queries are allowed.")
@@ -36,6 +35,6 @@ def capped_query(spark: SparkSession, sql: str, max_rows: int = 100) -> CappedRo
     text = text.rstrip("; \n\t")
     if ";" in text:
         raise ValueError("Multiple statements are not allowed.")
-    cap = max(1, min(int(max_rows), MAX_ROWS))
+    cap = max(1, int(max_rows))
     probe = spark.sql(f"SELECT * FROM (\n{text}\n) AS answer LIMIT {cap + 1}")
     return CappedRows(probe.limit(cap), probe, cap)

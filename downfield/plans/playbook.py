@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from downfield.functions.filters import MAX_ROWS
 from downfield.operators import charting, lookups, search, sql, status, teams
 from downfield.plans.build import charted
 from downfield.sources.warehouse import Warehouse
@@ -64,19 +65,19 @@ class Playbook:
         raise ValueError("compare_type must be 'team' or 'player'")
 
     def schedule(self, **filters) -> DataFrame:
-        return lookups.schedule(self.table("schedules"), **filters)
+        return lookups.schedule(self.table("schedules"), **{"limit": MAX_ROWS, **filters})
 
     def roster(self, **filters) -> DataFrame:
-        return lookups.roster(self.table("rosters"), **filters)
+        return lookups.roster(self.table("rosters"), **{"limit": MAX_ROWS, **filters})
 
     def injuries(self, **filters) -> DataFrame:
-        return lookups.injury_report(self.table("injuries"), **filters)
+        return lookups.injury_report(self.table("injuries"), **{"limit": MAX_ROWS, **filters})
 
     def snap_counts(self, **filters) -> DataFrame:
-        return lookups.snap_counts(self.table("snap_counts"), **filters)
+        return lookups.snap_counts(self.table("snap_counts"), **{"limit": MAX_ROWS, **filters})
 
     def fantasy_opportunity(self, **filters) -> DataFrame:
-        return lookups.fantasy_opportunity(self.table("ff_opportunity"), **filters)
+        return lookups.fantasy_opportunity(self.table("ff_opportunity"), **{"limit": MAX_ROWS, **filters})
 
     def fantasy_rankings(self, scope: str = "draft", **filters) -> DataFrame:
         name = lookups.ranking_scope(scope)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import threading
+import uuid
 from collections.abc import Sequence
 from datetime import datetime, timezone
 
@@ -19,6 +20,7 @@ _SCHEMA_LOG = T.StructType(
         T.StructField("table_name", T.StringType()),
         T.StructField("schema_json", T.StringType()),
         T.StructField("recorded_at", T.TimestampType()),
+        T.StructField("location", T.StringType()),
     ]
 )
 
@@ -27,7 +29,8 @@ class Warehouse:
     """Tables below one root directory on any file system Spark can write to.
 
     The schema of every table is logged next to the data, so reading needs no look at file footers:
-    files written before a column existed give NULL for it.
+    files written before a column existed give NULL for it. The log also names the directory that holds a
+    replaced table; a new version is written beside the old one and named only when it is complete.
     """
 
     def __init__(self, spark: SparkSession, root: str):
@@ -35,6 +38,7 @@ class Warehouse:
         self.root = root.rstrip("/")
         self.ledger = Ledger(spark, f"{self.root}/_ingest_metadata")
         self._schemas: dict[str, T.StructType] | None = None
+        self._locations: dict[str, str] = {}
         self._lock = threading.Lock()  # tables are written from several threads
 
     def path(self, table: str) -> str:
@@ -45,8 +49,10 @@ class Warehouse:
         with self._lock:
             if self._schemas is None:
                 log = read_log(self.spark, self.path("_schemas"), _SCHEMA_LOG)
-                newest = log.groupBy("table_name").agg(F.max_by("schema_json", "recorded_at").alias("text"))
-                self._schemas = {r.table_name: T.StructType.fromJson(json.loads(r.text)) for r in newest.collect()}
+                entry = F.max_by(F.struct("schema_json", "location"), "recorded_at").alias("entry")
+                newest = log.groupBy("table_name").agg(entry).collect()
+                self._locations = {r.table_name: r.entry.location for r in newest if r.entry.location}
+                self._schemas = {r.table_name: T.StructType.fromJson(json.loads(r.entry.schema_json)) for r in newest}
             return self._schemas
 
     def refresh(self) -> None:
@@ -61,22 +67,30 @@ class Warehouse:
     def exists(self, table: str) -> bool:
         return self.schema(table) is not None
 
-    def _record_schema(self, table: str, schema: T.StructType) -> None:
-        row = (table, schema.json(), datetime.now(timezone.utc))
+    def _record_schema(self, table: str, schema: T.StructType, location: str | None = None) -> None:
+        known = self.schemas()
+        row = (table, schema.json(), datetime.now(timezone.utc), location)
         append_entry(self.spark.createDataFrame([row], _SCHEMA_LOG), self.path("_schemas"))
-        self.schemas()[table] = schema
+        known[table] = schema
+        if location:
+            self._locations[table] = location
 
     def read(self, table: str) -> DataFrame:
         schema = self.schema(table)
         if schema is None:
             raise ValueError(f"Table '{table}' not found; available: {', '.join(self.tables())}")
-        return self.spark.read.schema(schema).parquet(self.path(table)).select(*[f"`{n}`" for n in schema.names])
+        return self.spark.read.schema(schema).parquet(self.path(self._locations.get(table, table))).select(
+            *[f"`{n}`" for n in schema.names]
+        )
 
     def replace(self, table: str, df: DataFrame) -> int:
-        """Write the table anew; returns its row count, taken from the written files' footers."""
-        df.write.mode("overwrite").parquet(self.path(table))
-        if self.schema(table) != df.schema:
-            self._record_schema(table, df.schema)
+        """Write the table anew; returns its row count, taken from the written files' footers.
+
+        Until the new version is complete the old one stays the table, so a write that fails changes nothing.
+        """
+        location = f"{table}/version-{uuid.uuid4().hex}"
+        df.write.parquet(self.path(location))
+        self._record_schema(table, df.schema, location)
         return self.read(table).count()
 
     def replace_seasons(self, table: str, rows: DataFrame, sort_by: Sequence[str] = ()) -> None:

@@ -226,3 +226,18 @@ def test_csv_sources(spark, tmp_path):
     results = load_seasonal(warehouse, SEASONAL, file_reader(spark, f"{root}/s", format="csv", header="true"), [2024])
     assert outcomes(results) == {2024: ("loaded", 1)}
     assert warehouse.read("stats").first().v == "x"
+
+
+def test_failed_reload_keeps_the_stored_rows(spark, warehouse):
+    """The last partition of the new source fails, after others were written."""
+    rows = spark.range(100).withColumn("name", F.lit("a"))
+    assert load_static(warehouse, STATIC, lambda d, s: rows).rows == 100
+    broken = spark.range(0, 100, 1, 4).withColumn(
+        "name", F.when(F.col("id") == 99, F.raise_error(F.lit("source broke"))).otherwise(F.lit("b"))
+    )
+    assert load_static(warehouse, STATIC, lambda d, s: broken).outcome.startswith("failed")
+    for known in (warehouse, Warehouse(spark, warehouse.root)):
+        found = known.read("names")
+        assert found.count() == 100 and found.where("name = 'a'").count() == 100
+    assert load_static(warehouse, STATIC, lambda d, s: rows.limit(7)).rows == 7
+    assert Warehouse(spark, warehouse.root).read("names").count() == 7

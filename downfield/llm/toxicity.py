@@ -34,8 +34,8 @@ class Settings:
     shortest: int = 3
     longest: int = 6
     sample: int = 4000  # most labelled documents the model is trained on
-    epochs: int = 12
-    rate: float = 0.05
+    epochs: int = 8
+    rate: float = 0.02
     batch: int = 128
     seed: int = 7
 

@@ -165,12 +165,12 @@ def _merged(runs: str, first: str, last: str, gap: int):
     kind = f"array<struct<{first}: {'int' if gap else 'long'}, {last}: {'int' if gap else 'long'}>>"
 
     def step(done, run):
-        end = F.element_at(done, -1)
+        end = F.try_element_at(done, F.lit(-1))
         joined = F.struct(end[first].alias(first), F.greatest(end[last], run[last]).alias(last))
         touching = (F.size(done) > 0) & (run[first] <= F.try_element_at(done, F.lit(-1))[last] + gap)
         return F.when(
-            touching, F.concat(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))), F.array(joined))
-        ).otherwise(F.concat(done, F.array(run)))
+            touching, F.concat(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))), F.array(joined).cast(kind))
+        ).otherwise(F.concat(done, F.array(run).cast(kind)))
 
     return F.aggregate(F.col(runs), F.array().cast(kind), step)
 

@@ -40,6 +40,32 @@ def shingle_hashes(text: Column, size: int) -> Column:
     return let(F.transform(words(text), lambda w: F.xxhash64(w)), runs)
 
 
+def majority(hashes: str) -> Column:
+    """The bits set in over half of a column of hashes, 0 without hashes, worked out within the row.
+
+    A number holds the counts of every width-th bit side by side, so `width` sums count all bits. The sums are
+    8, 16 or 32 bits wide by the number of hashes; two bits of each stay free, so that half of that number can be taken
+    off without a carry.
+    """
+    n = F.size(hashes).cast("long")
+
+    def voted(width: int) -> Column:
+        lanes = sum(1 << at for at in range(0, 64, width))
+        most = (1 << (width - 2)) - 1
+        spare = (F.lit(most) - F.shiftright(n, 1)) * F.lit(lanes)
+
+        def bit(at: int) -> Column:
+            count = F.aggregate(
+                F.col(hashes), F.lit(0).cast("long"),
+                lambda sum_, h: sum_ + F.shiftrightunsigned(h, at).bitwiseAND(F.lit(lanes)),
+            )
+            return F.shiftleft(F.shiftrightunsigned(count + spare, width - 2).bitwiseAND(F.lit(lanes)), at)
+
+        return reduce(Column.bitwiseOR, [bit(at) for at in range(width)])
+
+    return F.when(n < 64, voted(8)).when(n < 1 << 14, voted(16)).otherwise(voted(32))
+
+
 def fingerprints(rows: DataFrame, keep: list[str], hashes: Column) -> DataFrame:
     """(keep…, fingerprint): the bits set in over half of each row's hashes, 0 without hashes.
 

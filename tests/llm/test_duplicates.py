@@ -256,3 +256,58 @@ def test_hub_and_split_pairs_grow_with_the_group(spark):
     assert buckets.split_pairs(members, first, near).count() <= 100 * 400
     found = buckets.bucket_components(members, near).collect()
     assert {r.component for r in found} == {0} and len(found) == 400
+
+
+def all_pair_lines(rows, least_words, similarity=0.8):
+    """As brute_lines, but every two lines are compared."""
+    places = defaultdict(list)
+    for doc_id, text in rows:
+        for place, line in enumerate((text or "").split("\n")):
+            norm = re.sub(r"(?:_|[^\w])+", " ", line.lower()).strip()
+            if norm and len(norm.split(" ")) >= least_words:
+                places[norm].append((doc_id, place))
+    split = {norm: norm.split(" ") for norm in places}
+    links = []
+    for a, b in combinations(sorted(places), 2):
+        x, y = split[a], split[b]
+        allowed = int(max(len(x), len(y)) * (1 - similarity) + 1e-9)
+        if abs(len(x) - len(y)) <= allowed and len(set(x) - set(y)) <= allowed and edit_distance(x, y) <= allowed:
+            links.append((a, b))
+    groups = defaultdict(list)
+    for norm, root in groups_of(places, links).items():
+        groups[root] += places[norm]
+    return {(d, p, *min(g)) for g in groups.values() for d, p in g if (d, p) != min(g)}
+
+
+def edited_lines(random, lengths):
+    """Pairs of lines (line, edited line) with the largest number of edits that 0.8 allows."""
+    out = []
+    for n in lengths:
+        line = [f"w{random.integers(0, 3000)}" for _ in range(n)]
+        other = list(line)
+        for _ in range(int(n * 0.2 + 1e-9)):
+            at = int(random.integers(0, len(other)))
+            kind = random.integers(0, 3)
+            if kind == 0:
+                other[at] = f"v{random.integers(0, 3000)}"
+            elif kind == 1 and len(other) > 1:
+                del other[at]
+            else:
+                other.insert(at, f"v{random.integers(0, 3000)}")
+        out.append((" ".join(line), " ".join(other)))
+    return out
+
+
+def test_no_similar_line_is_missed(spark, small):
+    random = np.random.default_rng(7)
+    pairs = edited_lines(random, [*range(5, 45)] * 3) + [("the " * 9 + "end", "the " * 7 + "other end"), ("a b " * 10, "b a " * 10)]
+    made = [(5000 + i, "\n".join(pair)) for i, pair in enumerate(pairs)]
+    documents = small.select("doc_id", "text").where("doc_id < 40").union(spark.createDataFrame(made, "doc_id long, text string"))
+    found = {(r.doc_id, r.place, r.first_id, r.first_place) for r in line_dedup.repeated_lines(documents).collect()}
+    assert found == all_pair_lines([(r.doc_id, r.text) for r in documents.collect()], 5)
+    assert sum((d, 1) in {f[:2] for f in found} for d, _ in made) > 110
+
+
+def test_second_ending_is_found(spark, odd_documents):
+    rows = line_dedup.without_repeated_lines(odd_documents).collect()
+    assert "second ending" not in "".join(r.text for r in rows if r.doc_id == 2)

@@ -319,3 +319,18 @@ def test_lines_of_few_words_and_undivided_scripts(spark):
     documents = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     found = {(r.doc_id, r.first_id) for r in line_dedup.repeated_lines(documents).collect()}
     assert found == {(1, 0), (4, 3), (6, 5), (8, 7)}
+
+
+def test_long_lines_are_compared_by_edits(spark):
+    random = np.random.default_rng(11)
+    texts, expected = [], set()
+    for n, share, alike in ((1990, 0.05, True), (2001, 0.05, True), (2500, 0.19, True), (6000, 0.005, True), (2500, 0.21, False)):
+        line = [f"w{random.integers(0, 30_000)}" for _ in range(n)]
+        other = list(line)
+        for at in random.choice(n, int(n * share), replace=False):
+            other[at] = f"v{random.integers(0, 30_000)}"
+        if alike:
+            expected.add((len(texts) + 1, len(texts)))
+        texts += [" ".join(line), " ".join(other)]
+    documents = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {(r.doc_id, r.first_id) for r in line_dedup.repeated_lines(documents).collect()} == expected

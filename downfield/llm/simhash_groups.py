@@ -17,15 +17,17 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .buckets import Verify, bucket_components, differing_bits
 from .common import stored, utf8, whole_row
-from .votes import shingle_hashes, signed
+from .votes import let, shingle_hashes, signed
 
 BITS = 64
 SEED = 42
+SLOTS = 1 << 15  # shingle counts are kept by slot of the hash
+COUNTED = 8  # one text in so many is counted; the counts only order the shingles
 MOST_FLIPS = 2  # largest threshold of a partition; probes grow with its power
 
 
@@ -215,62 +217,74 @@ def _alike(left: str, right: str, similarity: float) -> Column:
     return shared >= similarity * (F.size(left) + F.size(right) - shared)
 
 
-def near_duplicates(
-    documents: DataFrame, radius: int = 7, words_per_shingle: int = 3, similarity: float = 0.8, words_verified: int = 5
-) -> DataFrame:
-    """(text_id, fingerprint, component, first) of every distinct document; `first` marks the one of its group that stays.
+def _shingle_levels(texts: DataFrame, words: int) -> list[int]:
+    """Twice the logarithm of how often the shingles of each slot occur; any levels give the same pairs, good ones sooner."""
+    some = texts.where(F.pmod("mark", F.lit(COUNTED)) == 0).select(F.explode(_shingle_set(F.col("text"), words)).alias("shingle"))
+    levels = [0] * SLOTS
+    for slot, n in some.groupBy(F.pmod("shingle", F.lit(SLOTS)).cast("int").alias("slot")).count().collect():
+        levels[slot] = int(2 * math.log2(n))
+    return levels
 
-    Documents whose fingerprints differ in at most `radius` bits are linked if the sets of their runs of
-    `words_verified` words have a Jaccard similarity of at least `similarity`. A fingerprint is compared through the text
-    of its first document; other texts of the same fingerprint belong to it if they are alike too, and else stay
-    as they are. Equal texts are always linked. First is the smallest doc_id, ids missing last.
+
+def _leading_shingles(set_: Column, levels: list[int], similarity: float) -> Column:
+    """The first shingles of a set, rare ones before common ones, under which it meets all sets similar to it.
+
+    Of a set at most (1 - similarity) * its size shingles are not in a similar one. Of the shared shingles, the first in
+    an order of all shingles is therefore among the first (1 - similarity) * size + 1 of both.
     """
-    rows = documents.select(
-        "doc_id", "text", _text_id("doc_id", "text").alias("text_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("mark")
-    )
-    keep = F.struct("text_id", "mark", F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_id").alias("place"))
-    found = fingerprints(rows, words_per_shingle, keep).select("document.*", "fingerprint")
-    prints = stored(found.distinct(), "prints")
-    firsts = prints.groupBy("fingerprint", "mark").agg(F.min("place").alias("place"))
-    lead = stored(firsts.groupBy("fingerprint").agg(
-        F.min(F.struct("place", "mark")).alias("lead"), F.count(F.lit(1)).alias("texts")
-    ).select("fingerprint", "lead.place", "lead.mark", "texts"), "leads")
-    texts = rows.select("text_id", "text")
-
-    def sets(wanted: DataFrame, name: str) -> DataFrame:
-        """(name, set) of documents (text_id, name)."""
-        found = texts.join(wanted, "text_id").dropDuplicates(["text_id"])
-        return found.select(name, _shingle_set(F.coalesce("text", F.lit("")), words_verified).alias("set"))
-
-    # texts that share a fingerprint with another text
-    several = lead.where("texts > 1").select("fingerprint", F.col("mark").alias("lead_mark"))
-    others = stored(sets(
-        firsts.join(several, "fingerprint").select(
-            F.col("place.text_id").alias("text_id"), F.struct("fingerprint", "mark", (F.col("mark") == F.col("lead_mark")).alias("leads")).alias("of")
-        ), "of"), "sets")
-    leads = others.where("of.leads").select(F.col("of.fingerprint").alias("fingerprint"), F.col("set").alias("lead_set"))
-    odd = others.where("NOT of.leads").select("of.*", "set").join(leads, "fingerprint").where(
-        ~_alike("set", "lead_set", similarity)
-    ).select("fingerprint", "mark", F.lit(True).alias("odd"))
+    known = F.split(F.lit(",".join(map(str, levels))), ",").cast("array<int>")
+
+    def ordered(h: Column) -> Column:
+        level = F.get(known, F.pmod(h, F.lit(SLOTS)).cast("int")).cast("long")
+        return F.shiftleft(level, 56).bitwiseOR(F.shiftrightunsigned(h, 8))
+
+    def first(own: Column) -> Column:
+        return F.slice(F.sort_array(F.transform(own, ordered)), 1, F.floor(F.size(own) * (1 - similarity) + 1e-9).cast("int") + 1)
+
+    return let(set_, first)
+
+
+def near_duplicates(documents: DataFrame, similarity: float = 0.8, words_verified: int = 5) -> DataFrame:
+    """(text_id, component, first) of every distinct document; `first` marks the one of its group that stays.
+
+    Documents are linked if the sets of their runs of `words_verified` words have a Jaccard similarity of at least
+    `similarity`; none is missed. Equal texts are always linked. First is the smallest doc_id, ids missing last.
+    """
+    if not 0 < similarity <= 1:
+        raise ValueError("similarity must be above 0 and at most 1")
+    blank = F.coalesce(F.when(F.col("text").rlike(r"\S"), F.col("text")), F.lit(""))
+    rows = documents.select(_text_id("doc_id", "text").alias("text_id"), "doc_id", blank.alias("text")).withColumn("mark", F.xxhash64("text"))
+    place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_id")
+    prints = stored(rows.select("text_id", "mark", place.alias("place")).distinct(), "prints")
+    firsts = prints.groupBy("mark").agg(F.min("place").alias("place"))
+
+    def texts_of(wanted: DataFrame) -> DataFrame:
+        """(mark, set) of distinct texts (mark, place), each with its shingles."""
+        found = rows.select("text_id", "text").join(wanted.select("mark", F.col("place.text_id").alias("text_id")), "text_id")
+        return found.dropDuplicates(["mark"]).select("mark", _shingle_set(F.col("text"), words_verified).alias("set"))
+
+    leading = _leading_shingles(F.col("set"), _shingle_levels(rows, words_verified), similarity)
+    members = texts_of(firsts).select(F.col("mark").alias("node"), F.explode(leading).alias("bucket"))
+    of = Window.partitionBy("bucket")
+    shared = members.withColumns({"least": F.min("node").over(of), "most": F.max("node").over(of)}).where("least < most")
+    met = stored(shared.select("bucket", "node", F.lit(True).alias("owner")), "met")
+    wanted = firsts.join(met.select(F.col("node").alias("mark")).distinct(), "mark")
+    sets = stored(texts_of(wanted).withColumn("size", F.size("set")), "sets")
+    sizes = sets.select("mark", "size")
 
     def verified(pairs: DataFrame) -> DataFrame:
-        pairs = stored(pairs, "pairs")
-        wanted = pairs.select(F.col("a").alias("fingerprint")).union(pairs.select("b")).distinct()
-        known = stored(sets(
-            lead.join(wanted, "fingerprint").select(F.col("place.text_id").alias("text_id"), "fingerprint"), "fingerprint"
-        ), "sets")
-        left = known.select(F.col("fingerprint").alias("a"), F.col("set").alias("set_a"))
-        right = known.select(F.col("fingerprint").alias("b"), F.col("set").alias("set_b"))
-        return pairs.join(left, "a").join(right, "b").where(_alike("set_a", "set_b", similarity)).drop("set_a", "set_b")
-
-    groups = fingerprint_groups(prints, radius, verified)
-    placed = prints.join(groups, "fingerprint").join(odd, ["fingerprint", "mark"], "left")
-    # a text that is not alike is a group of its own
-    named = stored(placed.withColumn("group", F.struct("component", F.when(F.col("odd"), F.col("mark")).alias("mark"))), "named")
-    group_first = named.groupBy("group").agg(F.min("place").alias("group_place"))
-    both = named.join(group_first, named["group"].eqNullSafe(group_first["group"]))
-    return both.select(
-        "text_id", "fingerprint", "component", F.col("place").eqNullSafe(F.col("group_place")).alias("first")
+        sized = pairs.join(sizes.toDF("a", "size_a"), "a").join(sizes.toDF("b", "size_b"), "b")
+        close = F.least("size_a", "size_b") >= F.greatest("size_a", "size_b") * similarity - 1e-9
+        left = sets.select(F.col("mark").alias("a"), F.col("set").alias("set_a"))
+        right = sets.select(F.col("mark").alias("b"), F.col("set").alias("set_b"))
+        possible = stored(sized.where(close).drop("size_a", "size_b"), "pairs")
+        return possible.join(left, "a").join(right, "b").where(_alike("set_a", "set_b", similarity)).drop("set_a", "set_b")
+
+    groups = bucket_components(met, lambda a, b: F.lit(True), verified).withColumnRenamed("node", "mark")
+    named = stored(prints.join(groups, "mark", "left").withColumn("component", F.coalesce("component", "mark")), "named")
+    group_first = named.groupBy("component").agg(F.min("place").alias("group_place"))
+    return named.join(group_first, "component").select(
+        "text_id", "component", F.col("place").eqNullSafe(F.col("group_place")).alias("first")
     )
 
 

@@ -334,3 +334,23 @@ def test_long_lines_are_compared_by_edits(spark):
         texts += [" ".join(line), " ".join(other)]
     documents = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert {(r.doc_id, r.first_id) for r in line_dedup.repeated_lines(documents).collect()} == expected
+
+
+def kept_ids(spark, texts):
+    documents = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return sorted(r.doc_id for r in simhash_groups.without_near_duplicates(documents).collect())
+
+
+def test_no_near_duplicate_is_missed(spark):
+    random = np.random.default_rng(3)
+    texts = []
+    for n in [*range(20, 200, 6)] * 3:
+        words = [f"w{random.integers(0, 5000)}" for _ in range(n)]
+        other = list(words)
+        for at in random.integers(0, n, max(1, n // 45)):
+            other[at] = f"v{random.integers(0, 5000)}"
+        texts += [" ".join(words), " ".join(other)]
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in map(str.split, texts)]
+    links = [(a, b) for a, b in combinations(range(len(texts)), 2) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    assert len(links) > 40
+    assert kept_ids(spark, texts) == sorted(set(groups_of(range(len(texts)), links).values()))

@@ -354,3 +354,10 @@ def test_no_near_duplicate_is_missed(spark):
     links = [(a, b) for a, b in combinations(range(len(texts)), 2) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
     assert len(links) > 40
     assert kept_ids(spark, texts) == sorted(set(groups_of(range(len(texts)), links).values()))
+
+
+def test_near_copies_beside_an_unlike_text_of_the_same_fingerprint(spark):
+    phrase, tails = "alpha beta gamma " * 60, [" ".join(f"t{k}x{i}" for i in range(40)) for k in range(2)]
+    texts = [phrase + tails[0], phrase + tails[1], phrase + tails[1] + "y"]
+    assert len({simhash_groups.shingle_fingerprint(t.encode(), 3) for t in texts}) == 1
+    assert kept_ids(spark, texts) == [0, 1]

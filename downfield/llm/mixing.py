@@ -129,7 +129,8 @@ def cuts(ranked: DataFrame) -> DataFrame:
         (F.struct("rank", "mark") >= F.struct("cut_rank", "cut_mark")) & (away < F.col("cut_gap"))
     )
     fill = beyond.groupBy("source").agg(F.min(F.struct(away.alias("away"), "rank", "mark"))["mark"].alias("fill_mark"))
-    return _same_source(cut.withColumnRenamed("cut_fits", "cut_rows").drop("cut_gap"), fill, "left")
+    # stored, so that its size is known and a join with it need not deal out the units by source
+    return stored(_same_source(cut.withColumnRenamed("cut_fits", "cut_rows").drop("cut_gap"), fill, "left"), "cut")
 
 
 def mixture(

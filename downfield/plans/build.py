@@ -11,7 +11,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from downfield.operators import players, recovery, teams
-from downfield.sources.load import Loaded, Reader, load_dataset, wanted_seasons
+from downfield.sources.load import (
+    IncompleteLoad, Loaded, Reader, load_dataset, outside_window, validate_loaded, wanted_seasons,
+)
 from downfield.sources.registry import DATASETS, known_datasets, season_range
 from downfield.sources.warehouse import Warehouse
 
@@ -27,6 +29,9 @@ class Derived:
 
 OFFENSE_CUBE = "_offense_cube"
 
+# a load that was asked for these and leaves them without rows has failed
+CORE_TABLES = ("plays", "schedules")
+
 # Plays are scanned twice, for the cube and for defense; the other offense tables read the cube.
 PLAY_TABLES = [
     Derived(OFFENSE_CUBE, ["plays"], teams.offense_cube),
@@ -100,15 +105,27 @@ def load_datasets(
     end: int | None = None,
     fresh: bool = False,
     build: bool = True,
+    required: Iterable[str] | None = None,
 ) -> list[Loaded]:
-    """Load the datasets, then build the team tables (if plays are among them) and the player tables."""
+    """Load the datasets, then build the team tables (if plays are among them) and the player tables.
+
+    Raises `IncompleteLoad` before anything is built if one of the `required` tables has no rows then; those are
+    the core tables among the datasets unless given. Requested seasons that a dataset does not cover are in the
+    results, so that nothing is left out in silence.
+    """
     seasons = season_range(start, end)
     datasets, unknown = known_datasets(dataset_ids)
     results = [Loaded(name, None, 0, "unknown dataset") for name in unknown]
+    results += outside_window(datasets, seasons)
     wanted = wanted_seasons(warehouse, datasets, seasons, fresh)
     results += _side_by_side(lambda d: load_dataset(warehouse, d, read, wanted[d.dataset_id]), datasets)
+    tables = [d.table for d in datasets]
+    try:
+        validate_loaded(warehouse, [t for t in CORE_TABLES if t in tables] if required is None else required)
+    except ValueError as error:
+        raise IncompleteLoad(str(error), results) from error
     if build:
-        if any(d.table == "plays" for d in datasets):
+        if "plays" in tables:
             results += build_team_tables(warehouse)
         results += build_player_tables(warehouse)
     return results

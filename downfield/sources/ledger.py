@@ -48,7 +48,9 @@ def read_log(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """All entries of a log; none if there is no log yet."""
     try:
         return spark.read.schema(schema).parquet(path).select(*schema.names)
-    except AnalysisException:
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], schema)
 
 
@@ -65,9 +67,11 @@ class Ledger:
     def latest(self) -> DataFrame:
         return latest_loads(self.log())
 
-    def record(self, dataset_id: str, table: str, loader: str, rows: dict[int | None, int]) -> None:
+    def record(
+        self, dataset_id: str, table: str, loader: str, rows: dict[int | None, int], at: datetime | None = None
+    ) -> None:
         """Note the row count per loaded season (None for a dataset without seasons)."""
-        now = datetime.now(timezone.utc)
+        now = at or datetime.now(timezone.utc)
         entries = [(dataset_id, table, season, count, now, loader) for season, count in rows.items()]
         append_entry(self.spark.createDataFrame(entries, LEDGER_SCHEMA), self.path)
 

@@ -5,6 +5,10 @@ from __future__ import annotations
 from collections.abc import Iterable
 from dataclasses import dataclass, field, replace
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+# the seasons that a request without bounds means
 FIRST_SEASON, LAST_SEASON = 2013, 2025
 
 
@@ -22,10 +26,16 @@ class Dataset:
     options: dict[str, str] = field(default_factory=dict, compare=False)
     sort_by: tuple[str, ...] = ()
 
+    def outside(self, season: int) -> str | None:
+        """Why the source has nothing for the season; None if it is covered."""
+        if self.min_season is not None and season < self.min_season:
+            return f"not covered, starts in {self.min_season}"
+        if self.max_season is not None and season > self.max_season:
+            return f"not covered, ends in {self.max_season}"
+        return None
+
     def covers(self, season: int) -> bool:
-        too_early = self.min_season is not None and season < self.min_season
-        too_late = self.max_season is not None and season > self.max_season
-        return not (too_early or too_late)
+        return self.outside(season) is None
 
 
 def _static(dataset_id: str, loader: str, description: str, **options: str) -> Dataset:
@@ -81,14 +91,47 @@ DATASETS = {d.dataset_id: replace(d, sort_by=_SORTED.get(d.dataset_id, ())) for
 
 
 def season_range(start: int | None = None, end: int | None = None) -> list[int]:
-    """Seasons from start to end; a missing bound means the first or last known season."""
-    first, last = start or FIRST_SEASON, end or LAST_SEASON
+    """Every season from start to end; a missing bound means the first or last season of a usual load.
+
+    No season is left out here. What a dataset does not cover, `Dataset.outside` tells.
+    """
+    first = FIRST_SEASON if start is None else int(start)
+    last = LAST_SEASON if end is None else int(end)
     if first > last:
-        raise ValueError("start must be less than or equal to end")
-    return [s for s in range(FIRST_SEASON, LAST_SEASON + 1) if first <= s <= last]
+        raise ValueError(f"No season lies between {first} and {last}")
+    return list(range(first, last + 1))
+
+
+def windows(spark: SparkSession) -> DataFrame:
+    """(dataset_id, table_name, seasonal, min_season, max_season) of every dataset."""
+    rows = [(d.dataset_id, d.table, d.seasonal, d.min_season, d.max_season) for d in DATASETS.values()]
+    return spark.createDataFrame(rows, "dataset_id string, table_name string, seasonal boolean, min_season int, max_season int")
+
+
+def window_report(requested: DataFrame) -> DataFrame:
+    """The requested (dataset_id, season) pairs with `outcome`: covered, or why no source has the season.
+
+    Requests of a dataset without seasons are covered where they name no season.
+    """
+    known = windows(requested.sparkSession).withColumnRenamed("dataset_id", "known_id").drop("table_name")
+    season, least, most = F.col("season"), F.col("min_season"), F.col("max_season")
+    outcome = (
+        F.when(F.col("known_id").isNull(), "unknown dataset")
+        .when(~F.col("seasonal"), F.when(season.isNull(), "covered").otherwise("not covered, has no seasons"))
+        .when(season.isNull(), "not covered, has seasons")
+        .when(season < least, F.concat(F.lit("not covered, starts in "), least.cast("string")))
+        .when(season > most, F.concat(F.lit("not covered, ends in "), most.cast("string")))
+        .otherwise("covered")
+    )
+    joined = requested.join(known, F.col("dataset_id") == F.col("known_id"), "left")
+    return joined.select("dataset_id", "season", outcome.alias("outcome"))
 
 
 def known_datasets(dataset_ids: Iterable[str]) -> tuple[list[Dataset], list[str]]:
-    """The datasets of the given ids, each once, and the ids that are unknown."""
-    unique = list(dict.fromkeys(dataset_ids))
+    """The datasets of the given ids, each once, and the ids that are unknown.
+
+    `all` and `default` both mean every dataset: a usual load takes all of them.
+    """
+    given = [name for d in dataset_ids for name in (DATASETS if d in ("all", "default") else [d])]
+    unique = list(dict.fromkeys(given))
     return [DATASETS[d] for d in unique if d in DATASETS], [d for d in unique if d not in DATASETS]

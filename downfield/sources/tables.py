@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -33,9 +34,12 @@ def _stored(field: T.StructField, target: T.DataType) -> str:
     return f"CAST({f'to_json({column})' if nested else column} AS {target.simpleString()}) AS {column}"
 
 
-def with_stored_types(df: DataFrame, existing: T.StructType | None = None) -> DataFrame:
-    """Cast every column to its stored type, or to the type the existing table has for it."""
+def with_stored_types(
+    df: DataFrame, existing: T.StructType | None = None, keep: Sequence[str] = ()
+) -> DataFrame:
+    """Cast every column to its stored type, or to the type the existing table has for it; `keep` stay as they are."""
     known = {f.name: f.dataType for f in existing} if existing is not None else {}
+    known |= {f.name: f.dataType for f in df.schema if f.name in keep}
     return df.selectExpr(*[_stored(f, known.get(f.name, stored_type(f.dataType))) for f in df.schema])
 
 

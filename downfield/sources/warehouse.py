@@ -8,7 +8,7 @@ import uuid
 from collections.abc import Sequence
 from datetime import datetime, timezone
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -24,6 +24,16 @@ _SCHEMA_LOG = T.StructType(
     ]
 )
 
+_REJECTED = T.StructType(
+    [
+        T.StructField("dataset_id", T.StringType()),
+        T.StructField("season", T.IntegerType()),
+        T.StructField("reason", T.StringType()),
+        T.StructField("row", T.StringType()),
+        T.StructField("rejected_at", T.TimestampType()),
+    ]
+)
+
 
 class Warehouse:
     """Tables below one root directory on any file system Spark can write to.
@@ -83,21 +93,24 @@ class Warehouse:
             *[f"`{n}`" for n in schema.names]
         )
 
-    def replace(self, table: str, df: DataFrame) -> int:
-        """Write the table anew; returns its row count, taken from the written files' footers.
+    def replace(self, table: str, df: DataFrame, allow_empty: bool = True) -> int:
+        """Write the table anew; returns its row count, which the write itself takes.
 
         Until the new version is complete the old one stays the table, so a write that fails changes nothing.
+        Unless `allow_empty`, a version without rows is not taken either.
         """
-        location = f"{table}/version-{uuid.uuid4().hex}"
-        df.write.parquet(self.path(location))
-        self._record_schema(table, df.schema, location)
-        return self.read(table).count()
-
-    def replace_seasons(self, table: str, rows: DataFrame, sort_by: Sequence[str] = ()) -> None:
+        location, seen = f"{table}/version-{uuid.uuid4().hex}", Observation()
+        df.observe(seen, F.count(F.lit(1)).alias("rows")).write.parquet(self.path(location))
+        rows = seen.get["rows"]
+        if rows or allow_empty:
+            self._record_schema(table, df.schema, location)
+        return rows
+
+    def write_seasons(self, table: str, rows: DataFrame, sort_by: Sequence[str] = ()) -> None:
         """Write the seasons present in `rows`; other seasons stay, and repeating the write changes nothing.
 
-        The schema of `rows` has to extend the stored one (see `merged_schema`). Rows are ordered
-        inside each file by `sort_by`, which lets readers skip pages by their minimum and maximum.
+        Rows are ordered inside each file by `sort_by`, which lets readers skip pages by their minimum and
+        maximum. `extend_schema` makes new columns readable.
         """
         (
             rows.sortWithinPartitions("season", *sort_by)
@@ -106,7 +119,30 @@ class Warehouse:
             .partitionBy("season")
             .parquet(self.path(table))
         )
+
+    def extend_schema(self, table: str, schema: T.StructType) -> None:
+        """Note the columns that `schema` has beyond the stored ones."""
         existing = self.schema(table)
-        merged = merged_schema(existing, rows.schema)
+        merged = merged_schema(existing, schema)
         if merged != existing:
             self._record_schema(table, merged)
+
+    def set_aside(self, dataset_id: str, season: int, rows: DataFrame, at: datetime) -> None:
+        """Keep (reason, row) of source rows that a load at this time did not take."""
+        marked = rows.select(
+            F.lit(dataset_id).alias("dataset_id"), F.lit(season).alias("season"), "reason", "row",
+            F.lit(at).alias("rejected_at"),
+        )
+        marked.write.parquet(f"{self.path('_rejected')}/entry={uuid.uuid4().hex}")
+
+    def rejected(self) -> DataFrame:
+        """(dataset_id, season, reason, row) that the latest load of each dataset and season set aside.
+
+        A later load of the season, with rows or with rejects, supersedes the rejects of an earlier one.
+        """
+        rows = read_log(self.spark, self.path("_rejected"), _REJECTED)
+        loads = self.ledger.log().select("dataset_id", "season", F.col("loaded_at").alias("at"))
+        attempts = loads.unionByName(rows.select("dataset_id", "season", F.col("rejected_at").alias("at")))
+        last = attempts.groupBy(F.col("dataset_id").alias("of_id"), F.col("season").alias("of_season")).agg(F.max("at").alias("at"))
+        same = (F.col("dataset_id") == F.col("of_id")) & (F.col("season") == F.col("of_season")) & (F.col("rejected_at") == F.col("at"))
+        return rows.join(last, same).select("dataset_id", "season", "reason", "row")

@@ -1,4 +1,5 @@
 import datetime
+import uuid
 
 import pytest
 from pyspark.sql import functions as F
@@ -7,7 +8,9 @@ from pyspark.sql import types as T
 from downfield import Playbook, Warehouse
 from downfield.plans.build import build_player_tables, load_datasets
 from downfield.sources.ledger import LEDGER_SCHEMA, latest_loads
-from downfield.sources.load import file_reader, load_seasonal, load_static, validate_loaded, wanted_seasons
+from downfield.sources.load import (
+    IncompleteLoad, file_reader, load_seasonal, load_static, validate_loaded, wanted_seasons,
+)
 from downfield.sources.registry import DATASETS, Dataset, known_datasets, season_range
 from downfield.sources.tables import append_by_name, merged_schema, safe_names, stored_type, with_stored_types
 
@@ -46,7 +49,9 @@ def test_registry():
 def test_season_range():
     assert season_range() == list(range(2013, 2026))
     assert season_range(start=2024) == [2024, 2025] and season_range(end=2014) == [2013, 2014]
-    assert season_range(1999, 2013) == [2013]
+    assert season_range(1999, 2001) == [1999, 2000, 2001] and season_range(2025, 2027) == [2025, 2026, 2027]
+    assert DATASETS["injuries"].outside(2008) == "not covered, starts in 2009"
+    assert DATASETS["participation"].outside(2025) == "not covered, ends in 2024"
     with pytest.raises(ValueError):
         season_range(2024, 2020)
 
@@ -104,12 +109,134 @@ def test_a_season_that_breaks_while_running_leaves_the_others(spark, warehouse):
     assert sorted(r.season for r in warehouse.read("stats").collect()) == [2020, 2022]
 
 
-def test_rows_of_another_season_are_refused(spark, warehouse):
+def jobs_of(spark, action):
+    """How many Spark jobs the action runs."""
+    group = f"count-{uuid.uuid4().hex}"
+    spark.sparkContext.setJobGroup(group, "counted")
+    try:
+        action()
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    return len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+
+
+def odd_reader(spark, odd):
+    """season -> extra rows (season, value) besides two good ones."""
+
     def read(dataset, season):
-        return spark.createDataFrame([(season, 1), (2020 if season == 2022 else season, 2)], "season int, value int")
+        rows = [(season, 1), (season, 2), *odd.get(season, [])]
+        return spark.createDataFrame(rows, "season int, value int")
+
+    return read
 
+
+def test_odd_rows_are_set_aside_and_their_season_loads(spark, warehouse):
+    read = odd_reader(spark, {2022: [(2020, 3), (None, 4), (None, 5)]})
     results = load_seasonal(warehouse, SEASONAL, read, [2021, 2022])
-    assert outcomes(results) == {2021: ("loaded", 2), 2022: ("failed", 0)}
+    assert [(r.season, r.rows, r.rejected, r.outcome) for r in results] == [(2021, 2, 0, "loaded"), (2022, 2, 3, "loaded")]
+    assert sorted((r.season, r.value) for r in warehouse.read("stats").collect()) == [(2021, 1), (2021, 2), (2022, 1), (2022, 2)]
+    rejected = sorted((r.dataset_id, r.season, r.reason, r.row) for r in warehouse.rejected().collect())
+    assert rejected == [
+        ("stats", 2022, "no season", '{"value":4}'), ("stats", 2022, "no season", '{"value":5}'),
+        ("stats", 2022, "season 2020", '{"season":2020,"value":3}'),
+    ]
+    # a later load of the season without odd rows leaves none
+    load_seasonal(warehouse, SEASONAL, odd_reader(spark, {}), [2022])
+    assert warehouse.rejected().count() == 0
+
+
+def test_a_season_of_odd_rows_alone(spark, warehouse):
+    read = lambda d, season: spark.createDataFrame([(season + 1, 7)], "season int, value int")
+    results = load_seasonal(warehouse, SEASONAL, read, [2021])
+    assert [(r.rows, r.rejected, r.outcome) for r in results] == [(0, 1, "no rows")]
+    assert not warehouse.exists("stats") and warehouse.rejected().count() == 1
+    assert not warehouse.ledger.is_loaded("stats", 2021)
+
+
+def test_sources_are_read_once(spark, warehouse, tmp_path):
+    """The write counts the rows: all seasons take one job that runs the source once, and so does a static table."""
+    read_rows = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for batch in batches:
+            read_rows.add(len(batch))
+            yield batch
+
+    def read(dataset, season):
+        source = spark.range(100, numPartitions=3).selectExpr(f"{season or 0} AS season", "id AS value")
+        return source.mapInPandas(seen, source.schema)
+
+    rows = {}
+    frames = {s: read(SEASONAL, s) for s in (2021, 2022, 2023)}
+    load_seasonal(warehouse, SEASONAL, lambda d, s: frames[s], [2021])  # writes the first schema entry
+    before = read_rows.value
+    jobs = jobs_of(spark, lambda: rows.update({r.season: r.rows for r in load_seasonal(warehouse, SEASONAL, lambda d, s: frames[s], [2022, 2023])}))
+    assert rows == {2022: 100, 2023: 100} and read_rows.value - before == 200
+    assert jobs == 2  # the write and the ledger entry
+    before = read_rows.value
+    assert load_static(warehouse, STATIC, lambda d, s: frames[2021]).rows == 100
+    assert read_rows.value - before == 100
+
+
+def test_errors_of_the_write_are_raised(spark, warehouse, tmp_path):
+    read = seasonal_reader(spark, {2023: [1], 2024: [2]})
+    (tmp_path / "tables").mkdir()
+    (tmp_path / "tables" / "stats").write_text("a file where the table should be")
+    (tmp_path / "tables" / "names").write_text("a file where the table should be")
+    with pytest.raises(Exception, match="(?i)stats"):
+        load_seasonal(warehouse, SEASONAL, read, [2023, 2024])
+    with pytest.raises(Exception, match="(?i)names"):
+        load_static(warehouse, STATIC, lambda d, s: spark.range(3))
+
+
+def test_a_type_the_table_cannot_take_fails_its_season_alone(spark, warehouse):
+    def read(dataset, season):
+        value = F.lit(1) if season < 2022 else F.array(F.lit(True)) if season == 2022 else F.lit(3)
+        return spark.range(1).select(F.lit(season).alias("season"), value.alias("value"))
+
+    def odd(dataset, season):
+        frame = read(dataset, season)
+        return frame.withColumn("value", F.current_date()) if season == 2022 else frame
+
+    load_seasonal(warehouse, SEASONAL, read, [2021])
+    results = load_seasonal(warehouse, SEASONAL, odd, [2022, 2023])
+    assert outcomes(results) == {2022: ("failed", 0), 2023: ("loaded", 1)}
+
+
+def test_a_load_without_core_rows_fails(spark, warehouse):
+    def read(dataset, season):
+        if dataset.table == "plays":
+            raise RuntimeError("source is down")
+        return spark.createDataFrame([(season, "g")], "season int, game_id string")
+
+    with pytest.raises(IncompleteLoad, match="plays") as caught:
+        load_datasets(warehouse, read, ["pbp", "schedules"], 2023, 2024)
+    found = {(r.dataset_id, r.season): r.outcome.split(":")[0] for r in caught.value.results}
+    assert found == {("pbp", 2023): "failed", ("pbp", 2024): "failed", ("schedules", 2023): "loaded", ("schedules", 2024): "loaded"}
+    assert "team_offense_stats" not in warehouse.tables()
+    # without plays among the datasets, schedules alone are required, and any table may be
+    assert load_datasets(warehouse, read, ["schedules"], 2023, 2024, build=False) == []
+    with pytest.raises(IncompleteLoad, match="rosters"):
+        load_datasets(warehouse, read, ["schedules"], 2023, 2024, build=False, required=["rosters"])
+
+
+def test_seasons_outside_a_window_are_reported(spark, warehouse):
+    read = lambda d, season: spark.createDataFrame([(season, 1)], "season int, value int")
+    results = load_datasets(warehouse, read, ["participation"], 2014, 2026, build=False)
+    found = {r.season: r.outcome for r in results}
+    assert [found[s] for s in (2014, 2015, 2016, 2024, 2025, 2026)] == [
+        "not covered, starts in 2016"] * 2 + ["loaded"] * 2 + ["not covered, ends in 2024"] * 2
+
+
+def test_names_for_all_datasets():
+    assert known_datasets(["all"])[0] == known_datasets(["teams", "default"])[0] or len(known_datasets(["all"])[0]) == 29
+    assert len(known_datasets(["default", "pbp"])[0]) == 29
+
+
+def test_patterns_may_use_the_options_of_a_dataset(spark, tmp_path):
+    spark.range(3).write.parquet(str(tmp_path / "load_ff_rankings" / "week"))
+    read = file_reader(spark, str(tmp_path), static_pattern="{root}/{loader}/{type}")
+    assert read(DATASETS["ff_rankings_week"], None).count() == 3
 
 
 def test_schema_drift(spark, warehouse):
@@ -152,7 +279,7 @@ def test_latest_entry_wins(spark):
 
 def test_validation(spark, warehouse):
     load_seasonal(warehouse, SEASONAL, seasonal_reader(spark, {2024: [1]}), [2024])
-    validate_loaded(warehouse, ["stats"])
+    assert validate_loaded(warehouse, ["stats"]) == {"stats": 1}
     with pytest.raises(ValueError, match="plays"):
         validate_loaded(warehouse, ["stats", "plays"])
 

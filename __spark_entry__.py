@@ -16,10 +16,10 @@ import oracle_queries as oracle  # noqa: E402
 import samples  # noqa: E402
 from downfield.functions.labels import formation_label, injury_type, short_name, situation_label  # noqa: E402
 from downfield.operators import charting, lookups, players, recovery, search, sql, status, teams  # noqa: E402
-from downfield.plans.build import load_datasets  # noqa: E402
+from downfield.plans.build import Derived, build_player_tables, build_table, load_datasets  # noqa: E402
 from downfield.sources.ledger import latest_loads, pending_seasons  # noqa: E402
-from downfield.sources.load import file_reader, load_seasonal  # noqa: E402
-from downfield.sources.registry import DATASETS, Dataset  # noqa: E402
+from downfield.sources.load import Loaded, file_reader, load_seasonal, load_static, validate_loaded  # noqa: E402
+from downfield.sources.registry import DATASETS, Dataset, window_report  # noqa: E402
 from downfield.sources.tables import append_by_name, prepare_plays  # noqa: E402
 from downfield.sources.warehouse import Warehouse  # noqa: E402
 
@@ -145,10 +145,88 @@ def _season_load(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     warehouse = Warehouse(spark, scratch(spark))
     load_seasonal(warehouse, DATASETS["injuries"], read, range(2018, 2023))
-    load_seasonal(warehouse, DATASETS["injuries"], read, range(2021, 2024))
+    load_seasonal(warehouse, DATASETS["injuries"], read, range(2021, 2025))
     return warehouse.read("injuries")
 
 
+def _odd_load(spark: SparkSession, sf_dir: str) -> tuple[Warehouse, list[Loaded]]:
+    """Injuries of 2008 to 2026 from sources that hold rows of no or the next season in two weeks; 2019 cannot be read."""
+    injuries = samples.load(spark, sf_dir, "injuries")
+    week, season = F.col("week"), F.col("season")
+    said = F.when(week == 3, F.lit(None)).when(week == 5, season + 1).otherwise(season).cast("int")
+
+    def read(dataset: Dataset, wanted: int | None) -> DataFrame:
+        if wanted == 2019:
+            raise RuntimeError("source is down")
+        return injuries.where(season == wanted).withColumn("season", said)
+
+    warehouse = Warehouse(spark, scratch(spark))
+    return warehouse, load_datasets(warehouse, read, ["injuries"], 2008, 2026, build=False, required=["injuries"])
+
+
+def _load_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, results = _odd_load(spark, sf_dir)
+    rows = [(r.dataset_id, r.season, r.rows, r.rejected, r.outcome.split(":")[0]) for r in results]
+    return spark.createDataFrame(rows, "dataset_id string, season int, loaded_rows long, rejected_rows long, outcome string")
+
+
+def _rejected_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    warehouse, _ = _odd_load(spark, sf_dir)
+    injury = F.from_json("row", "gsis_id string, week int")
+    return warehouse.rejected().select("dataset_id", "season", "reason", injury["gsis_id"].alias("gsis_id"), injury["week"].alias("week"))
+
+
+def _validated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of the tables a load has to fill, as the load itself counted them."""
+
+    def read(dataset: Dataset, season: int | None) -> DataFrame:
+        rows = samples.load(spark, sf_dir, dataset.table)
+        return rows.where(F.col("season").cast("int") == season) if dataset.seasonal else rows
+
+    warehouse, tables = Warehouse(spark, scratch(spark)), ["schedules", "snap_counts", "contracts"]
+    load_datasets(warehouse, read, tables, 2018, 2024, build=False, required=tables)
+    return spark.createDataFrame(list(validate_loaded(warehouse, tables).items()), "table_name string, loaded_rows long")
+
+
+def _built_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What becomes of the player tables where only opportunity and contracts are stored."""
+    warehouse = Warehouse(spark, scratch(spark))
+    for name in ("ff_opportunity", "contracts"):
+        warehouse.replace(name, samples.load(spark, sf_dir, name))
+    rows = [(r.dataset_id, r.rows, r.outcome) for r in build_player_tables(warehouse)]
+    return spark.createDataFrame(rows, "table_name string, built_rows long, outcome string")
+
+
+def _replaced_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table without seasons after two loads; the second one replaces all rows of the first."""
+    contracts = samples.load(spark, sf_dir, "contracts")
+    warehouse = Warehouse(spark, scratch(spark))
+    load_static(warehouse, DATASETS["contracts"], lambda dataset, season: contracts.withColumn("apy", F.lit(0.0)))
+    load_static(warehouse, DATASETS["contracts"], lambda dataset, season: contracts)
+    return warehouse.read("contracts")
+
+
+def _built_content(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Touchdown luck as a build stores it, read back after a second build over more rows."""
+    warehouse = Warehouse(spark, scratch(spark))
+    item = Derived("player_td_luck", ["ff_opportunity"], players.td_luck)
+    warehouse.replace("ff_opportunity", samples.load(spark, sf_dir, "ff_opportunity").limit(10))
+    build_table(warehouse, item, record=True)
+    warehouse.replace("ff_opportunity", samples.load(spark, sf_dir, "ff_opportunity"))
+    build_table(warehouse, item, record=True)
+    return warehouse.read("player_td_luck")
+
+
+def _season_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which of the customers' requests a dataset covers; some name no season or an unknown dataset."""
+    names, key = sorted(DATASETS), F.col("c_custkey")
+    requested = spark.read.parquet(f"{sf_dir}/customer.parquet").select(
+        F.element_at(F.array(*[F.lit(n) for n in [*names, "nothing"]]), (key % 30 + 1).cast("int")).alias("dataset_id"),
+        F.when(key % 7 > 0, 1995 + key % 32).cast("int").alias("season"),
+    )
+    return window_report(requested)
+
+
 def _loaded_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Load all sample tables, build the derived ones and list what the catalog shows."""
     root = scratch(spark)
@@ -266,6 +344,13 @@ def queries() -> dict[str, Query]:
         "pending_seasons": _pending,
         "append_by_name": over(_append_by_name, "snap_counts", "rosters"),
         "season_load": _season_load,
+        "load_outcomes": _load_outcomes,
+        "rejected_rows": _rejected_rows,
+        "validated_tables": _validated,
+        "built_tables": _built_tables,
+        "replaced_table": _replaced_table,
+        "built_content": _built_content,
+        "season_windows": _season_windows,
         "loaded_tables": _loaded_tables,
         "capped_sql": _capped_sql,
         "play_labels": over(_labels, "plays"),
@@ -314,6 +399,21 @@ def _loaded_tables_sql() -> str:
     )
 
 
+def _season_windows_sql() -> str:
+    number = lambda n: "CAST(NULL AS INT)" if n is None else str(n)
+    rows = ", ".join(
+        f"({i}, '{name}', {DATASETS[name].seasonal}, {number(DATASETS[name].min_season)}, {number(DATASETS[name].max_season)})"
+        for i, name in enumerate(sorted(DATASETS))
+    )
+    return f"""WITH known(i, dataset_id, seasonal, least, most) AS (VALUES {rows}),
+requested AS (SELECT c_custkey % 30 AS i, CAST(CASE WHEN c_custkey % 7 > 0 THEN 1995 + c_custkey % 32 END AS INT) AS season FROM customer)
+SELECT coalesce(dataset_id, 'nothing') AS dataset_id, season, CASE WHEN dataset_id IS NULL THEN 'unknown dataset'
+ WHEN seasonal AND season IS NULL THEN 'not covered, has seasons' WHEN NOT seasonal AND season IS NOT NULL THEN 'not covered, has no seasons'
+ WHEN seasonal AND season < least THEN concat('not covered, starts in ', least)
+ WHEN seasonal AND season > most THEN concat('not covered, ends in ', most) ELSE 'covered' END AS outcome
+FROM requested LEFT JOIN known USING (i)"""
+
+
 def oracle_sql() -> dict[str, str]:
     o = oracle
     with_plays = samples.with_clause("plays")
@@ -386,7 +486,30 @@ SELECT full_name AS player, position, team, season, CAST(jersey_number AS BIGINT
         "season_load": samples.with_clause("injuries")
         + """SELECT * REPLACE (CAST(week AS BIGINT) AS week),
  CASE WHEN season >= 2021 THEN CAST(week * 10 AS BIGINT) END AS new_column
-FROM injuries WHERE season <> 2019 AND season <= 2023""",
+FROM injuries WHERE season <> 2019""",
+        "load_outcomes": samples.with_clause("injuries")
+        + """SELECT 'injuries' AS dataset_id, CAST(s AS INT) AS season,
+ COUNT(season) FILTER (WHERE week NOT IN (3, 5) AND s <> 2019) AS loaded_rows,
+ COUNT(season) FILTER (WHERE week IN (3, 5) AND s <> 2019) AS rejected_rows,
+ CASE WHEN s < 2009 THEN 'not covered, starts in 2009' WHEN s = 2019 THEN 'failed'
+      WHEN loaded_rows > 0 THEN 'loaded' ELSE 'no rows' END AS outcome
+FROM range(2008, 2027) r(s) LEFT JOIN injuries ON season = s GROUP BY s""",
+        "rejected_rows": samples.with_clause("injuries")
+        + """SELECT 'injuries' AS dataset_id, season, gsis_id, week,
+ CASE WHEN week = 3 THEN 'no season' ELSE concat('season ', season + 1) END AS reason
+FROM injuries WHERE week IN (3, 5) AND season <> 2019""",
+        "validated_tables": samples.with_clause("schedules", "snap_counts", "contracts")
+        + " UNION ALL ".join(f"SELECT '{t}' AS table_name, COUNT(*) AS loaded_rows FROM {t}" for t in ("schedules", "snap_counts", "contracts")),
+        "built_tables": samples.with_clause("ff_opportunity", "contracts")
+        + f"""SELECT 'player_td_luck' AS table_name, COUNT(*) AS built_rows, 'built' AS outcome FROM ({o.BUILT["td_luck"][1]}) a
+UNION ALL SELECT 'player_contract_value', COUNT(*), 'built' FROM ({o.BUILT["contract_value"][1]}) b
+UNION ALL SELECT * FROM (VALUES ('player_role_trend', 0, 'skipped, missing snap_counts'),
+ ('player_separation_opportunity', 0, 'skipped, missing nextgen_stats_receiving'),
+ ('player_drop_rate', 0, 'skipped, missing ftn_charting, plays'),
+ ('injury_return_curve', 0, 'skipped, missing injuries, snap_counts'))""",
+        "replaced_table": samples.with_clause("contracts") + "SELECT * FROM contracts",
+        "built_content": whole["td_luck"],
+        "season_windows": _season_windows_sql(),
         "loaded_tables": _loaded_tables_sql(),
         "capped_sql": samples.with_clause("plays", extra=f"built AS ({o.BUILT['formation'][1]})")
         + """SELECT team, formation, CAST(SUM(plays) AS BIGINT) AS plays FROM built

@@ -16,6 +16,7 @@ import oracle_queries as oracle  # noqa: E402
 import samples  # noqa: E402
 from downfield.functions.labels import formation_label, injury_type, short_name, situation_label  # noqa: E402
 from downfield.operators import charting, lookups, players, recovery, search, sql, status, teams  # noqa: E402
+from downfield.operators.answers import Answer  # noqa: E402
 from downfield.plans.build import Derived, build_player_tables, build_table, load_datasets  # noqa: E402
 from downfield.sources.ledger import latest_loads, pending_seasons  # noqa: E402
 from downfield.sources.load import Loaded, file_reader, load_seasonal, load_static, validate_loaded  # noqa: E402
@@ -245,6 +246,22 @@ def _capped_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sql.capped_query(spark, text, max_rows=60).rows
 
 
+def _answer(operator: Callable[..., DataFrame], limit: int, build: Callable[..., DataFrame] | None = None, **filters):
+    """A limited question with its flag, from one run of limit + 1 rows."""
+
+    def run(*tables: DataFrame) -> DataFrame:
+        rows = build(*tables) if build else tables[0]
+        return Answer(lambda n: operator(rows, limit=n, **filters), limit).flagged()
+
+    return run
+
+
+def _sql_answer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    samples.load(spark, sf_dir, "rosters").createOrReplaceTempView("rosters")
+    text = "SELECT season, team, COUNT(*) AS players FROM rosters GROUP BY season, team ORDER BY season, team"
+    return sql.capped_query(spark, text, max_rows=100).flagged()
+
+
 _SEARCHES: dict[str, tuple[dict, str, int]] = {
     "search_plays": ({}, "TRUE", 50),
     "search_plays_team_red_zone": (
@@ -353,6 +370,13 @@ def queries() -> dict[str, Query]:
         "season_windows": _season_windows,
         "loaded_tables": _loaded_tables,
         "capped_sql": _capped_sql,
+        "capped_sql_flag": _sql_answer,
+        "schedule_flag": over(_answer(lookups.schedule, 500, team="t4"), "schedules"),
+        "roster_flag": over(_answer(lookups.roster, 500, season=2021, position="qb"), "rosters"),
+        "td_luck_flag": over(_answer(lookups.td_luck_report, 50, players.td_luck, position="rb"), "ff_opportunity"),
+        "contract_value_flag": over(
+            _answer(lookups.contract_value_report, 100_000, players.contract_value, min_apy=1), "contracts", "ff_opportunity"
+        ),
         "play_labels": over(_labels, "plays"),
         "injury_types": over(_injury_types, "injuries"),
         "short_names": over(_short_names, "rosters"),
@@ -511,6 +535,16 @@ UNION ALL SELECT * FROM (VALUES ('player_role_trend', 0, 'skipped, missing snap_
         "built_content": whole["td_luck"],
         "season_windows": _season_windows_sql(),
         "loaded_tables": _loaded_tables_sql(),
+        "capped_sql_flag": samples.with_clause("rosters", extra="""a AS (SELECT season, team, COUNT(*) AS players FROM rosters
+ GROUP BY season, team)""") + "SELECT *, (SELECT COUNT(*) FROM a) > 100 AS truncated FROM a ORDER BY season, team LIMIT 100",
+        "schedule_flag": o.flagged("schedules", lookups.SCHEDULE_COLUMNS, "(home_team = 'T4' OR away_team = 'T4')", "season, week", 500),
+        "roster_flag": o.flagged("rosters", lookups.ROSTER_COLUMNS, "season = 2021 AND position ILIKE 'QB'", "position, full_name", 500),
+        "td_luck_flag": o.flagged(
+            "td_luck", lookups.TD_LUCK_COLUMNS, "position ILIKE 'RB'", "total_td_luck_score ASC NULLS LAST", 50, built=True
+        ),
+        "contract_value_flag": o.flagged(
+            "contract_value", lookups.CONTRACT_COLUMNS, "apy >= 1", "fp_per_million DESC NULLS LAST", 100_000, built=True
+        ),
         "capped_sql": samples.with_clause("plays", extra=f"built AS ({o.BUILT['formation'][1]})")
         + """SELECT team, formation, CAST(SUM(plays) AS BIGINT) AS plays FROM built
 GROUP BY team, formation ORDER BY plays DESC, team, formation LIMIT 60""",

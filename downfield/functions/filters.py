@@ -11,25 +11,25 @@ MAX_ROWS = 500  # most rows of an answer unless the caller says otherwise
 
 
 def equals(column: str, value) -> Column | None:
-    return F.col(column) == value if value else None
+    return F.col(column) == value if value is not None else None
 
 
 def upper_equals(column: str, value: str | None) -> Column | None:
-    return F.col(column) == value.upper() if value else None
+    return F.col(column) == value.upper() if value is not None else None
 
 
 def number_equals(column: str, value) -> Column | None:
-    return F.col(column) == int(value) if value else None
+    return F.col(column) == int(value) if value is not None else None
 
 
 def contains_text(column: str, value: str | None) -> Column | None:
     """Case-insensitive search for the text anywhere in the column."""
-    return F.col(column).ilike(f"%{value}%") if value else None
+    return F.col(column).ilike(f"%{value}%") if value is not None else None
 
 
 def same_text(column: str, value: str | None) -> Column | None:
     """Case-insensitive equality."""
-    return F.col(column).ilike(value) if value else None
+    return F.col(column).ilike(value) if value is not None else None
 
 
 def at_least(column: str, value) -> Column | None:
@@ -53,8 +53,8 @@ def season_conditions(
 ) -> list[Column | None]:
     return [
         number_equals(column, season),
-        at_least(column, int(season_from) if season_from else None),
-        at_most(column, int(season_to) if season_to else None),
+        at_least(column, None if season_from is None else int(season_from)),
+        at_most(column, None if season_to is None else int(season_to)),
     ]
 
 

@@ -10,7 +10,7 @@ from downfield.functions.grouping import counted
 from downfield.functions.numeric import half_even
 from downfield.operators.search import names_any
 
-# output name -> charting flag
+# Names of the answer and the charting columns they count. Output name -> charting flag.
 TENDENCIES = {
     "play_action": "is_play_action",
     "rpo": "is_rpo",

@@ -17,6 +17,7 @@ from downfield.functions.filters import (
 )
 from downfield.functions.labels import shorten
 
+# The columns of each answer, in their order.
 SCHEDULE_COLUMNS = [
     "game_id", "season", "week", "game_type", "gameday", "gametime", "away_team", "home_team", "away_score",
     "home_score", "result", "overtime", "spread_line", "total_line", "div_game", "roof", "surface", "temp",
@@ -92,7 +93,7 @@ def schedule(
     limit: int | None = None,
 ) -> DataFrame:
     """Games and results; a team matches at home and away, `season_type` is the game type."""
-    plays_in = (F.col("home_team") == team.upper()) | (F.col("away_team") == team.upper()) if team else None
+    plays_in = (F.col("home_team") == team.upper()) | (F.col("away_team") == team.upper()) if team is not None else None
     found = where_all(
         games,
         [plays_in, number_equals("season", season), number_equals("week", week), upper_equals("game_type", season_type)],
@@ -187,7 +188,7 @@ def ranking_scope(scope: str | None) -> str:
     """The table a ranking question reads: draft or week."""
     name = (scope or "draft").lower()
     if name not in RANKING_COLUMNS:
-        raise ValueError("scope must be 'draft' or 'week'")
+        raise ValueError(f"No rankings of scope {scope!r}; there are {', '.join(RANKING_COLUMNS)}")
     return name
 
 
@@ -269,7 +270,7 @@ def separation_report(
 ) -> DataFrame:
     """Largest shortfall of fantasy points per game first; tracking data begins in 2016."""
     if season is not None and int(season) < 2016:
-        raise ValueError("Receiving tracking data is only available from 2016 onward")
+        raise ValueError(f"No receiver was tracked in {season}, the first season is 2016")
     found = _player_rows(separation, player, position, team, season)
     if regression_candidate is not None:
         found = found.where(F.col("regression_candidate") == bool(regression_candidate))
@@ -286,7 +287,7 @@ def drop_rate_report(
 ) -> DataFrame:
     """Highest drop rate first; charting begins in 2022."""
     if season is not None and int(season) < 2022:
-        raise ValueError("Charting (drop) data is only available from 2022 onward")
+        raise ValueError(f"No drops were charted in {season}, the first season is 2022")
     found = where_all(
         drops,
         [

@@ -21,6 +21,7 @@ from downfield.functions.labels import shorten
 from downfield.functions.numeric import half_up_text, percent_text
 
 PLAYER_COLUMNS = ["passer_player_name", "rusher_player_name", "receiver_player_name"]
+# The columns of an answer, in their order.
 PLAY_COLUMNS = [
     "season", "week", "posteam", "defteam", "down", "ydstogo", "play_type", "yards_gained", "epa", "desc",
     "passer_player_name", "rusher_player_name", "receiver_player_name", "touchdown", "interception",
@@ -29,7 +30,7 @@ PLAY_COLUMNS = [
 
 def names_any(player: str | None) -> Column | None:
     """The play has a passer, rusher or receiver whose name contains the text."""
-    if not player:
+    if player is None:
         return None
     passer, rusher, receiver = (F.col(c).ilike(f"%{player}%") for c in PLAYER_COLUMNS)
     return passer | rusher | receiver
@@ -68,7 +69,7 @@ def search_plays(
         [
             upper_equals("posteam", team),
             upper_equals("defteam", opponent),
-            names_any(shorten(player)) if player else None,
+            names_any(shorten(player)) if player is not None else None,
             *season_conditions(season, season_from, season_to),
             number_equals("week", week),
             equals("season_type", season_type),
@@ -137,7 +138,7 @@ def player_stats(
 ) -> DataFrame:
     """A player's statistics per season and season type."""
     if stat_type not in _STATISTICS:
-        raise ValueError(f"Unknown stat_type: {stat_type}. Use 'passing', 'rushing', or 'receiving'.")
+        raise ValueError(f"Unknown stat_type {stat_type!r}, known are {', '.join(_STATISTICS)}")
     column, play_type = _ROLES[stat_type]
     own = where_all(
         plays.where((F.col("play_type") == play_type) & F.col(column).ilike(f"%{shorten(player_name)}%")),

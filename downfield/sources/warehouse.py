@@ -68,6 +68,12 @@ class Warehouse:
     def refresh(self) -> None:
         self._schemas = None
 
+    def version(self) -> tuple:
+        """The newest entries of the schema log and the ledger; another value means that tables have changed."""
+        log = read_log(self.spark, self.path("_schemas"), _SCHEMA_LOG).select(F.col("recorded_at").alias("at"))
+        both = log.unionByName(self.ledger.log().select(F.col("loaded_at").alias("at")))
+        return tuple(both.agg(F.max("at"), F.count(F.lit(1))).first())
+
     def schema(self, table: str) -> T.StructType | None:
         return self.schemas().get(table)
 
@@ -88,7 +94,7 @@ class Warehouse:
     def read(self, table: str) -> DataFrame:
         schema = self.schema(table)
         if schema is None:
-            raise ValueError(f"Table '{table}' not found; available: {', '.join(self.tables())}")
+            raise ValueError(f"Stored table {table!r} not found; stored are {', '.join(self.tables())}")
         return self.spark.read.schema(schema).parquet(self.path(self._locations.get(table, table))).select(
             *[f"`{n}`" for n in schema.names]
         )

@@ -327,6 +327,19 @@ def test_load_from_files_and_ask(spark, tmp_path):
     assert book.query("SELECT SUM(row_count) AS n FROM _ingest_metadata").rows.first().n == 2
     with pytest.raises(Exception):
         book.query(f"SELECT * FROM parquet.`{root}/sources/teams`").rows.collect()
+    found = book.search_plays(team="KC")
+    assert (found.row_count(), found.truncated()) == (1, False) and book.search_plays(max_rows=0).truncated()
+    # the views follow: another writer replaces a table, adds one and loads a season
+    other = Warehouse(spark, f"{root}/tables")
+    other.replace("teams", spark.createDataFrame([("KC", "Kings"), ("BAL", "Ravens")], "team string, name string"))
+    other.replace("venues", spark.createDataFrame([("V",)], "name string"))
+    assert [r.name for r in book.query("SELECT name FROM teams ORDER BY name").collect()] == ["Kings", "Ravens"]
+    assert book.query("SELECT * FROM venues").row_count() == 1
+    season = plays_frame(spark).withColumn("season", F.lit(2025))
+    load_seasonal(other, DATASETS["pbp"], lambda d, s: season, [2025])
+    assert book.query("SELECT COUNT(*) AS n FROM plays").collect()[0].n == 2
+    session = book._sql_session
+    assert book.query("SELECT 1 AS one").row_count() == 1 and book._sql_session is session
     # Loading again reads nothing: the sources could be gone.
     again = load_datasets(warehouse, file_reader(spark, "/nowhere"), ["pbp", "teams"], 2024, 2024, build=False)
     assert again == []

@@ -5,6 +5,7 @@ import samples
 from downfield.functions.filters import row_limit
 from downfield.functions.numeric import half_even
 from downfield.operators import charting, lookups, players, search, sql, status
+from downfield.operators.answers import Answer
 
 SF = "/root/testdata/sf0.001"
 
@@ -153,31 +154,98 @@ def test_status_of_nothing(spark, tables):
 
 
 @pytest.mark.parametrize(
-    "text, message",
+    "text", ["INSERT INTO plays VALUES (1)", "DROP TABLE plays", "WITH a AS (SELECT 1) SELECT * FROM a", ""]
+)
+def test_sql_is_a_select(spark, text):
+    with pytest.raises(ValueError, match="SELECT"):
+        sql.capped_query(spark, text)
+
+
+@pytest.mark.parametrize(
+    "text",
     [
-        ("INSERT INTO plays VALUES (1)", "Only SELECT"),
-        ("DROP TABLE plays", "Only SELECT"),
-        ("WITH a AS (SELECT 1) SELECT * FROM a", "Only SELECT"),
-        ("SELECT 1; DROP TABLE plays", "Multiple"),
-        ("SELECT 1; SELECT 2", "Multiple"),
-        ("SELECT reflect('java.lang.System', 'exit', 0)", "Forbidden"),
+        "SELECT * FROM (UPDATE t SET a = 0) AS x", "SELECT * FROM (DROP TABLE t)", "SELECT 1; DROP TABLE plays",
+        "SELECT 1; SELECT 2", "SELECT 1) AS a, (SELECT 2",
     ],
 )
-def test_sql_is_read_only(spark, text, message):
-    with pytest.raises(ValueError, match=message):
+def test_only_one_query_parses(spark, text):
+    with pytest.raises(Exception, match="PARSE_SYNTAX_ERROR|ParseException"):
         sql.capped_query(spark, text)
 
 
-@pytest.mark.parametrize("text", ["SELECT * FROM (UPDATE t SET a = 0) AS x", "SELECT * FROM (DROP TABLE t)"])
-def test_commands_inside_a_select_do_not_parse(spark, text):
-    with pytest.raises(Exception, match="PARSE_SYNTAX_ERROR|ParseException"):
+@pytest.mark.parametrize(
+    "text",
+    [
+        "SELECT reflect('java.lang.System', 'exit', 0)",
+        "SELECT * FROM range(3) WHERE id IN (SELECT length(try_reflect('java.util.UUID', 'randomUUID')))",
+        "SELECT java_method('java.util.UUID', 'randomUUID') AS x FROM range(2) GROUP BY 1",
+    ],
+)
+def test_sql_calls_no_other_code(spark, text):
+    with pytest.raises(PermissionError, match="outside SQL"):
         sql.capped_query(spark, text)
 
 
+@pytest.mark.parametrize(
+    "text",
+    [
+        "SELECT * FROM parquet.`{0}`", "SELECT 1 AS a WHERE 1 IN (SELECT id FROM parquet.`{0}`)",
+        "SELECT * FROM (WITH w AS (SELECT * FROM parquet.`{0}`) SELECT count(*) FROM w)",
+        "SELECT v.id FROM kept v JOIN parquet.`{0}` p ON v.id = p.id",
+    ],
+)
+def test_sql_reads_no_files_in_any_session(spark, tmp_path, text):
+    """Without any setting of the session; a view over the same files is fine, and so are words in strings."""
+    path = str(tmp_path / "files")
+    spark.range(3).write.parquet(path)
+    spark.read.parquet(path).createOrReplaceTempView("kept")
+    with pytest.raises(PermissionError, match="no registered table"):
+        sql.capped_query(spark, text.format(path))
+    answer = sql.capped_query(spark, "SELECT id, 'reflect; parquet' AS said FROM kept ORDER BY id")
+    assert [tuple(r) for r in answer.collect()] == [(i, "reflect; parquet") for i in range(3)]
+
+
 def test_sql_is_capped(spark):
     spark.range(600).createOrReplaceTempView("numbers")
     answer = sql.capped_query(spark, "SELECT * FROM numbers;", max_rows=3)
     assert answer.rows.count() == 3 and answer.truncated()
     assert sql.capped_query(spark, "select * from numbers -- all", max_rows=9999).rows.count() == 600
-    assert sql.capped_query(spark, "SELECT 1 AS one", max_rows=-5).rows.count() == 1
     assert not sql.capped_query(spark, "SELECT * FROM numbers WHERE id < 3", max_rows=3).truncated()
+    none = sql.capped_query(spark, "SELECT 1 AS one", max_rows=0)
+    assert none.rows.count() == 0 and none.truncated()
+    with pytest.raises(ValueError, match="negative"):
+        sql.capped_query(spark, "SELECT 1 AS one", max_rows=-5)
+
+
+def test_an_answer_takes_one_run(spark, tables):
+    """Rows, count and flag come from the same job, however often they are asked for."""
+    games = tables["schedules"]
+    total = lookups.schedule(games, team="t4").count()
+
+    def jobs(limit):
+        spark.sparkContext.setJobGroup(f"answer-{limit}", "one answer")
+        answer = Answer(lambda n: lookups.schedule(games, team="t4", limit=n), limit)
+        found = answer.truncated(), answer.row_count(), len(answer.collect()), answer.to_dict()["truncated"]
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        return found, len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"answer-{limit}"))
+
+    assert jobs(total - 1) == ((True, total - 1, total - 1, True), 1)
+    assert jobs(total) == ((False, total, total, False), 1)
+    assert jobs(total + 5) == ((False, total, total, False), 1)
+
+
+def test_flagged_answers(spark, tables):
+    for limit, flag in ((10, True), (10_000_000, False)):
+        answer = Answer(lambda n: lookups.roster(tables["rosters"], limit=n), limit)
+        rows = answer.flagged().collect()
+        assert {r.truncated for r in rows} == {flag} and [tuple(r)[:-1] for r in rows] == [tuple(r) for r in answer.collect()]
+    with pytest.raises(ValueError, match="limit"):
+        Answer(lambda n: tables["rosters"].limit(n), None)
+
+
+def test_a_filter_of_zero_or_no_text_is_a_filter(tables):
+    assert lookups.schedule(tables["schedules"], season=0).count() == 0
+    assert lookups.schedule(tables["schedules"], week=0).count() == 0
+    assert search.search_plays(tables["plays"], season_to=0).count() == 0
+    assert lookups.roster(tables["rosters"], position="").count() == 0
+    assert lookups.roster(tables["rosters"], team="").count() == 0

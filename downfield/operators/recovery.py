@@ -66,41 +66,55 @@ def out_spells(injuries: DataFrame) -> DataFrame:
     )
 
 
-def injury_return_curve(injuries: DataFrame, snaps: DataFrame, weeks_after: int = 8) -> DataFrame:
-    """Snap share 1 to 8 weeks after return as percent of the share before, per injury and position.
+def _spells_with_shares(spells: DataFrame, snaps: DataFrame) -> DataFrame:
+    """Each spell with the player's shares of the season: an array of (week, pct, copies), earliest first.
 
-    Snap rows are counted per (player, season, week, share), so copies multiply counts; both joins
-    read that same shuffle.
+    Spells and shares meet by name and season in one shuffle. Equal shares of a week are counted before, and a share
+    is a percentage with two decimals, so an array has at most some hundred entries per week.
     """
-    shares = counted(
-        snaps.select(
-            F.col("player").alias("snap_player"), F.col("season").cast("int").alias("snap_season"),
-            F.col("week").cast("int").alias("snap_week"), "offense_pct",
-        ),
-        "snap_player", "snap_season", "snap_week", "offense_pct",
+    seen = snaps.select(
+        F.col("player").alias("full_name"), F.col("season").cast("int").alias("season"),
+        F.col("week").cast("int").alias("week"), F.col("offense_pct").alias("pct"),
+    ).where(F.col("full_name").isNotNull() & F.col("season").isNotNull())
+    share = F.struct("week", "pct", "copies")
+    shares = counted(seen, "full_name", "season", "week", "pct").select("full_name", "season", share.alias("share"))
+    named = spells.where(F.col("full_name").isNotNull() & F.col("season").isNotNull())
+    kept = [c for c in SPELL if c not in ("full_name", "season")]
+    absences = named.select("full_name", "season", F.struct(*kept).alias("spell"))
+    # collect_list passes over the null that stands for the other side
+    return (
+        shares.unionByName(absences, allowMissingColumns=True).groupBy("full_name", "season")
+        .agg(F.array_sort(F.collect_list("share")).alias("shares"), F.collect_list("spell").alias("spells"))
+        .withColumn("spell", F.explode("spells"))
+        .select("full_name", "season", "spell.*", "shares")
     )
-    same_player = (F.col("snap_player") == F.col("full_name")) & (F.col("snap_season") == F.col("season"))
 
-    # A filter on offense_pct would reach the scan and give the two joins different shuffles.
-    known = F.when(F.col("offense_pct").isNotNull(), F.col("copies"))
-    before = out_spells(injuries).join(shares, same_player & (F.col("snap_week") < F.col("first_out_week")))
-    baseline = (
-        before.groupBy(*SPELL)
-        .agg((F.sum(F.col("offense_pct") * F.col("copies")) / F.sum(known)).alias("baseline_pct"))
+
+def injury_return_curve(injuries: DataFrame, snaps: DataFrame, weeks_after: int = 8, digits: int = 0) -> DataFrame:
+    """Snap share 1 to 8 weeks after return as percent of the share before, per injury and position.
+
+    Snap rows are counted per (player, season, week, share), so copies multiply counts. The share before is the
+    mean over the weeks before the first week out, a slice of the player's season, and so are the weeks after.
+    `digits` is handed to the median, see `summarize`.
+    """
+    spells = _spells_with_shares(out_spells(injuries), snaps)
+    before = F.filter("shares", lambda s: (s["week"] < F.col("first_out_week")) & s["pct"].isNotNull())
+    amount = F.aggregate("before", F.lit(0.0), lambda total, s: total + s["pct"] * s["copies"])
+    known = F.aggregate("before", F.lit(0).cast("long"), lambda total, s: total + s["copies"])
+    weeks_since = lambda s: s["week"] - F.col("last_out_week")
+    after = F.filter("shares", lambda s: weeks_since(s).between(1, weeks_after))
+    returned = (
+        spells.withColumn("before", before)
+        .withColumn("baseline_pct", amount / F.nullif(known, F.lit(0)))
         .where(F.col("baseline_pct") > 0)
+        .withColumn("after", F.explode(after))
     )
-    weeks_since = F.col("snap_week") - F.col("last_out_week")
-    after = baseline.join(shares, same_player & weeks_since.between(1, weeks_after))
-
     keys = ["injury_type", "position", "week_post_return"]
-    recovery = (
-        after.groupBy(
-            "injury_type", "position", weeks_since.alias("week_post_return"),
-            (F.lit(100.0) * F.col("offense_pct") / F.col("baseline_pct")).alias("recovery_pct"),
-        )
-        .agg(F.sum("copies").alias("copies"))
-    )
-    return summarize(recovery, keys, "recovery_pct", "copies").select(
+    recovery = returned.groupBy(
+        "injury_type", "position", weeks_since(F.col("after")).alias("week_post_return"),
+        (F.lit(100.0) * F.col("after.pct") / F.col("baseline_pct")).alias("recovery_pct"),
+    ).agg(F.sum("after.copies").alias("copies"))
+    return summarize(recovery, keys, "recovery_pct", "copies", digits=digits).select(
         *keys,
         half_up(F.col("mean"), 1).alias("avg_snap_pct_recovery"),
         half_up(F.col("median"), 1).alias("median_snap_pct_recovery"),

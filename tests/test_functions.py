@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from downfield.functions import trailing
 from downfield.functions.grouping import counted, join_on_same, totals_with_profile
 from downfield.functions.labels import formation_label, injury_type, short_name, shorten, situation_label
-from downfield.functions.median import summarize
+from downfield.functions.median import middle_rows, summarize
 from downfield.functions.numeric import half_up, percent
 from downfield.functions.text import with_description
 
@@ -199,3 +199,37 @@ def test_summary_equals_statistics(spark):
         assert median == (statistics.median(known) if known else None)
         assert mean == (pytest.approx(statistics.fmean(known)) if known else None)
     assert len(found) == len({r[0] for r in rows})
+
+
+def test_median_of_a_million_values_inside_one_whole_number(spark):
+    """Each digit leaves a small share of the group to be ranked, and none changes the result."""
+    size = 1_000_000
+    values = spark.range(size, numPartitions=8).select(
+        F.lit("a").alias("key"), (F.lit(7.0) + F.pmod(F.col("id") * 7919, F.lit(size)) / F.lit(1.1 * size)).alias("x"),
+        F.lit(1).cast("long").alias("copies"),
+    )
+    whole = [middle_rows(values, ["key"], "x", "copies", resolution=1, digits=n).count() for n in (0, 1, 2)]
+    assert whole[0] == size and whole[1] < 60 and 1 <= whole[2] <= 2
+    expected = ((size // 2 - 1) / (1.1 * size) + (size // 2) / (1.1 * size)) / 2 + 7
+    for digits in (0, 1, 2):
+        row = summarize(values, ["key"], "x", "copies", digits=digits).first()
+        assert row["median"] == pytest.approx(expected, abs=1e-12) and row["size"] == size
+
+
+def test_median_digits_agree(spark):
+    """Negative, tiny, huge, equal and missing values, with copies; every number of digits gives the exact median."""
+    random.seed(4)
+    rows = []
+    for key in range(30):
+        for _ in range(random.randint(1, 40)):
+            x = random.choice([None, random.gauss(0, 1), random.gauss(0, 1) * 1e-9, random.gauss(0, 1e9), 1.0, -0.5, 1e-300, -1e-300])
+            rows.append((key, x, random.randint(1, 5)))
+    rows += [(99, None, 3), (None, 2.0, 1), (None, 4.0, 1)]
+    frame = spark.createDataFrame(rows, "key int, x double, copies long").groupBy("key", "x").agg(F.sum("copies").alias("copies"))
+    expected = {}
+    for key in {r[0] for r in rows}:
+        known = [x for k, x, n in rows if k == key and x is not None for _ in range(n)]
+        expected[key] = (statistics.median(known) if known else None, sum(n for k, _, n in rows if k == key))
+    for digits in range(4):
+        found = {r.key: (r["median"], r["size"]) for r in summarize(frame, ["key"], "x", "copies", digits=digits).collect()}
+        assert found == expected

@@ -3,6 +3,7 @@ from collections import defaultdict
 
 import pytest
 
+import samples
 from downfield.operators import players, recovery
 
 LUCK = (
@@ -188,3 +189,24 @@ def test_injury_return_curve(spark):
     # Player a has a baseline of 0.6, b of 0.5, c none; week 13 is nine weeks after a's return.
     assert found == {1: (75.0, 75.0, 2), 2: (100.0, 100.0, 2)}
     assert {(r.injury_type, r.position) for r in curve.collect()} == {("knee", "WR")}
+
+
+def test_recovery_needs_few_shuffles(spark, tmp_path):
+    """Spells and shares meet in one shuffle, and no join has a range of weeks."""
+    for name in ("injuries", "snap_counts"):
+        samples.load(spark, "/root/testdata/sf0.001", name).write.parquet(f"{tmp_path}/{name}")
+    tables = [spark.read.parquet(f"{tmp_path}/{name}") for name in ("injuries", "snap_counts")]
+    curve = recovery.injury_return_curve(*tables)
+    assert curve.count() > 0
+    curve.collect()
+    final = curve._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    shuffles = [line for line in final.splitlines() if "Exchange hashpartitioning" in line and "Reused" not in line]
+    assert 0 < len(shuffles) <= 10
+    joins = [line for line in final.splitlines() if "Join" in line]
+    assert joins and not any("week" in line.split("week_post_return")[0] for line in joins)
+
+
+def test_recovery_with_digits_equals_without(spark):
+    tables = [samples.load(spark, "/root/testdata/sf0.001", name) for name in ("injuries", "snap_counts")]
+    plain = sorted(map(tuple, recovery.injury_return_curve(*tables).collect()), key=repr)
+    assert plain == sorted(map(tuple, recovery.injury_return_curve(*tables, digits=2).collect()), key=repr)

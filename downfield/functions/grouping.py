@@ -28,18 +28,26 @@ def totals_with_profile(
     profile: Mapping[str, str],
     sums: Mapping[str, str],
     week: str = "week",
+    weeks: str | None = None,
+    partition_by: Sequence[str] | None = None,
 ) -> DataFrame:
     """Sums per key, plus one descriptive value per profile column: the one of the latest week.
 
     `profile` and `sums` map output names to input columns. The first grouping includes the profile
     columns, so it sums numbers only and runs as a hash aggregate with map-side combine; choosing
-    among texts then happens on the few rows that remain per key.
+    among texts then happens on the few rows that remain per key. `weeks` names a further output, the
+    number of different weeks, for which the first grouping is by week too. `partition_by` names the keys
+    that the result is dealt by, where a join needs fewer than all of them.
     """
-    parts = df.groupBy(*keys, *[F.col(c).alias(name) for name, c in profile.items()]).agg(
-        F.max(week).alias("last_week"), *[F.sum(c).alias(name) for name, c in sums.items()]
+    by_week = [F.col(week).alias("last_week")] if weeks else []
+    parts = df.groupBy(*keys, *[F.col(c).alias(name) for name, c in profile.items()], *by_week).agg(
+        *([] if weeks else [F.max(week).alias("last_week")]), *[F.sum(c).alias(name) for name, c in sums.items()]
     )
+    if partition_by:
+        parts = parts.repartition(*partition_by)
+    different = [F.size(F.collect_set("last_week")).cast("long").alias(weeks)] if weeks else []
     return parts.groupBy(*keys).agg(
-        *[latest(name).alias(name) for name in profile], *[F.sum(name).alias(name) for name in sums]
+        *[latest(name).alias(name) for name in profile], *[F.sum(name).alias(name) for name in sums], *different
     )
 
 

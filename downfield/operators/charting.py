@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from downfield.functions.filters import number_equals, season_conditions, upper_equals, where_all
-from downfield.functions.grouping import counted
 from downfield.functions.numeric import half_even
+from downfield.operators.players import charted_play, play_keys
 from downfield.operators.search import names_any
 
 # Names of the answer and the charting columns they count. Output name -> charting flag.
@@ -39,14 +39,19 @@ def charting_tendencies(
     week: int | None = None,
     season_type: str | None = None,
 ) -> DataFrame:
-    """One row: plays, count and percent per tendency, average crowds; no row if no play matches."""
-    crowd_columns = [column for column, _ in CROWDS.values()]
-    charted = counted(
-        charting.select(
-            F.col("nflverse_game_id").alias("game_id"), F.col("nflverse_play_id").cast("double").alias("play_id"),
-            *TENDENCIES.values(), *crowd_columns,
-        ),
-        "game_id", "play_id", *TENDENCIES.values(), *crowd_columns,
+    """One row: plays, count and percent per tendency, average crowds; no row if no play matches.
+
+    Charting is summed per play before the join, on the partitioning of the join. Where it has a season, that
+    is part of the join key, so a filter on the season reaches the scans of both tables.
+    """
+    keys = play_keys(charting)
+    sums = {"charted": F.count(F.lit(1))}
+    sums |= {name: F.count_if(column) for name, column in TENDENCIES.items()}
+    for name, (column, _) in CROWDS.items():
+        sums |= {name: F.sum(column), f"{name}_n": F.count(column)}
+    charted = (
+        charting.select(*charted_play(charting), *TENDENCIES.values(), *[column for column, _ in CROWDS.values()])
+        .groupBy(*keys).agg(*[value.alias(name) for name, value in sums.items()])
     )
     chosen = where_all(
         plays.where(F.col("play_type").isin("pass", "run")),
@@ -58,20 +63,20 @@ def charting_tendencies(
             number_equals("week", week),
             upper_equals("season_type", season_type),
         ],
-    ).select("game_id", F.col("play_id").cast("double").alias("play_id"), (F.col("play_type") == "pass").alias("is_pass"))
+    ).select(
+        *[k for k in keys if k != "play_id"], F.col("play_id").cast("double").alias("play_id"),
+        (F.col("play_type") == "pass").alias("is_pass"),
+    )
 
-    copies = F.col("copies")
-    sums = {"total_plays": copies}
-    sums |= {name: F.when(F.col(column), copies).otherwise(0) for name, column in TENDENCIES.items()}
-    for name, (column, pass_only) in CROWDS.items():
-        known = F.col(column).isNotNull() & (F.col("is_pass") if pass_only else F.lit(True))
-        sums[name] = F.when(known, F.col(column) * copies)
-        sums[f"{name}_n"] = F.when(known, copies)
-    totals = chosen.join(charted, ["game_id", "play_id"]).agg(*[F.sum(v).alias(n) for n, v in sums.items()])
+    totals = {"total_plays": F.sum("charted")} | {name: F.sum(name) for name in TENDENCIES}
+    for name, (_, pass_only) in CROWDS.items():
+        for part in (name, f"{name}_n"):
+            totals[part] = F.sum(F.when(F.col("is_pass"), F.col(part)) if pass_only else F.col(part))
+    found = chosen.join(charted, keys).agg(*[value.alias(name) for name, value in totals.items()])
 
     # an exact tie goes to the even digit here, unlike in the stored tables
     columns = [F.col("total_plays")]
     for name in TENDENCIES:
         columns += [F.col(name), half_even(F.lit(100.0) * F.col(name) / F.col("total_plays"), 1).alias(f"{name}_pct")]
     columns += [half_even(F.col(name) / F.col(f"{name}_n"), 2).alias(name) for name in CROWDS]
-    return totals.where(F.col("total_plays") > 0).select(*columns)
+    return found.where(F.col("total_plays") > 0).select(*columns)

@@ -5,13 +5,26 @@ from __future__ import annotations
 from functools import reduce
 from operator import or_
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from downfield.functions.grouping import counted, totals_with_profile
 from downfield.functions.numeric import half_up, percent, ratio
 from downfield.functions.trailing import trailing_means
 
+
+
+def play_keys(charting: DataFrame) -> list[str]:
+    """What identifies a charted play among plays."""
+    return ["game_id", "play_id", "season"] if "season" in charting.columns else ["game_id", "play_id"]
+
+
+def charted_play(charting: DataFrame) -> list[Column]:
+    """The `play_keys` of charting rows, named and typed as those of plays."""
+    keys = [F.col("nflverse_game_id").alias("game_id"), F.col("nflverse_play_id").cast("double").alias("play_id")]
+    return [*keys, F.col("season").cast("int").alias("season")] if "season" in charting.columns else keys
+
+
 _PROFILE = {"full_name": "full_name", "position": "position", "team": "posteam"}
 
 
@@ -85,13 +98,13 @@ def role_trend(opportunity: DataFrame, snaps: DataFrame) -> DataFrame:
 def separation_opportunity(opportunity: DataFrame, receiving: DataFrame) -> DataFrame:
     """Receivers who get open, against what they produced, per player and season.
 
-    Both sides are grouped by player and season first, so the joins meet one row per key on the
-    partitioning the grouping left behind.
+    Both sides are grouped by player and season first, so the join meets one row per key on the
+    partitioning the grouping left behind. Opportunity is read once: its first grouping is by week, so the
+    second one sees the weeks of a player as well as the sums.
     """
     keys = ["player_id", "season"]
-    weeks = _player_weeks(opportunity)
     totals = totals_with_profile(
-        weeks,
+        _player_weeks(opportunity),
         keys,
         _PROFILE,
         {
@@ -103,8 +116,8 @@ def separation_opportunity(opportunity: DataFrame, receiving: DataFrame) -> Data
             "air_yards": "rec_air_yards",
             "air_yards_team": "rec_air_yards_team",
         },
+        weeks="games",
     )
-    games = weeks.groupBy(*keys).agg(F.countDistinct("week").alias("games"))
     tracked = ["avg_separation", "avg_yac_above_expectation", "catch_percentage"]
     open_space = (
         receiving.where((F.col("week") > 0) & F.col("player_gsis_id").isNotNull())
@@ -114,8 +127,7 @@ def separation_opportunity(opportunity: DataFrame, receiving: DataFrame) -> Data
     per_game = half_up(ratio(F.col("fp_diff"), F.col("games")), 3)
     td = half_up(F.col("td_diff"), 3)
     return (
-        totals.join(games, keys)
-        .join(open_space, keys)
+        totals.join(open_space, keys)
         .select(
             "player_id", "full_name", "position", "team", "season", "games", "fp_diff",
             per_game.alias("fp_diff_per_game"),
@@ -134,27 +146,25 @@ def separation_opportunity(opportunity: DataFrame, receiving: DataFrame) -> Data
 def drop_rate(charting: DataFrame, plays: DataFrame) -> DataFrame:
     """Catchable targets dropped per receiver, team and season.
 
-    Charting rows are counted per play and flags before the join, so repeated charting of a play
-    multiplies counts, not rows; both join inputs come straight from their shuffle, which lets
-    adaptive execution split an oversized play key.
+    Charting is summed per play before the join, on the partitioning of the join, so repeated charting of a play
+    multiplies counts, not rows. Where both tables have a season it is part of the join key, and a filter on the
+    season of plays reaches charting.
     """
     flags = ["is_drop", "is_contested_ball", "is_created_reception"]
-    charted = counted(
-        charting.where(F.col("is_catchable_ball")).select(
-            F.col("nflverse_game_id").alias("game_id"), F.col("nflverse_play_id").cast("double").alias("play_id"),
-            *flags,
-        ),
-        "game_id", "play_id", *flags,
+    keys = play_keys(charting)
+    charted = (
+        charting.where(F.col("is_catchable_ball")).select(*charted_play(charting), *flags)
+        .groupBy(*keys).agg(F.count(F.lit(1)).alias("catchable_targets"), *[F.count_if(f).alias(f) for f in flags])
     )
     targets = plays.where(F.col("receiver_player_id").isNotNull()).select(
-        "game_id", F.col("play_id").cast("double").alias("play_id"), "season",
+        "game_id", F.col("play_id").cast("double").alias("play_id"), F.col("season").cast("int").alias("season"),
         F.col("posteam").alias("team"), "receiver_player_id", "receiver_player_name",
     )
-    sums = {"catchable_targets": F.col("copies"), **{f: F.when(F.col(f), F.col("copies")).otherwise(0) for f in flags}}
+    sums = ["catchable_targets", *flags]
     parts = (
-        targets.join(charted, ["game_id", "play_id"])
+        targets.join(charted, keys)
         .groupBy("receiver_player_id", "team", "season", "receiver_player_name")
-        .agg(*[F.sum(value).alias(name) for name, value in sums.items()])
+        .agg(*[F.sum(name).alias(name) for name in sums])
     )
     return (
         parts.groupBy("receiver_player_id", "team", "season")
@@ -170,7 +180,10 @@ def drop_rate(charting: DataFrame, plays: DataFrame) -> DataFrame:
 
 
 def contract_value(contracts: DataFrame, opportunity: DataFrame) -> DataFrame:
-    """Fantasy points per million of yearly pay; the active contract is set against every season."""
+    """Fantasy points per million of yearly pay; the active contract is set against every season.
+
+    A player's seasons are summed on the partitioning by player that the join needs.
+    """
     active = (
         contracts.where(F.col("is_active") & F.col("gsis_id").isNotNull())
         .groupBy(F.col("gsis_id").alias("player_id"), F.col("position").alias("contract_position"))
@@ -187,6 +200,7 @@ def contract_value(contracts: DataFrame, opportunity: DataFrame) -> DataFrame:
         ["player_id", "season"],
         _PROFILE,
         {"total_fp": "total_fantasy_points", "total_fp_exp": "total_fantasy_points_exp"},
+        partition_by=["player_id"],
     )
     return produced.join(active, "player_id").select(
         "player_id", "full_name",

@@ -8,13 +8,12 @@ from dataclasses import dataclass
 from typing import TypeVar
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from downfield.operators import players, recovery, teams
 from downfield.sources.load import (
     IncompleteLoad, Loaded, Reader, load_dataset, outside_window, validate_loaded, wanted_seasons,
 )
-from downfield.sources.registry import DATASETS, known_datasets, season_range
+from downfield.sources.registry import known_datasets, season_range
 from downfield.sources.warehouse import Warehouse
 
 
@@ -25,6 +24,8 @@ class Derived:
     table: str
     sources: list[str]
     build: Callable[..., DataFrame]
+    # whether a source needs only the seasons that the first one has
+    same_seasons: bool = False
 
 
 OFFENSE_CUBE = "_offense_cube"
@@ -43,22 +44,13 @@ CUBE_TABLES = [
     Derived("formation_effectiveness", [OFFENSE_CUBE], teams.formation_effectiveness_of),
 ]
 
-
-
-def charted(plays: DataFrame) -> DataFrame:
-    """Plays of the seasons that charting covers; the other season partitions need not be read."""
-    return plays.where(F.col("season") >= DATASETS["ftn_charting"].min_season)
-
-
 PLAYER_TABLES = [
     Derived("player_td_luck", ["ff_opportunity"], players.td_luck),
     Derived("player_role_trend", ["ff_opportunity", "snap_counts"], players.role_trend),
     Derived(
         "player_separation_opportunity", ["ff_opportunity", "nextgen_stats_receiving"], players.separation_opportunity
     ),
-    Derived(
-        "player_drop_rate", ["ftn_charting", "plays"], lambda charts, plays: players.drop_rate(charts, charted(plays))
-    ),
+    Derived("player_drop_rate", ["ftn_charting", "plays"], players.drop_rate, same_seasons=True),
     Derived("player_contract_value", ["contracts", "ff_opportunity"], players.contract_value),
     Derived("injury_return_curve", ["injuries", "snap_counts"], recovery.injury_return_curve),
 ]
@@ -77,7 +69,10 @@ def build_table(warehouse: Warehouse, item: Derived, record: bool) -> Loaded:
     missing = [s for s in item.sources if not warehouse.exists(s)]
     if missing:
         return Loaded(item.table, None, 0, f"skipped, missing {', '.join(missing)}")
-    rows = warehouse.replace(item.table, item.build(*[warehouse.read(s) for s in item.sources]))
+    first, *others = [warehouse.read(s) for s in item.sources]
+    if item.same_seasons:
+        others = [warehouse.of_seasons(rows, item.sources[0]) for rows in others]
+    rows = warehouse.replace(item.table, item.build(first, *others))
     if record:
         warehouse.ledger.record(item.table, item.table, "derived", {None: rows})
     return Loaded(item.table, None, rows, "built")

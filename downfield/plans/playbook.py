@@ -106,7 +106,8 @@ class Playbook:
         return self._answer(lookups.fantasy_rankings, f"ff_rankings_{name}", FEW_ROWS, {**filters, "scope": name})
 
     def ftn_charting(self, **filters) -> DataFrame:
-        return charting.charting_tendencies(self.table("ftn_charting"), self.table("plays"), **filters)
+        plays = self.warehouse.of_seasons(self.table("plays"), "ftn_charting")
+        return charting.charting_tendencies(self.table("ftn_charting"), plays, **filters)
 
     def td_luck(self, **filters) -> Answer:
         return self._answer(lookups.td_luck_report, "player_td_luck", FEW_ROWS, filters)

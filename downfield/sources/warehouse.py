@@ -99,6 +99,15 @@ class Warehouse:
             *[f"`{n}`" for n in schema.names]
         )
 
+    def of_seasons(self, rows: DataFrame, table: str) -> DataFrame:
+        """The rows of the seasons that the ledger lists for a table; all rows where it lists none.
+
+        The filter names the seasons, so other partitions of a stored table are not read.
+        """
+        listed = self.ledger.latest().where((F.col("table_name") == table) & F.col("season").isNotNull())
+        seasons = sorted(r.season for r in listed.select("season").distinct().collect())
+        return rows.where(F.col("season").isin(seasons)) if seasons else rows
+
     def replace(self, table: str, df: DataFrame, allow_empty: bool = True) -> int:
         """Write the table anew; returns its row count, which the write itself takes.
 

@@ -4,7 +4,7 @@ from collections import defaultdict
 import pytest
 
 import samples
-from downfield.operators import players, recovery
+from downfield.operators import charting, players, recovery
 
 LUCK = (
     "player_id string, full_name string, position string, posteam string, season string, week double, "
@@ -210,3 +210,62 @@ def test_recovery_with_digits_equals_without(spark):
     tables = [samples.load(spark, "/root/testdata/sf0.001", name) for name in ("injuries", "snap_counts")]
     plain = sorted(map(tuple, recovery.injury_return_curve(*tables).collect()), key=repr)
     assert plain == sorted(map(tuple, recovery.injury_return_curve(*tables, digits=2).collect()), key=repr)
+
+
+@pytest.fixture(scope="module")
+def stored(spark, tmp_path_factory):
+    """Sample tables as stored ones, charting and plays by season."""
+    root = tmp_path_factory.mktemp("stored")
+    for name in ("plays", "ftn_charting", "ff_opportunity", "nextgen_stats_receiving", "contracts"):
+        writer = samples.load(spark, "/root/testdata/sf0.001", name).write
+        (writer.partitionBy("season") if name in ("plays", "ftn_charting") else writer).parquet(f"{root}/{name}")
+    return lambda name: spark.read.parquet(f"{root}/{name}")
+
+
+def planned(frame):
+    """Lines of the plan before adaptive execution changes it."""
+    return frame._jdf.queryExecution().executedPlan().toString().splitlines()
+
+
+def shuffles(frame):
+    return sum("Exchange hashpartitioning" in line and "Reused" not in line for line in planned(frame))
+
+
+def scans(frame, column):
+    return [line for line in planned(frame) if "FileScan" in line and column in line]
+
+
+def test_a_season_of_plays_reaches_charting(stored):
+    question = charting.charting_tendencies(stored("ftn_charting"), stored("plays"), season=2023)
+    assert question.count() == 1
+    (scan,) = scans(question, "nflverse_game_id")
+    assert "2023" in scan.split("PartitionFilters: [")[1].split("]")[0]
+    later = charting.charting_tendencies(stored("ftn_charting"), stored("plays"), season_from=2023)
+    assert ">= 2023" in scans(later, "nflverse_game_id")[0].split("PartitionFilters: [")[1].split("]")[0]
+    drops = players.drop_rate(stored("ftn_charting"), stored("plays").where("season IN (2022, 2024)"))
+    assert "2022,2024" in scans(drops, "nflverse_game_id")[0].split("PartitionFilters: [")[1].split("]")[0].replace(" ", "")
+
+
+def test_shuffles_of_the_player_tables(stored):
+    assert shuffles(players.drop_rate(stored("ftn_charting"), stored("plays"))) <= 4
+    assert shuffles(players.contract_value(stored("contracts"), stored("ff_opportunity"))) <= 4
+    separation = players.separation_opportunity(stored("ff_opportunity"), stored("nextgen_stats_receiving"))
+    assert shuffles(separation) <= 3 and len(scans(separation, "total_fantasy_points_diff")) == 1
+    assert len([line for line in planned(separation) if "FileScan" in line]) == 2
+
+
+def test_games_count_each_week_once(spark):
+    rows = [("a", "X", "WR", t, "2024", w) for t, w in (("KC", 1.0), ("SF", 1.0), ("KC", 2.0), ("KC", 2.0), ("KC", None))]
+    names = [
+        "total_fantasy_points_diff", "rec_touchdown_diff", "receptions_diff", "rec_attempt", "rec_attempt_team",
+        "rec_air_yards", "rec_air_yards_team",
+    ]
+    opportunity = spark.createDataFrame(
+        rows, "player_id string, full_name string, position string, posteam string, season string, week double"
+    ).selectExpr("*", *[f"1D AS {n}" for n in names])
+    receiving = spark.createDataFrame(
+        [("a", 2024, 1, 3.0, 1.0, 60.0)],
+        "player_gsis_id string, season int, week int, avg_separation double, avg_yac_above_expectation double, catch_percentage double",
+    )
+    row = players.separation_opportunity(opportunity, receiving).first()
+    assert (row.games, row.fp_diff, row.team) == (2, 5.0, "KC")

@@ -408,7 +408,8 @@ def _loaded_tables_sql() -> str:
             "COUNT(DISTINCT season), CAST(MIN(CAST(season AS INT)) AS INT), CAST(MAX(CAST(season AS INT)) AS INT)"
             if dataset.seasonal else "1, CAST(NULL AS INT), CAST(NULL AS INT)"
         )
-        blocks.append(f"SELECT '{dataset.dataset_id}', '{table}', COUNT(*), {seasons} FROM {table}")
+        kept = " WHERE posteam IS NOT NULL AND defteam IS NOT NULL" if table == "plays" else ""
+        blocks.append(f"SELECT '{dataset.dataset_id}', '{table}', COUNT(*), {seasons} FROM {table}{kept}")
     built = {
         "player_td_luck": "td_luck", "player_role_trend": "role_trend",
         "player_separation_opportunity": "separation_opportunity", "player_drop_rate": "drop_rate",
@@ -416,6 +417,7 @@ def _loaded_tables_sql() -> str:
     }
     bodies = {table: BUILT[name][1] for table, name in built.items()} | {"injury_return_curve": CURVE}
     for table, body in bodies.items():
+        body = body.replace("JOIN plays p", "JOIN (SELECT * FROM plays WHERE posteam IS NOT NULL AND defteam IS NOT NULL) p")
         blocks.append(f"SELECT '{table}', '{table}', COUNT(*), 1, CAST(NULL AS INT), CAST(NULL AS INT) FROM ({body}) t")
     return samples.with_clause(*samples.TABLES, extra=RECOVERY) + (
         "SELECT * FROM (" + " UNION ALL ".join(blocks) + ") "

@@ -15,10 +15,12 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 import oracle_queries as oracle  # noqa: E402
 import samples  # noqa: E402
 from downfield.functions.labels import formation_label, injury_type, short_name, situation_label  # noqa: E402
+from downfield.functions.median import summarize  # noqa: E402
+from downfield.functions.numeric import half_up  # noqa: E402
 from downfield.operators import charting, lookups, players, recovery, search, sql, status, teams  # noqa: E402
 from downfield.operators.answers import Answer  # noqa: E402
 from downfield.plans.build import Derived, build_player_tables, build_table, load_datasets  # noqa: E402
-from downfield.sources.ledger import latest_loads, pending_seasons  # noqa: E402
+from downfield.sources.ledger import Ledger, append_entry, latest_loads, pending_seasons  # noqa: E402
 from downfield.sources.load import Loaded, file_reader, load_seasonal, load_static, validate_loaded  # noqa: E402
 from downfield.sources.registry import DATASETS, Dataset, window_report  # noqa: E402
 from downfield.sources.tables import append_by_name, prepare_plays  # noqa: E402
@@ -218,6 +220,28 @@ def _built_content(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warehouse.read("player_td_luck")
 
 
+def _folded_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The latest loads of a log of many entries, read after it was folded twice with new entries between."""
+    log = _ledger_log(spark, sf_dir)
+    ledger = Ledger(spark, f"{scratch(spark)}/_log")
+    key = F.regexp_extract("loader_fn", "([0-9]+)", 1).cast("long")
+    for part in range(4):
+        append_entry(log.where(key % 4 == part), ledger.path)
+        if part % 2:
+            ledger.compact(grace=0)
+    return ledger.latest()
+
+
+def _medians(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact medians of prices, where all lines of a flag and status are one group."""
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    keys = ["l_returnflag", "l_linestatus"]
+    counts = lines.groupBy(*keys, F.col("l_extendedprice").cast("double").alias("price")).agg(F.count(F.lit(1)).alias("copies"))
+    return summarize(counts, keys, "price", "copies", resolution=1, digits=2).select(
+        *keys, half_up(F.col("median"), 4).alias("median_price"), F.col("size").alias("line_count")
+    )
+
+
 def _season_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which of the customers' requests a dataset covers; some name no season or an unknown dataset."""
     names, key = sorted(DATASETS), F.col("c_custkey")
@@ -358,6 +382,8 @@ def queries() -> dict[str, Query]:
         "status_refreshed": _in_seconds(_status("refreshed"), "last_refreshed"),
         "catalog": _in_seconds(_catalog, "last_loaded"),
         "latest_loads": _in_seconds(_latest_loads, "loaded_at"),
+        "folded_log": _in_seconds(_folded_log, "loaded_at"),
+        "median_prices": _medians,
         "pending_seasons": _pending,
         "append_by_name": over(_append_by_name, "snap_counts", "rosters"),
         "season_load": _season_load,
@@ -500,6 +526,9 @@ def oracle_sql() -> dict[str, str]:
         "COUNT(*) AS seasons_loaded, MIN(season) AS min_season, MAX(season) AS max_season, "
         "CAST(epoch(MAX(loaded_at)) AS BIGINT) AS last_loaded FROM latest GROUP BY dataset_id, table_name",
         "latest_loads": f"WITH {_LATEST} SELECT * REPLACE (CAST(epoch(loaded_at) AS BIGINT) AS loaded_at) FROM latest",
+        "folded_log": f"WITH {_LATEST} SELECT * REPLACE (CAST(epoch(loaded_at) AS BIGINT) AS loaded_at) FROM latest",
+        "median_prices": f"""SELECT l_returnflag, l_linestatus, {o.r("MEDIAN(CAST(l_extendedprice AS DOUBLE))", 4)} AS median_price,
+ COUNT(*) AS line_count FROM lineitem GROUP BY l_returnflag, l_linestatus""",
         "pending_seasons": f"""WITH {_LOG}, requested AS (
  SELECT concat('dataset', CAST(c_custkey % 40 AS STRING)) AS dataset_id,
   CAST(CASE WHEN c_custkey % 40 >= 9 THEN 2010 + c_custkey % 19 END AS INT) AS season FROM customer)

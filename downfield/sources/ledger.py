@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import time
 import uuid
+from collections.abc import Callable
 from datetime import datetime, timezone
 
 from pyspark.errors import AnalysisException
@@ -54,6 +56,46 @@ def read_log(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
         return spark.createDataFrame([], schema)
 
 
+def _folder(spark: SparkSession, path: str):
+    """The file system of a path, and the path, as Hadoop knows them."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
+
+
+def subfolders(spark: SparkSession, path: str) -> dict[str, float]:
+    """Names below a folder with the time of their last change in seconds; none if there is no folder."""
+    files, place = _folder(spark, path)
+    if not files.exists(place):
+        return {}
+    return {s.getPath().getName(): s.getModificationTime() / 1000 for s in files.listStatus(place)}
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    files, place = _folder(spark, path)
+    files.delete(place, True)
+
+
+def compact_log(
+    spark: SparkSession, path: str, schema: T.StructType, fold: Callable[[DataFrame], DataFrame], grace: float
+) -> int:
+    """Write what the entries of a log amount to as one new entry; returns how many older ones were removed.
+
+    `fold` keeps the rows that count, so an old entry beside the new one changes nothing. Entries are removed once
+    they are older than `grace` seconds, which leaves a reader that has just listed them its files; younger
+    ones go with the next compaction. Entries written meanwhile are not touched.
+    """
+    found = subfolders(spark, path)
+    names = sorted(name for name in found if name.startswith("entry="))
+    old = [name for name in names if found[name] <= time.time() - grace]
+    if len(names) < 2 or not old:
+        return 0
+    rows = spark.read.schema(schema).parquet(*[f"{path}/{name}" for name in names]).select(*schema.names)
+    append_entry(fold(rows).select(*schema.names), path)
+    for name in old:
+        remove_folder(spark, f"{path}/{name}")
+    return len(old)
+
+
 class Ledger:
     """An append-only Parquet log of loads; a later entry for the same key replaces the earlier one."""
 
@@ -75,6 +117,10 @@ class Ledger:
         entries = [(dataset_id, table, season, count, now, loader) for season, count in rows.items()]
         append_entry(self.spark.createDataFrame(entries, LEDGER_SCHEMA), self.path)
 
+    def compact(self, grace: float = 3600) -> int:
+        """Fold the log into one entry with the newest row per dataset and season; see `compact_log`."""
+        return compact_log(self.spark, self.path, LEDGER_SCHEMA, latest_loads, grace)
+
     def pending(self, requested: dict[str, list[int | None]]) -> dict[str, list[int | None]]:
         """The seasons still to be loaded per dataset, in the given order."""
         pairs = [(dataset_id, season) for dataset_id, seasons in requested.items() for season in seasons]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import threading
+import time
 import uuid
 from collections.abc import Sequence
 from datetime import datetime, timezone
@@ -12,7 +13,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from downfield.sources.ledger import Ledger, append_entry, read_log
+from downfield.sources.ledger import Ledger, append_entry, compact_log, read_log, remove_folder, subfolders
 from downfield.sources.tables import merged_schema
 
 _SCHEMA_LOG = T.StructType(
@@ -35,6 +36,12 @@ _REJECTED = T.StructType(
 )
 
 
+def _newest_schemas(log: DataFrame) -> DataFrame:
+    """The newest entry of each table."""
+    newest = F.max(F.struct("recorded_at", "schema_json", "location")).alias("newest")
+    return log.groupBy("table_name").agg(newest).select("table_name", "newest.*")
+
+
 class Warehouse:
     """Tables below one root directory on any file system Spark can write to.
 
@@ -59,10 +66,9 @@ class Warehouse:
         with self._lock:
             if self._schemas is None:
                 log = read_log(self.spark, self.path("_schemas"), _SCHEMA_LOG)
-                entry = F.max_by(F.struct("schema_json", "location"), "recorded_at").alias("entry")
-                newest = log.groupBy("table_name").agg(entry).collect()
-                self._locations = {r.table_name: r.entry.location for r in newest if r.entry.location}
-                self._schemas = {r.table_name: T.StructType.fromJson(json.loads(r.entry.schema_json)) for r in newest}
+                newest = _newest_schemas(log).collect()
+                self._locations = {r.table_name: r.location for r in newest if r.location}
+                self._schemas = {r.table_name: T.StructType.fromJson(json.loads(r.schema_json)) for r in newest}
             return self._schemas
 
     def refresh(self) -> None:
@@ -142,6 +148,25 @@ class Warehouse:
         if merged != existing:
             self._record_schema(table, merged)
 
+    def tidy(self, grace: float = 3600) -> dict[str, int]:
+        """Fold the logs and remove table versions that are no longer named; returns how many folders went.
+
+        Only what is older than `grace` seconds is removed, so queries that started before keep their files, and a
+        version that is being written keeps its place until it is named. Safe to repeat and to interrupt.
+        """
+        self.refresh()
+        gone = {"ledger": self.ledger.compact(grace)}
+        gone["schemas"] = compact_log(self.spark, self.path("_schemas"), _SCHEMA_LOG, _newest_schemas, grace)
+        gone["versions"] = 0
+        for table in self.schemas():
+            named = self._locations.get(table)
+            for name, changed in subfolders(self.spark, self.path(table)).items():
+                unused = name.startswith("version-") and f"{table}/{name}" != named
+                if unused and changed <= time.time() - grace:
+                    remove_folder(self.spark, self.path(f"{table}/{name}"))
+                    gone["versions"] += 1
+        return gone
+
     def set_aside(self, dataset_id: str, season: int, rows: DataFrame, at: datetime) -> None:
         """Keep (reason, row) of source rows that a load at this time did not take."""
         marked = rows.select(

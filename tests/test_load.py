@@ -381,3 +381,32 @@ def test_failed_reload_keeps_the_stored_rows(spark, warehouse):
         assert found.count() == 100 and found.where("name = 'a'").count() == 100
     assert load_static(warehouse, STATIC, lambda d, s: rows.limit(7)).rows == 7
     assert Warehouse(spark, warehouse.root).read("names").count() == 7
+
+
+def test_a_long_log_is_folded(spark, warehouse):
+    """Many entries become one; the young ones stay for readers that have listed them, and nothing else changes."""
+    for i in range(30):
+        warehouse.ledger.record(f"d{i % 7}", "t", "f", {2000 + i % 3: i})
+    state = lambda: sorted((r.dataset_id, r.season, r.row_count) for r in warehouse.ledger.latest().collect())
+    before, listed = state(), warehouse.ledger.log()
+    assert warehouse.ledger.compact(grace=3600) == 0 and state() == before
+    assert listed.count() == 30
+    assert warehouse.ledger.compact(grace=0) == 30 and state() == before
+    assert len(warehouse.ledger.log().inputFiles()) == 1 and warehouse.ledger.log().count() == len(before)
+    # an entry written after is on top of the folded ones
+    warehouse.ledger.record("d0", "t", "f", {2000: 99})
+    assert ("d0", 2000, 99) in state() and len(state()) == len(before)
+    assert warehouse.ledger.compact(grace=0) == 2 and ("d0", 2000, 99) in state()
+
+
+def test_unused_versions_are_removed(spark, warehouse):
+    for i in range(3):
+        load_static(warehouse, STATIC, lambda d, s, i=i: spark.range(i + 1))
+    load_seasonal(warehouse, SEASONAL, seasonal_reader(spark, {2023: [1, 2]}), [2023])
+    held = warehouse.read("names")  # its files are listed
+    assert warehouse.tidy(grace=3600) == {"ledger": 0, "schemas": 0, "versions": 0} and held.count() == 3
+    gone = warehouse.tidy(grace=0)
+    assert gone["versions"] == 2 and gone["schemas"] == 4 and held.count() == 3
+    fresh = Warehouse(spark, warehouse.root)
+    assert fresh.read("names").count() == 3 and fresh.read("stats").count() == 2 and fresh.ledger.is_loaded("names")
+    assert warehouse.tidy(grace=0) == {"ledger": 0, "schemas": 0, "versions": 0}

@@ -165,22 +165,32 @@ def fit_counts(found: list[tuple[int, ...]], histogram: np.ndarray, sweeps: int
     return x
 
 
+SHARES = (1.0, 0.75, 0.5, 0.25, 0.0)  # of the fitted counts
+
+
 def plan(histogram: np.ndarray, total: int) -> list[tuple[tuple[int, ...], int]]:
-    """(lengths of a sequence, how many sequences) that hold every piece of the histogram once."""
-    left = histogram.astype(np.int64).copy()
-    found = patterns([int(n) for n in np.flatnonzero(left)], total)
-    out: list[tuple[tuple[int, ...], int]] = []
-    counts = fit_counts(found, left)
-    for i in sorted(range(len(found)), key=lambda i: -counts[i]):
-        if counts[i] < 0.5:
-            break
-        own = found[i]
-        n = min(int(counts[i] + 0.5), *(int(left[m]) // own.count(m) for m in own))
-        if n > 0:
-            out.append((own, n))
-            for m in own:
-                left[m] -= n
-    return out + best_fit(left, total)
+    """(lengths of a sequence, how many sequences) that hold every piece of the histogram once.
+
+    The fitted counts are rounded down and the pieces they leave go to best fit. Full patterns may take the short pieces
+    that best fit needs beside long ones, so smaller shares of the counts are tried as well, down to best fit alone,
+    and the plan with the fewest sequences is kept.
+    """
+    pieces_ = histogram.astype(np.int64)
+    found = patterns([int(n) for n in np.flatnonzero(pieces_)], total)
+    counts = fit_counts(found, pieces_)
+    order = sorted(range(len(found)), key=lambda i: -counts[i])
+    plans = []
+    for share in SHARES:
+        left, out = pieces_.copy(), []
+        for i in order:
+            own = found[i]
+            n = min(int(counts[i] * share), *(int(left[m]) // own.count(m) for m in own))
+            if n > 0:
+                out.append((own, n))
+                for m in own:
+                    left[m] -= n
+        plans.append(out + best_fit(left, total))
+    return min(plans, key=lambda p: sum(n for _, n in p))
 
 
 def best_fit(left: np.ndarray, total: int) -> list[tuple[tuple[int, ...], int]]:

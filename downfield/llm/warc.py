@@ -25,6 +25,8 @@ from .common import shared_path, stored, utf8
 SKIPPABLE_MAGIC = 0x184D2A5E
 SEEKABLE_MAGIC = 0x8F92EAB1
 
+MOST_TASKS = 20_000  # that read bundles; beyond it a task reads several
+
 INDEX = (
     "page_id long, record_type string, bundle string, frame int, frame_offset long, frame_bytes long, "
     "record_offset long, record_bytes long"
@@ -244,8 +246,10 @@ def read_bundles(index: DataFrame, with_payload: bool = True) -> DataFrame:
                             rows.append(found)
                         yield _records(rows, with_payload)
 
-    bundles = index.select("bundle").distinct().repartition(F.col("bundle"))
-    return bundles.mapInArrow(run, RECORDS)
+    # names are tiny, so Spark would put all of them into one task; a given number of tasks stays
+    names = index.select("bundle").distinct()
+    tasks = min(names.count(), MOST_TASKS)
+    return names.repartition(max(tasks, 1)).mapInArrow(run, RECORDS)
 
 
 def fetch(index: DataFrame, pages: DataFrame) -> DataFrame:
@@ -273,7 +277,13 @@ def fetch(index: DataFrame, pages: DataFrame) -> DataFrame:
 
 
 def round_trip(spark: SparkSession, pages: DataFrame, least_bytes: int = 1000) -> DataFrame:
-    """(page_id, payload_bytes, payload_digest, record_type, refers_to) of every page, as read back from new bundles."""
+    """(page_id, payload_bytes, payload_digest, record_type, refers_to) of every page, as read back from new bundles.
+
+    A null page is an empty payload; empty and short ones are responses. Of equal payloads of `least_bytes` or more the
+    one with the largest id is the response, and where no id is known any of them. Repeated rows are records of their
+    own, null ids stay null, very long pages are one record each, and columns besides page_id, url and html take no
+    part. An empty table gives no rows.
+    """
     index = write_bundles(pages, shared_path(spark, "warc"), least_bytes)
     return read_bundles(index, with_payload=False).select(
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"

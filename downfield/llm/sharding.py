@@ -14,6 +14,7 @@ from .common import shared_path, stored, utf8
 
 STEP = 8
 HASH_BITS = 56
+TASKS_PER_SHARD, MOST_TASKS = 3, 100_000  # that write
 MOST_BITS = 2 * HASH_BITS  # the second half tells rows apart that agree in id and text
 
 
@@ -87,13 +88,16 @@ def assigned(rows: DataFrame, found: DataFrame) -> DataFrame:
 def write_shards(documents: DataFrame, folder: str, byte_limit: int) -> DataFrame:
     """Writes every shard as one Parquet folder below `folder`; returns what was written.
 
-    Columns: doc_id, text, n_bytes, shard_bytes, shard ('b' and the bits of its prefix).
+    Columns: doc_id, text, n_bytes, shard_bytes, shard ('b' and the bits of its prefix); other columns are left out.
     """
     rows = addressed(documents)
-    placed = assigned(rows, directory(rows, byte_limit)).withColumn("shard", F.concat(F.lit("b"), "shard"))
+    found = directory(rows, byte_limit)
+    placed = assigned(rows, found).withColumn("shard", F.concat(F.lit("b"), "shard"))
     names = ["doc_id", "text", "n_bytes", "shard_bytes", "shard"]
     placed = placed.select(*names)
-    placed.repartition("shard").sortWithinPartitions("shard").write.partitionBy("shard").parquet(folder)
+    # as many tasks as the directory has shards, and some more, so that few shards meet in one
+    tasks = min(TASKS_PER_SHARD * max(found.select("shard").distinct().count(), 1), MOST_TASKS)
+    placed.repartition(tasks, "shard").sortWithinPartitions("shard").write.partitionBy("shard").parquet(folder)
     return documents.sparkSession.read.schema(placed.schema).parquet(folder)
 
 

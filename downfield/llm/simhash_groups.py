@@ -148,6 +148,8 @@ def allocate(total: int, both: np.ndarray, radius: int, most_parts: int = 8) ->
             need = step
         if radius + 1 in need and need[radius + 1][0] < best[0]:
             best = (need[radius + 1][0], [(b, t) for b, t in zip(divided, need[radius + 1][1]) if t >= 0])
+    if not best[1]:
+        raise ValueError(f"no thresholds of at most {MOST_FLIPS} bits in eight partitions cover a radius of {radius} bits")
     return best[1]
 
 

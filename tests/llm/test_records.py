@@ -7,6 +7,8 @@ import numpy as np
 import pytest
 
 from check import connect, rows_of
+from pyspark.sql import functions as F
+
 from downfield.llm import packing, sharding, warc
 from downfield.llm.common import shared_path
 from downfield.llm.queries import ORACLE_SQL, QUERIES, tokenizer_path
@@ -35,7 +37,7 @@ def test_warc_round_trip_and_random_access(spark):
     pages = spark.createDataFrame([(*r, "p", "b") for r in rows], PAGES)
     index = warc.write_bundles(pages, shared_path(spark, "warc"), frame_bytes=2000, bundle_bytes=3000)
     found = warc.read_bundles(index).collect()
-    assert Counter((r.page_id, r.url, r.payload and bytes(r.payload).decode()) for r in found if r.record_type == "response") == Counter(
+    assert Counter((r.page_id, r.url, bytes(r.payload).decode()) for r in found if r.record_type == "response") == Counter(
         (i, u, h or "") for i, u, h in rows if h != big or i == 3
     ) - Counter({(4, "u", ""): 0})
     revisits = {(r.page_id, r.refers_to, r.payload_bytes) for r in found if r.record_type == "revisit"}
@@ -66,6 +68,19 @@ def test_bundle_is_plain_zstandard(spark):
     assert whole.count(b"WARC/1.1\r\n") == 50 and index.select("frame").distinct().count() > 5
 
 
+def test_bundles_are_read_by_many_tasks(spark):
+    """Fifteen bundles or more, one of a very long page; the reading tasks are counted by partition."""
+    long_page = "<p>" + "lorem ipsum dolor " * 200_000
+    rows = [(i, "u", f"page {i} " * 200, "", "") for i in range(200)] + [(500, "u", long_page, "", ""), (501, "u", long_page, "", "")]
+    index = warc.write_bundles(spark.createDataFrame(rows, PAGES).coalesce(2), shared_path(spark, "warc"), frame_bytes=2000, bundle_bytes=1500)
+    bundles = index.select("bundle").distinct().count()
+    found = warc.read_bundles(index, with_payload=False).withColumn("task", F.spark_partition_id()).collect()
+    assert bundles >= 15 and len({r.task for r in found}) >= max(4, bundles // 2)
+    assert Counter(r.page_id for r in found) == Counter(r[0] for r in rows)
+    whole = {r.page_id: r for r in found}
+    assert whole[501].payload_bytes == len(long_page) and whole[500].refers_to == 501
+
+
 def check_packing(rows, documents, most):
     from tokenizers import Tokenizer
 
@@ -115,6 +130,20 @@ def test_plan_holds_every_piece_once():
         assert (back == histogram).all()
         least = -(-int((histogram * np.arange(257)).sum()) // 256)
         assert sum(n for _, n in planned) <= 1.02 * least + 2
+        assert sum(n for _, n in planned) <= sum(n for _, n in packing.best_fit(histogram.copy(), 256))
+
+
+def test_patterns_beat_best_fit_where_pieces_fill_sequences():
+    """Pieces cut from full sequences: the patterns find as many full ones, or nearly so, and never more than best fit."""
+    random = np.random.default_rng(8)
+    for _ in range(5):
+        histogram = np.zeros(65, np.int64)
+        for _ in range(3000):
+            a, b = sorted(random.integers(1, 64, 2))
+            for n in (a, b - a, 64 - b):
+                histogram[n] += n > 0
+        planned = sum(n for _, n in packing.plan(histogram, 64))
+        assert 3000 <= planned <= min(3000 * 1.01, sum(n for _, n in packing.best_fit(histogram.copy(), 64)))
 
 
 def brute_shards(rows, limit):

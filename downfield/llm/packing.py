@@ -178,7 +178,7 @@ def plan(histogram: np.ndarray, total: int) -> list[tuple[tuple[int, ...], int]]
     pieces_ = histogram.astype(np.int64)
     found = patterns([int(n) for n in np.flatnonzero(pieces_)], total)
     counts = fit_counts(found, pieces_)
-    order = sorted(range(len(found)), key=lambda i: -counts[i])
+    order = sorted((i for i, count in enumerate(counts) if count >= 1), key=lambda i: -counts[i])
     plans = []
     for share in SHARES:
         left, out = pieces_.copy(), []

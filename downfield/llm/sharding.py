@@ -29,26 +29,34 @@ def _bits(value: Column) -> Column:
 
 
 def addressed(documents: DataFrame) -> DataFrame:
-    """(address, n_bytes, doc_id, text …): the hash bits of id and text, then bits of the row alone.
-
-    Rows are told apart by their place in the input, which only matters where id and text agree.
-    """
+    """(address, n_bytes, doc_id, text): the hash bits of id and text as text of 0 and 1."""
     key = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("|"), F.coalesce("text", F.lit("")))
-    place = F.md5(F.monotonically_increasing_id().cast("string").cast("binary"))
     return documents.select(
-        F.concat(_bits(F.md5(key.cast("binary"))), _bits(place)).alias("address"),
-        F.octet_length(utf8("text")).cast("long").alias("n_bytes"), "doc_id", "text",
+        _bits(F.md5(key.cast("binary"))).alias("address"), F.octet_length(utf8("text")).cast("long").alias("n_bytes"),
+        "doc_id", "text",
     )
 
 
-def directory(rows: DataFrame, byte_limit: int) -> DataFrame:
+def _told_apart(rows: DataFrame, prefixes: DataFrame) -> DataFrame:
+    """The rows whose whole address is among the prefixes, stored with as many bits more for each row alone.
+
+    These bits come from a row's place. They are stored with the row, so every later job sees the same ones, even if a
+    lost task deals the input differently.
+    """
+    place = F.md5(F.monotonically_increasing_id().cast("string").cast("binary"))
+    own = rows.join(prefixes, F.col("address") == F.col("prefix"), "left_semi")
+    return stored(own.withColumn("address", F.concat("address", _bits(place))), "copies")
+
+
+def directory(rows: DataFrame, byte_limit: int) -> tuple[DataFrame, DataFrame | None]:
     """(prefix, shard, shard_bytes): for address prefixes of 8, 16 … bits the shard they belong to.
 
-    A shard is empty text while one bucket holds all. At the end of the address a bucket stays as it is, so only
-    a single document can exceed the limit.
+    A shard is empty text while one bucket holds all. Rows that agree in all bits of the hash and exceed the limit are
+    given bits of their own and returned beside the directory, None if there are none. At the end of these a bucket
+    stays as it is, so only a single document can exceed the limit.
     """
-    sizes = stored(rows.select("address", "n_bytes"), "sizes")
-    done, depth, open_ = None, 0, sizes
+    done, copies, depth = None, None, 0
+    open_ = stored(rows.select("address", "n_bytes"), "sizes")
     while True:
         fine = stored(
             open_.groupBy(_leading(depth + STEP).alias("prefix")).agg(F.sum("n_bytes").alias("bytes")), "directory"
@@ -69,18 +77,23 @@ def directory(rows: DataFrame, byte_limit: int) -> DataFrame:
         done = found if done is None else done.unionByName(found)
         large = fine.where(F.col("bytes") > byte_limit).select("prefix")
         if last or large.isEmpty():
-            return done
-        open_ = open_.join(large, _leading(depth + STEP) == F.col("prefix"), "left_semi")
+            return done, copies
         depth += STEP
+        if depth == HASH_BITS:
+            copies = _told_apart(rows, large)
+            open_ = copies.select("address", "n_bytes")
+        else:
+            open_ = open_.join(large, _leading(depth) == F.col("prefix"), "left_semi")
 
 
-def assigned(rows: DataFrame, found: DataFrame) -> DataFrame:
+def assigned(rows: DataFrame, found: DataFrame, copies: DataFrame | None) -> DataFrame:
     """The rows with shard and shard_bytes: a row belongs to the entry with the prefix of its address."""
     depths = sorted(r["n"] for r in found.select(F.length("prefix").alias("n")).distinct().collect())
     out = None
     for depth in depths:
         own = found.where(F.length("prefix") == depth)
-        part = rows.join(own, _leading(depth) == F.col("prefix")).drop("prefix")
+        of_depth = rows if depth <= HASH_BITS else copies
+        part = of_depth.join(own, _leading(depth) == F.col("prefix")).drop("prefix")
         out = part if out is None else out.unionByName(part)
     return rows.withColumns({"shard": F.lit(""), "shard_bytes": F.lit(0)}).where("false") if out is None else out
 
@@ -91,8 +104,8 @@ def write_shards(documents: DataFrame, folder: str, byte_limit: int) -> DataFram
     Columns: doc_id, text, n_bytes, shard_bytes, shard ('b' and the bits of its prefix); other columns are left out.
     """
     rows = addressed(documents)
-    found = directory(rows, byte_limit)
-    placed = assigned(rows, found).withColumn("shard", F.concat(F.lit("b"), "shard"))
+    found, copies = directory(rows, byte_limit)
+    placed = assigned(rows, found, copies).withColumn("shard", F.concat(F.lit("b"), "shard"))
     names = ["doc_id", "text", "n_bytes", "shard_bytes", "shard"]
     placed = placed.select(*names)
     # as many tasks as the directory has shards, and some more, so that few shards meet in one

@@ -5,8 +5,11 @@ Only column expressions, joins and windows are used. Terms are runs of five word
 
 from __future__ import annotations
 
+import math
+from collections import Counter
 from itertools import combinations
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -56,15 +59,40 @@ def find_near(queries: DataFrame, prints: DataFrame, radius: int = 3, blocks: in
     return met.select("query", "fingerprint").distinct()
 
 
-def _bucket(documents: DataFrame, per_bucket: int) -> Column:
-    """A range number that grows with doc_id; -1 without id."""
-    seen = documents.agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count(F.lit(1)).alias("n")).first()
-    parts = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    count = max(1, min(seen.n // per_bucket, 16 * parts))
-    if seen.lo is None:
-        return F.lit(-1).cast("long")
-    place = (F.col("doc_id").cast("double") - float(seen.lo)) / (float(seen.hi) - float(seen.lo) + 1) * count
-    return F.when(F.col("doc_id").isNull(), -1).otherwise(F.least(F.floor(place), F.lit(count - 1))).cast("long")
+def _in_ranges(rows: DataFrame, per_bucket: int) -> DataFrame:
+    """The rows (doc_id, order, …) with `bucket`, a range number that grows with doc_id, then with order; no id is least.
+
+    Ranges are cut at quantiles of the ids, so they hold about as many rows each however the ids are spread. An id that
+    fills several ranges by itself, or rows without id, are cut by the hash `order`.
+    """
+    seen = rows.agg(F.count(F.lit(1)).alias("n"), F.count("doc_id").alias("with_id")).first()
+    count = max(1, min(seen.n // per_bucket, 16 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    steps = [k / count for k in range(1, count)]
+    points = steps and rows.agg(F.percentile_approx("doc_id", steps, max(10_000, 10 * count))).first()[0] or []
+    splits = sorted({float(p) for p in points})
+    heavy: dict[int, tuple[int, int]] = {}  # cell -> its id that has several points, and how many
+    for id_, times in sorted(Counter(points).items()):
+        if times > 1:
+            heavy.setdefault(splits.index(float(id_)) + 1, (id_, times))
+    span = count + 3
+
+    def part(parts: Column) -> Column:
+        share = F.col("order").cast("double") / float(1 << 64) + 0.5
+        return F.least(F.floor(share * parts), parts - 1).cast("long")
+
+    sub = F.lit(0)
+    if heavy:
+        ids = F.element_at(F.create_map(*[F.lit(x) for c, (id_, _) in heavy.items() for x in (c, id_)]), F.col("cell"))
+        times = F.element_at(F.create_map(*[F.lit(x) for c, (_, k) in heavy.items() for x in (c, k)]), F.col("cell"))
+        sub = F.when(F.col("doc_id") > ids, count + 2).when(F.col("doc_id") == ids, part(times) + 1).otherwise(0)
+    cells = Bucketizer(splits=[-math.inf, *splits, math.inf], inputCol="id_number", outputCol="cell")
+    placed = (
+        cells.transform(rows.withColumn("id_number", F.coalesce(F.col("doc_id").cast("double"), F.lit(0.0))))
+        if splits else rows.withColumns({"id_number": F.lit(0.0), "cell": F.lit(0.0)})
+    ).withColumn("cell", F.col("cell").cast("int"))
+    without = F.lit(max(1, count * (seen.n - seen.with_id) // max(seen.n, 1)))
+    bucket = F.when(F.col("doc_id").isNull(), part(without) - span).otherwise(F.col("cell").cast("long") * span + sub)
+    return placed.withColumn("bucket", bucket).drop("id_number", "cell")
 
 
 def with_next(documents: DataFrame, per_bucket: int = 512) -> DataFrame:
@@ -72,11 +100,11 @@ def with_next(documents: DataFrame, per_bucket: int = 512) -> DataFrame:
 
     The first follows the last. Documents without id come last; equal ids are ordered by a hash of the text. Ids are
     cut into ranges, each ordered by itself; the first document of a range also stands at the end of the range
-    before. Ranges are at most 16 times the shuffle partitions, and so are the documents that stand twice.
+    before. Ranges are at most some 16 times the shuffle partitions, and so are the documents that stand twice. Rows
+    equal in id and text are in one range.
     """
     own = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    bucket = _bucket(own, per_bucket)
-    placed = own.withColumn("bucket", bucket).withColumn("order", F.xxhash64("text"))
+    placed = _in_ranges(own.withColumn("order", F.xxhash64("text")), per_bucket)
     firsts = placed.groupBy("bucket").agg(F.max(F.struct("doc_id", "order")).alias("first"))
     downward = Window.orderBy(F.desc("bucket"))  # over one row per range
     moves = firsts.select(

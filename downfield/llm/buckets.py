@@ -16,7 +16,6 @@ from .common import stored
 from .components import connected_components
 
 Near = Callable[[Column, Column], Column]
-Verify = Callable[[DataFrame], DataFrame]
 
 
 def differing_bits(left: Column, right: Column) -> Column:
@@ -84,11 +83,7 @@ def merge(components: DataFrame, links: DataFrame) -> DataFrame:
     return moved.unionByName(fresh)
 
 
-def bucket_components(members: DataFrame, near: Near, verified: Verify | None = None) -> DataFrame:
-    """(node, component) of all nodes that are near another one of their bucket, directly or by steps.
-
-    `verified` may drop pairs (a, b, …) that are near but not alike.
-    """
-    check = verified or (lambda pairs: pairs)
-    first = stored(connected_components(check(hub_pairs(members, near))), "components")
-    return stored(merge(first, check(split_pairs(members, first, near))), "components")
+def bucket_components(members: DataFrame, near: Near) -> DataFrame:
+    """(node, component) of all nodes that are near another one of their bucket, directly or by steps."""
+    first = stored(connected_components(hub_pairs(members, near)), "components")
+    return stored(merge(first, split_pairs(members, first, near)), "components")

@@ -17,17 +17,15 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .buckets import Verify, bucket_components, differing_bits
+from .buckets import bucket_components, differing_bits
 from .common import stored, utf8, whole_row
-from .votes import let, shingle_hashes, signed
+from .votes import signed
 
 BITS = 64
 SEED = 42
-SLOTS = 1 << 15  # shingle counts are kept by slot of the hash
-COUNTED = 8  # one text in so many is counted; the counts only order the shingles
 MOST_FLIPS = 2  # largest threshold of a partition; probes grow with its power
 
 
@@ -168,17 +166,14 @@ def probes(nodes: DataFrame, plan: list[tuple[list[int], int]]) -> DataFrame:
     return out
 
 
-def fingerprint_groups(prints: DataFrame, radius: int = 3, verified: Verify | None = None) -> DataFrame:
-    """(fingerprint, component): every distinct fingerprint with the smallest one that chains of links reach.
-
-    Where `verified` is given, only the pairs (a, b) of fingerprints that it returns are links.
-    """
+def fingerprint_groups(prints: DataFrame, radius: int = 3) -> DataFrame:
+    """(fingerprint, component): every distinct fingerprint with the smallest one that chains of links reach."""
     nodes = stored(prints.select("fingerprint").distinct(), "prints")
     total, both = bit_counts(nodes)
     members = probes(nodes.select(F.col("fingerprint").alias("node")), allocate(total, both, radius)) if total else None
     if members is None:
         return nodes.select("fingerprint", F.col("fingerprint").alias("component"))
-    found = bucket_components(members, lambda a, b: differing_bits(a, b) <= radius, verified)
+    found = bucket_components(members, lambda a, b: differing_bits(a, b) <= radius)
     return nodes.join(found.withColumnRenamed("node", "fingerprint"), "fingerprint", "left").select(
         "fingerprint", F.coalesce("component", "fingerprint").alias("component")
     )
@@ -210,93 +205,18 @@ def _text_id(id_: str, text: str) -> Column:
     return F.struct(F.xxhash64(id_, text).alias("x"), F.xxhash64(F.lit(1), id_, text).alias("y"))
 
 
-def _shingle_set(text: Column, words: int) -> Column:
-    return F.array_distinct(shingle_hashes(text, words))
-
-
-def _alike(left: str, right: str, similarity: float) -> Column:
-    shared = F.size(F.array_intersect(left, right))
-    return shared >= similarity * (F.size(left) + F.size(right) - shared)
-
-
-def _shingle_levels(texts: DataFrame, words: int) -> list[int]:
-    """Twice the logarithm of how often the shingles of each slot occur; any levels give the same pairs, good ones sooner."""
-    some = texts.where(F.pmod("mark", F.lit(COUNTED)) == 0).select(F.explode(_shingle_set(F.col("text"), words)).alias("shingle"))
-    levels = [0] * SLOTS
-    for slot, n in some.groupBy(F.pmod("shingle", F.lit(SLOTS)).cast("int").alias("slot")).count().collect():
-        levels[slot] = int(2 * math.log2(n))
-    return levels
+def without_near_duplicates(documents: DataFrame, words_per_shingle: int = 3, radius: int = 3) -> DataFrame:
+    """The documents, all columns kept, of which one of every group of linked fingerprints remains.
 
-
-def _leading_shingles(set_: Column, levels: list[int], similarity: float) -> Column:
-    """The first shingles of a set, rare ones before common ones, under which it meets all sets similar to it.
-
-    Of a set at most (1 - similarity) * its size shingles are not in a similar one. Of the shared shingles, the first in
-    an order of all shingles is therefore among the first (1 - similarity) * size + 1 of both.
+    That is the one of the smallest doc_id, ids missing last, and of equal ids any, but the same in every run. A null
+    text counts as empty, and texts without words share fingerprint 0. Of rows repeated in id and text one stays.
+    An empty table gives no rows.
     """
-    known = F.split(F.lit(",".join(map(str, levels))), ",").cast("array<int>")
-
-    def ordered(h: Column) -> Column:
-        level = F.get(known, F.pmod(h, F.lit(SLOTS)).cast("int")).cast("long")
-        return F.shiftleft(level, 56).bitwiseOR(F.shiftrightunsigned(h, 8))
-
-    def first(own: Column) -> Column:
-        return F.slice(F.sort_array(F.transform(own, ordered)), 1, F.floor(F.size(own) * (1 - similarity) + 1e-9).cast("int") + 1)
-
-    return let(set_, first)
-
-
-def near_duplicates(documents: DataFrame, similarity: float = 0.8, words_verified: int = 5) -> DataFrame:
-    """(text_id, component, first) of every distinct document; `first` marks the one of its group that stays.
-
-    Documents are linked if the sets of their runs of `words_verified` words have a Jaccard similarity of at least
-    `similarity`; none is missed. Equal texts are always linked. First is the smallest doc_id, ids missing last.
-    """
-    if not 0 < similarity <= 1:
-        raise ValueError("similarity must be above 0 and at most 1")
-    blank = F.coalesce(F.when(F.col("text").rlike(r"\S"), F.col("text")), F.lit(""))
-    rows = documents.select(_text_id("doc_id", "text").alias("text_id"), "doc_id", blank.alias("text")).withColumn("mark", F.xxhash64("text"))
-    place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_id")
-    prints = stored(rows.select("text_id", "mark", place.alias("place")).distinct(), "prints")
-    firsts = prints.groupBy("mark").agg(F.min("place").alias("place"))
-
-    def texts_of(wanted: DataFrame) -> DataFrame:
-        """(mark, set) of distinct texts (mark, place), each with its shingles."""
-        found = rows.select("text_id", "text").join(wanted.select("mark", F.col("place.text_id").alias("text_id")), "text_id")
-        return found.dropDuplicates(["mark"]).select("mark", _shingle_set(F.col("text"), words_verified).alias("set"))
-
-    leading = _leading_shingles(F.col("set"), _shingle_levels(rows, words_verified), similarity)
-    members = texts_of(firsts).select(F.col("mark").alias("node"), F.explode(leading).alias("bucket"))
-    of = Window.partitionBy("bucket")
-    shared = members.withColumns({"least": F.min("node").over(of), "most": F.max("node").over(of)}).where("least < most")
-    met = stored(shared.select("bucket", "node", F.lit(True).alias("owner")), "met")
-    wanted = firsts.join(met.select(F.col("node").alias("mark")).distinct(), "mark")
-    sets = stored(texts_of(wanted).withColumn("size", F.size("set")), "sets")
-    sizes = sets.select("mark", "size")
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        sized = pairs.join(sizes.toDF("a", "size_a"), "a").join(sizes.toDF("b", "size_b"), "b")
-        close = F.least("size_a", "size_b") >= F.greatest("size_a", "size_b") * similarity - 1e-9
-        left = sets.select(F.col("mark").alias("a"), F.col("set").alias("set_a"))
-        right = sets.select(F.col("mark").alias("b"), F.col("set").alias("set_b"))
-        possible = stored(sized.where(close).drop("size_a", "size_b"), "pairs")
-        return possible.join(left, "a").join(right, "b").where(_alike("set_a", "set_b", similarity)).drop("set_a", "set_b")
-
-    groups = bucket_components(met, lambda a, b: F.lit(True), verified).withColumnRenamed("node", "mark")
-    named = stored(prints.join(groups, "mark", "left").withColumn("component", F.coalesce("component", "mark")), "named")
-    group_first = named.groupBy("component").agg(F.min("place").alias("group_place"))
-    return named.join(group_first, "component").select(
-        "text_id", "component", F.col("place").eqNullSafe(F.col("group_place")).alias("first")
-    )
-
-
-def without_near_duplicates(documents: DataFrame, **settings) -> DataFrame:
-    """The documents, all columns kept, of which one of every group of near duplicates remains.
-
-    A null text counts as empty, and all texts without words are one group. Of repeated rows one stays.
-    """
-    names = documents.columns
-    firsts = near_duplicates(documents, **settings).where("first").select("text_id").distinct()
+    place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", _text_id("doc_id", "text").alias("text_id"))
+    prints = stored(fingerprints(documents, words_per_shingle, place), "prints")
+    groups = fingerprint_groups(prints, radius)
+    least = prints.groupBy("fingerprint").agg(F.min("document").alias("first")).join(groups, "fingerprint")
+    firsts = least.groupBy("component").agg(F.min("first").alias("first")).select(F.col("first.text_id").alias("text_id"))
     rows = documents.select(whole_row(documents).alias("document"), _text_id("doc_id", "text").alias("text_id"))
     kept = rows.join(firsts, "text_id").dropDuplicates(["text_id"])
-    return kept.select(*[F.col(f"document.`{c}`").alias(c) for c in names])
+    return kept.select(*[F.col(f"document.`{c}`").alias(c) for c in documents.columns])

@@ -88,17 +88,28 @@ def test_allocation_covers_the_radius():
             assert len({b for p, _ in plan for b in p}) == sum(len(p) for p, _ in plan)
 
 
-def test_near_duplicates_keep_one(spark, odd_documents, no_documents):
+def kept_of_groups(rows):
+    """The rows that stay, one of each group of linked fingerprints, by brute force."""
+    prints = [brute_print(t) for _, t in rows]
+    links = [(i, j) for i, j in combinations(range(len(rows)), 2) if (prints[i] ^ prints[j]).bit_count() <= 3]
+    groups = defaultdict(list)
+    for i, root in groups_of(range(len(rows)), links).items():
+        groups[root].append(rows[i])
+    return [min((d is None, d or 0) for d, _ in group) for group in groups.values()]
+
+
+def test_near_duplicates_keep_one_of_each_group(spark, small, odd_documents, no_documents):
     words = [f"word{i}" for i in range(400)]
     changed = [*words[:200], "other", *words[201:]]
     rows = [(1, " ".join(words)), (2, " ".join(changed)), (3, " ".join(words)), (3, " ".join(words)), (4, " ".join(reversed(words)))]
-    documents = spark.createDataFrame([(d, t, "en", "s", 1) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
-    kept = simhash_groups.without_near_duplicates(documents)
-    assert sorted(r.doc_id for r in kept.collect()) == [1, 4] and kept.columns == documents.columns
-    odd = simhash_groups.without_near_duplicates(odd_documents)
-    assert odd.columns == odd_documents.columns
-    ids = Counter(r.doc_id for r in odd.collect())
-    assert ids[1] == 1 and ids[3] == 0 and ids[4] == 1 and ids[5] == 0 and ids[7] == 1 and ids[8] == 0 and ids[100] == 1
+    made = spark.createDataFrame([(d, t, "en", "s", 1) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    for documents in (made, small, odd_documents):
+        kept = simhash_groups.without_near_duplicates(documents)
+        found = sorted((r.doc_id is None, r.doc_id or 0) for r in kept.collect())
+        assert found == sorted(kept_of_groups([(r.doc_id, r.text) for r in documents.collect()]))
+        assert kept.columns == documents.columns
+        groups = simhash_groups.near_groups(documents).where("component_id IS NOT NULL")
+        assert {i for missing, i in found if not missing} == {r.component_id for r in groups.select("component_id").distinct().collect()}
     assert simhash_groups.without_near_duplicates(no_documents).count() == 0
 
 
@@ -137,7 +148,7 @@ def chained_text(text):
 def test_edited_fingerprints(spark, small, odd_documents, no_documents, per_bucket, monkeypatch):
     with_next = fingerprint.with_next
     monkeypatch.setattr(fingerprint, "with_next", lambda d: with_next(d, per_bucket))
-    for documents in (small, odd_documents.where("doc_id IS NULL OR doc_id < 100")):
+    for documents in (small, odd_documents):
         found = fingerprint.edited_fingerprints(documents).collect()
         expected = brute_edits([(r.doc_id, r.text or "") for r in documents.collect()])
         got = Counter((r.doc_id, r.n_chars, r.edited_sha256, unsigned(r.fingerprint), unsigned(r.edited_fingerprint), r.near_edited, r.near_next) for r in found)
@@ -148,6 +159,17 @@ def test_edited_fingerprints(spark, small, odd_documents, no_documents, per_buck
     assert fingerprint.edited_fingerprints(no_documents).count() == 0
 
 
+def test_ranges_are_even_however_ids_are_spread(spark):
+    ids = [*range(3000), 10**12, 10**17, 10**17 + 1, *[1234] * 1500, *[None] * 1500, -5]
+    rows = [(d, f"text {i}") for i, d in enumerate(ids)]
+    documents = spark.createDataFrame(rows, "doc_id long, text string")
+    placed = fingerprint._in_ranges(documents.withColumn("order", F.xxhash64("text")), 100)
+    assert max(r["count"] for r in placed.groupBy("bucket").count().collect()) <= 300
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, votes.signed(chained_text(r[1]))), reverse=True)
+    expected = {text: order[(i + 1) % len(order)][1] for i, (_, text) in enumerate(order)}
+    assert {r.text: r.next_text for r in fingerprint.with_next(documents, 100).collect()} == expected
+
+
 def test_likeness_tells_edits_from_strangers(spark):
     rows = fingerprint.edited_fingerprints(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).collect()
     assert np.mean([r.near_edited for r in rows]) > np.mean([r.near_next for r in rows]) + 0.15
@@ -320,30 +342,3 @@ def test_long_lines_are_compared_by_edits(spark):
         texts += [" ".join(line), " ".join(other)]
     documents = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert {(r.doc_id, r.first_id) for r in line_dedup.repeated_lines(documents).collect()} == expected
-
-
-def kept_ids(spark, texts):
-    documents = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    return sorted(r.doc_id for r in simhash_groups.without_near_duplicates(documents).collect())
-
-
-def test_no_near_duplicate_is_missed(spark):
-    random = np.random.default_rng(3)
-    texts = []
-    for n in [*range(20, 200, 6)] * 3:
-        words = [f"w{random.integers(0, 5000)}" for _ in range(n)]
-        other = list(words)
-        for at in random.integers(0, n, max(1, n // 45)):
-            other[at] = f"v{random.integers(0, 5000)}"
-        texts += [" ".join(words), " ".join(other)]
-    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in map(str.split, texts)]
-    links = [(a, b) for a, b in combinations(range(len(texts)), 2) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
-    assert len(links) > 40
-    assert kept_ids(spark, texts) == sorted(set(groups_of(range(len(texts)), links).values()))
-
-
-def test_near_copies_beside_an_unlike_text_of_the_same_fingerprint(spark):
-    phrase, tails = "alpha beta gamma " * 60, [" ".join(f"t{k}x{i}" for i in range(40)) for k in range(2)]
-    texts = [phrase + tails[0], phrase + tails[1], phrase + tails[1] + "y"]
-    assert len({simhash_groups.shingle_fingerprint(t.encode(), 3) for t in texts}) == 1
-    assert kept_ids(spark, texts) == [0, 1]

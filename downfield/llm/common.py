@@ -16,13 +16,22 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def stored(frame: DataFrame, name: str) -> DataFrame:
+def stored(frame: DataFrame, name: str, compression: str | None = None) -> DataFrame:
     """The frame written as Parquet to the shared folder and read again; later jobs do not depend on its shuffles."""
     path = shared_path(frame.sparkSession, name)
-    frame.write.parquet(path)
+    frame.write.parquet(path, compression=compression)
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
 
 
+def discard(*frames: DataFrame) -> None:
+    """Deletes the files of stored frames. Only for frames that no later job reads, also not to repeat a lost task."""
+    for frame in frames:
+        context = frame.sparkSession.sparkContext
+        for folder in {file.rsplit("/", 1)[0] for file in frame.inputFiles()}:
+            path = context._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

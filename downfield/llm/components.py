@@ -32,12 +32,12 @@ def connected_components(edges: DataFrame, left: str = "a", right: str = "b") ->
     gives no row.
     """
     u, v = F.greatest(left, right), F.least(left, right)
-    current = stored(
-        edges.where(F.col(left).isNotNull() & F.col(right).isNotNull()).select(u.alias("u"), v.alias("v"))
-        .where("u > v").distinct(),
-        "edges",
+    # the edges are worked out once, also those from a node to itself
+    links = stored(
+        edges.where(F.col(left).isNotNull() & F.col(right).isNotNull()).select(u.alias("u"), v.alias("v")).distinct(), "edges"
     )
-    alone = edges.where(F.col(left) == F.col(right)).select(F.col(left).alias("node"), F.col(left).alias("component"))
+    current = links.where("u > v")
+    alone = links.where("u = v").select(F.col("u").alias("node"), F.col("u").alias("component"))
     before = None
     while True:
         seen = Observation()

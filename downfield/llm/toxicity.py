@@ -176,9 +176,13 @@ def fit(documents: DataFrame, labels: DataFrame, settings: Settings = Settings()
 
     rows = own.select("doc_id", "bytes", "_toxic").mapInArrow(run, "doc_id long, toxic int, places binary, shares binary")
     # repeated documents could exceed the sample; the smallest ids and bags of it are taken
-    sample = rows.orderBy("doc_id", "places", "shares").limit(settings.sample).collect()
-    bags = [(np.frombuffer(r.places, np.int32), np.frombuffer(r.shares, np.float32)) for r in sample]
-    return train(bags, np.array([int(r.toxic > 0) for r in sample], np.int64), settings)
+    sample = rows.orderBy("doc_id", "places", "shares").limit(settings.sample).toArrow()
+    # views of the Arrow buffers, so that the driver holds the bags once
+    bags = [
+        (np.frombuffer(places.as_buffer(), np.int32), np.frombuffer(shares.as_buffer(), np.float32))
+        for places, shares in zip(sample.column("places"), sample.column("shares"))
+    ]
+    return train(bags, (sample.column("toxic").to_numpy() > 0).astype(np.int64), settings)
 
 
 def scored(documents: DataFrame, model: Model, keep: Column) -> DataFrame:

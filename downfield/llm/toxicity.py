@@ -81,7 +81,31 @@ def bag(text: str, s: Settings) -> tuple[np.ndarray, np.ndarray]:
     return found.astype(np.int32), (share / share.sum()).astype(np.float32)
 
 
-def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, s: Settings) -> Model:
+class Bags:
+    """Bags that are held compressed and unpacked one at a time."""
+
+    def __init__(self, packed: list[bytes]):
+        self.packed = packed
+
+    @staticmethod
+    def pack(places: np.ndarray, shares: np.ndarray) -> bytes:
+        import zstandard
+
+        steps = np.diff(places.astype(np.int32), prepend=np.int32(0))
+        return zstandard.ZstdCompressor(level=3).compress(steps.tobytes() + shares.astype(np.float32).tobytes())
+
+    def __len__(self) -> int:
+        return len(self.packed)
+
+    def __getitem__(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+        import zstandard
+
+        plain = zstandard.ZstdDecompressor().decompress(self.packed[i])
+        half = len(plain) // 8
+        return np.cumsum(np.frombuffer(plain, np.int32, half), dtype=np.int32), np.frombuffer(plain, np.float32, half, 4 * half)
+
+
+def train(bags: Bags, labels: np.ndarray, s: Settings) -> Model:
     """Vectors and softmax by Adam on the cross entropy; without documents of both classes the base rate."""
     rate = (labels.sum() + 0.5) / (len(labels) + 1)
     if len(bags) == 0 or labels.min() == labels.max():
@@ -106,9 +130,10 @@ def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, s: Sett
         random.shuffle(full)
         for at in range(0, len(full), s.batch):
             own = full[at : at + s.batch]
-            sizes = np.array([len(bags[i][0]) for i in own])
-            places = np.concatenate([bags[i][0] for i in own])
-            shares = np.concatenate([bags[i][1] for i in own]) * scale
+            some = [bags[i] for i in own]
+            sizes = np.array([len(p) for p, _ in some])
+            places = np.concatenate([p for p, _ in some])
+            shares = np.concatenate([w for _, w in some]) * scale
             doc = np.repeat(np.arange(len(own)), sizes)
             starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
             mean = np.add.reduceat(vectors[places] * shares[:, None], starts)
@@ -167,22 +192,14 @@ def fit(documents: DataFrame, labels: DataFrame, settings: Settings = Settings()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [bag(b.as_py().decode("utf-8", "replace"), settings) for b in batch.column(1)]
-            columns = [
-                batch.column(0), batch.column(2), pa.array([p.tobytes() for p, _ in found], pa.binary()),
-                pa.array([w.tobytes() for _, w in found], pa.binary()),
-            ]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "toxic", "places", "shares"])
-
-    rows = own.select("doc_id", "bytes", "_toxic").mapInArrow(run, "doc_id long, toxic int, places binary, shares binary")
+            packed = [Bags.pack(*bag(b.as_py().decode("utf-8", "replace"), settings)) for b in batch.column(1)]
+            columns = [batch.column(0), batch.column(2), pa.array(packed, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "toxic", "bag"])
+
+    rows = own.select("doc_id", "bytes", "_toxic").mapInArrow(run, "doc_id long, toxic int, bag binary")
     # repeated documents could exceed the sample; the smallest ids and bags of it are taken
-    sample = rows.orderBy("doc_id", "places", "shares").limit(settings.sample).toArrow()
-    # views of the Arrow buffers, so that the driver holds the bags once
-    bags = [
-        (np.frombuffer(places.as_buffer(), np.int32), np.frombuffer(shares.as_buffer(), np.float32))
-        for places, shares in zip(sample.column("places"), sample.column("shares"))
-    ]
-    return train(bags, (sample.column("toxic").to_numpy() > 0).astype(np.int64), settings)
+    sample = rows.orderBy("doc_id", "bag").limit(settings.sample).toArrow()
+    return train(Bags(sample.column("bag").to_pylist()), (sample.column("toxic").to_numpy() > 0).astype(np.int64), settings)
 
 
 def scored(documents: DataFrame, model: Model, keep: Column) -> DataFrame:

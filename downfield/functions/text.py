@@ -28,9 +28,9 @@ def _whole(number: str) -> str:
 def with_description(plays: DataFrame, name: str = "enhanced_description") -> DataFrame:
     """Add a text such as `3 & 8 — Q4 — Week 9 2024 (POST): KC vs BAL — PASS — QB: P.Mahomes — … — [Red Zone]`.
 
-    Parts that cannot be built (a column that is missing, NULL or not a number) are left out. The
-    values are cleaned first and put together in further steps, which keeps each step small enough
-    for the JVM to compile.
+    Parts that cannot be built (a column that is missing, NULL or not a number) are left out. The values are
+    cleaned first, as elements of two arrays: Spark does not put such a step into one method with those before and
+    after it, and the JVM compiles only methods of up to 8,000 bytes. The text is put together in further steps.
     """
     present = set(plays.columns)
     missing = ", ".join(f"'{text}'" for text in MISSING_TEXTS)
@@ -39,46 +39,47 @@ def with_description(plays: DataFrame, name: str = "enhanced_description") -> Da
         return f"`{column}`" if column in present else "CAST(NULL AS STRING)"
 
     def text(column: str) -> str:
-        value = f"CAST({raw(column)} AS STRING)"
-        return _when(f"{value} NOT IN ({missing})", value)
+        return f"_texts[{_TEXTS.index(column)}]"
 
     def number(column: str) -> str:
-        return f"nullif(try_cast({raw(column)} AS DOUBLE), double('NaN'))"
+        return f"_numbers[{_NUMBERS.index(column)}]"
 
+    texts = ", ".join(f"CAST({raw(c)} AS STRING)" for c in _TEXTS)
+    numbers = ", ".join(f"try_cast({raw(c)} AS DOUBLE)" for c in _NUMBERS)
     cleaned = plays.selectExpr(
         *[f"`{c}`" for c in plays.columns],
-        *[f"{text(c)} AS _text_{c}" for c in _TEXTS],
-        *[f"{number(c)} AS _number_{c}" for c in _NUMBERS],
+        f"transform(array({texts}), t -> {_when(f't NOT IN ({missing})', 't')}) AS _texts",
+        f"transform(array({numbers}), n -> {_when('NOT isnan(n)', 'n')}) AS _numbers",
     )
-    down = "CAST(_number_down AS BIGINT)"
-    gained = "coalesce(_number_yards_gained, 0)"
+    down = f"CAST({number('down')} AS BIGINT)"
+    gained = f"coalesce({number('yards_gained')}, 0)"
     tags = [
-        _when("_number_yardline_100 <= 20", "'Red Zone'"),
+        _when(f"{number('yardline_100')} <= 20", "'Red Zone'"),
         _when(f"{down} = 3", "'3rd Down'"),
         _when(f"{down} = 4", "'4th Down'"),
-        _when("_number_touchdown = 1", "'TOUCHDOWN'"),
-        _when("_number_interception = 1 OR _number_fumble_lost = 1", "'TURNOVER'"),
+        _when(f"{number('touchdown')} = 1", "'TOUCHDOWN'"),
+        _when(f"{number('interception')} = 1 OR {number('fumble_lost')} = 1", "'TURNOVER'"),
         _when(
-            f"(_number_pass_attempt = 1 AND {gained} >= 20) OR (_number_rush_attempt = 1 AND {gained} >= 10)",
+            f"({number('pass_attempt')} = 1 AND {gained} >= 20) OR ({number('rush_attempt')} = 1 AND {gained} >= 10)",
             "'EXPLOSIVE'",
         ),
-        _when("_text_season_type = 'POST'", "'PLAYOFFS'"),
+        _when(f"{text('season_type')} = 'POST'", "'PLAYOFFS'"),
     ]
     game = (
-        "concat(coalesce(_text_season, ''), ' (', coalesce(_text_season_type, 'REG'), '): ', "
-        "coalesce(_text_posteam, ''), ' vs ', coalesce(_text_defteam, ''))"
+        f"concat(coalesce({text('season')}, ''), ' (', coalesce({text('season_type')}, 'REG'), '): ', "
+        f"coalesce({text('posteam')}, ''), ' vs ', coalesce({text('defteam')}, ''))"
     )
     # concat is NULL as soon as one of its parts is, and concat_ws skips NULL parts.
     grouped = cleaned.selectExpr("*", f"{game} AS _game", f"concat_ws(', ', {', '.join(tags)}) AS _tags")
     parts = [
-        _when("_number_down <> 0", f"concat({_whole('_number_down')}, ' & ', {_whole('_number_ydstogo')})"),
-        _when("_number_qtr <> 0", f"concat('Q', {_whole('_number_qtr')})"),
-        f"coalesce(concat('Week ', {_whole('_number_week')}, ' ', _game), _game)",
-        "upper(_text_play_type)",
-        "concat('QB: ', _text_passer_player_name)",
-        "concat('RB: ', _text_rusher_player_name)",
-        "concat('Receiver: ', _text_receiver_player_name)",
-        "_text_desc",
+        _when(f"{number('down')} <> 0", f"concat({_whole(number('down'))}, ' & ', {_whole(number('ydstogo'))})"),
+        _when(f"{number('qtr')} <> 0", f"concat('Q', {_whole(number('qtr'))})"),
+        f"coalesce(concat('Week ', {_whole(number('week'))}, ' ', _game), _game)",
+        f"upper({text('play_type')})",
+        f"concat('QB: ', {text('passer_player_name')})",
+        f"concat('RB: ', {text('rusher_player_name')})",
+        f"concat('Receiver: ', {text('receiver_player_name')})",
+        text("desc"),
         "concat('[', nullif(_tags, ''), ']')",
     ]
     return grouped.selectExpr(

@@ -119,6 +119,25 @@ def test_play_description_of_sparse_rows(spark):
     assert describe(spark, schema, row) == "2024 (REG):  vs "
 
 
+def test_play_description_stays_within_what_the_jvm_compiles(spark):
+    """HotSpot interprets methods of over 8,000 bytes; a wide step before the description must not fill one with it."""
+    names = [
+        "season", "season_type", "posteam", "defteam", "play_type", "passer_player_name", "rusher_player_name", "receiver_player_name",
+        "desc", "down", "ydstogo", "qtr", "week", "yardline_100", "yards_gained", "touchdown", "interception", "fumble_lost",
+        "pass_attempt", "rush_attempt", *[f"other{i}" for i in range(15)],
+    ]
+    columns = [f"CASE WHEN id % {i + 3} > 0 THEN concat('{c}', CAST(id % {i + 5} AS STRING)) END AS {c}" for i, c in enumerate(names)]
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plays = spark.range(10).selectExpr("*", *columns)
+        code = with_description(plays)._jdf.queryExecution().debug().codegenToSeq()
+        sizes = [code.apply(i)._3().maxMethodCodeSize() for i in range(code.size())]
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    assert sizes and max(sizes) <= 8000
+
+
 def test_counted_and_null_safe_join(spark):
     df = spark.createDataFrame([(1, None), (1, None), (2, "x")], "a int, b string")
     counts = counted(df, "a", "b")

@@ -3,6 +3,7 @@
 import hashlib
 import re
 import struct
+import time
 from collections import Counter, defaultdict
 from itertools import combinations
 
@@ -11,7 +12,7 @@ import pytest
 from xxhash import xxh64_intdigest
 
 from conftest import groups_of
-from downfield.llm import buckets, components, fingerprint, line_dedup, simhash_groups, suffix_dedup, votes
+from downfield.llm import buckets, common, components, fingerprint, line_dedup, simhash_groups, suffix_dedup, votes
 from pyspark.sql import functions as F
 
 
@@ -241,6 +242,24 @@ def test_different_words_never_count_as_equal(spark):
     assert {(r.doc_id, r.first_id) for r in line_dedup.repeated_lines(linked).collect()} == {(1, 0), (2, 0)}
 
 
+def test_stored_tables_leave_no_shuffle_files(spark):
+    """Files of a shuffle go once the table it was for is written, not when the driver collects its garbage."""
+    blocks = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def held():
+        names = {f.rsplit("/", 1)[-1] for f in blocks.getAllFiles().mkString("\n").split("\n")}
+        return {n for n in names if n.startswith("shuffle_")}
+
+    setting, before = spark.conf.get(common.CLEANUP, None), held()
+    table = common.stored(spark.range(1000).groupBy((F.col("id") % 7).alias("key")).count(), "counted")
+    for _ in range(50):
+        if held() <= before:
+            break
+        time.sleep(0.2)
+    assert held() <= before
+    assert table.count() == 7 and spark.conf.get(common.CLEANUP, None) == setting
+
+
 def test_documents_without_repeated_lines(spark, odd_documents, no_documents):
     out = line_dedup.without_repeated_lines(odd_documents)
     assert out.columns == odd_documents.columns

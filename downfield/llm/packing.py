@@ -10,6 +10,7 @@ with the number of documents. Pieces then learn their place from their rank amon
 from __future__ import annotations
 
 import re
+import sys
 import zlib
 from collections.abc import Iterator
 
@@ -81,6 +82,17 @@ class WordTokenizer:
             yield self._whole(text.decode("utf-8", "replace")) if words is None else b"".join(map(take, words))
 
 
+def encoder(path: str) -> WordTokenizer:
+    """The tokenizer of a file, one for each Python process: tasks that follow in a worker go on with the words it knows.
+
+    Tasks get this function by value, so what it keeps is with the interpreter and not in this module.
+    """
+    held = vars(sys).setdefault("_downfield_encoders", {})
+    if path not in held:
+        held[path] = WordTokenizer(path)
+    return held[path]
+
+
 def _portions(values: pa.Array, most_bytes: int = 4 << 20) -> Iterator[tuple[int, list[bytes]]]:
     """Runs of texts of a few MB, with the place of the first."""
     start, held, size = 0, [], 0
@@ -105,13 +117,13 @@ def pieces(documents: DataFrame, tokenizer: str, most_tokens: int, with_ids: boo
         from pyspark import TaskContext
 
         task = TaskContext.get().partitionId()
-        encoder, met = WordTokenizer(tokenizer), np.zeros(most_tokens + 1, np.int64)
+        own_encoder, met = encoder(tokenizer), np.zeros(most_tokens + 1, np.int64)
         end = np.array([END], np.uint32).tobytes()
         for batch in batches:
             ids_of = batch.column(0)
             for first, texts in _portions(batch.column(1)):
                 rows = []
-                for i, ids in enumerate(encoder.encode(texts)):
+                for i, ids in enumerate(own_encoder.encode(texts)):
                     ids += end
                     doc_id = ids_of[first + i].as_py()
                     for k, at in enumerate(range(0, len(ids), 4 * most_tokens)):

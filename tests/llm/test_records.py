@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 
 from check import connect, rows_of
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from downfield.llm import packing, sharding, warc
@@ -111,6 +112,15 @@ def test_packing_is_exact_and_tight(spark):
     assert used <= 1.02 * -(-tokens // 2048)
 
 
+def test_tasks_of_a_worker_share_the_tokenizer():
+    """A task gets its functions by value; the next one in the process goes on with the words the tokenizer knows."""
+    first = packing.encoder(tokenizer_path())
+    ids = list(first.encode([b"a few words", b""]))
+    shipped = cloudpickle.loads(cloudpickle.dumps(packing.encoder))
+    assert shipped is not packing.encoder and shipped(tokenizer_path()) is first and b"words" in first.known
+    assert ids == list(packing.WordTokenizer(tokenizer_path()).encode([b"a few words", b""]))
+
+
 def test_packing_of_odd_documents(spark, odd_documents, no_documents):
     rows = packing.pack(odd_documents, tokenizer_path(), 64).collect()
     check_packing(rows, [(r.doc_id, r.text) for r in odd_documents.collect()], 64)

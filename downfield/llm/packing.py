@@ -28,6 +28,22 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, ids b
 
 _STOP = re.compile(rb"(?<=[a-z])([.,])(?=[ \n]|$)")
 _PIECE_WORD = re.compile(r"[^\W\d_]+")
+_LATIN = rb"(?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+"  # of a to z and the letters from U+00C0 to U+00FF
+_LATIN_WORD = re.compile(_LATIN)
+# no apostrophe, which may belong to the letters after it
+_WORD_AND_SIGNS = re.compile(rb"(" + _LATIN + rb")([!-&(-/:-@\[-`{-~]+)")
+
+
+def _words_only(path: str):
+    """The file's tokenizer for lower-case Latin words between spaces, without the steps that leave these as they are."""
+    from tokenizers import Tokenizer, normalizers, pre_tokenizers
+
+    tokenizer = Tokenizer.from_file(path)
+    tokenizer.normalizer = normalizers.Sequence([])
+    tokenizer.pre_tokenizer = pre_tokenizers.Sequence(
+        [pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)]
+    )
+    return tokenizer
 
 
 class WordTokenizer:
@@ -41,6 +57,7 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.latin = _words_only(path)
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
@@ -50,32 +67,46 @@ class WordTokenizer:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32).tobytes()
 
     def _learn(self, words: list[bytes]) -> None:
-        plain, odd = [], []
+        latin, plain, odd, signed = [], [], [], []
         for w in words:
-            (plain if _PIECE_WORD.fullmatch(t := w.decode("utf-8", "replace")) else odd).append((w, t))
-        for at in range(0, len(plain), 2000):
-            some = plain[at : at + 2000]
-            joined = self.tokenizer.encode_batch_fast([" ".join(t for _, t in some)], add_special_tokens=False)
-            ids = np.array(joined[0].ids, np.uint32)
+            if _LATIN_WORD.fullmatch(w):
+                latin.append(w)
+            elif parts := _WORD_AND_SIGNS.fullmatch(w):
+                signed.append((w, *parts.groups()))
+            else:
+                (plain if _PIECE_WORD.fullmatch(w.decode("utf-8", "replace")) else odd).append(w)
+        odd += self._learn_joined(self.latin, latin) + self._learn_joined(self.tokenizer, plain)
+        for w in odd:
+            self.known[w] = self._whole(w.decode("utf-8", "replace"))
+        if signed:
+            self._learn([p for p in {p for _, *parts in signed for p in parts} if p not in self.known])
+            for w, letters, signs in signed:
+                self.known[w] = self.known[letters] + self.known[signs]
+
+    def _learn_joined(self, tokenizer, words: list[bytes]) -> list[bytes]:
+        """Gives the tokenizer many words at once; returns those it has to be given one by one."""
+        odd = []
+        for at in range(0, len(words), 2000):
+            some = words[at : at + 2000]
+            text = b" ".join(some).decode("utf-8", "replace")
+            text = text.lower() if tokenizer is self.latin else text
+            ids = np.array(tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
             stops = np.flatnonzero(self.ends[ids]) + 1
             if len(stops) != len(some):  # a word fell into several parts
                 odd.extend(some)
                 continue
-            start = 0
-            for (w, _), stop in zip(some, stops.tolist()):
-                self.known[w] = ids[start:stop].tobytes()
+            data, start = ids.tobytes(), 0
+            for w, stop in zip(some, (4 * stops).tolist()):
+                self.known[w] = data[start:stop]
                 start = stop
-        for w, t in odd:
-            self.known[w] = self._whole(t)
+        return odd
 
     def encode(self, texts: list[bytes]) -> Iterator[bytes]:
         """Ids of each text as little-endian unsigned 32-bit numbers."""
         split = [None if b"<|" in t else _STOP.sub(rb" \1", t.lower()).split() for t in texts]
         if len(self.known) > KNOWN_WORDS:
             self.known = {}
-        missing = set()
-        for words in split:
-            missing.update(words or ())
+        missing = set().union(*(words for words in split if words))
         self._learn([w for w in missing if w not in self.known])
         take = self.known.__getitem__
         for text, words in zip(texts, split):

@@ -1,5 +1,6 @@
 """WARC bundles, packing, sharding: exact round trips."""
 
+import random
 import zlib
 from collections import Counter, defaultdict
 
@@ -121,6 +122,22 @@ def test_tasks_of_a_worker_share_the_tokenizer():
     assert ids == list(packing.WordTokenizer(tokenizer_path()).encode([b"a few words", b""]))
 
 
+def test_words_with_signs_need_no_tokenizing_of_their_own():
+    words = packing.WordTokenizer(tokenizer_path())
+    seen, whole = [], words._whole
+    expected = whole("\u00e9t\u00e9, l\u00e0. \u00c9\u00e7, o\u00f9$$$ de $$$")
+    words._whole = lambda text: seen.append(text) or whole(text)
+    text = "\u00e9t\u00e9, l\u00e0. \u00c9\u00e7, o\u00f9$$$ de $$$".encode()
+    assert list(words.encode([text])) == [expected] and sorted(seen) == ["$$$", ",", "."]
+
+
+def test_ids_of_words_of_odd_letters_and_signs():
+    words, chance = packing.WordTokenizer(tokenizer_path()), random.Random(4)
+    letters = "abs\u00e9\u00c9\u00df\u00ff\u0130\u0131\u03a3\u03c3\u03c2\u00b2\u00aa\u00b5\u00d7\ufb01\uac00\u0301_'\u2019.,!$-<>` \t\u00a0"
+    texts = ["".join(chance.choice(letters) for _ in range(chance.randint(1, 12))) for _ in range(3000)]
+    assert list(words.encode([t.encode() for t in texts])) == [words._whole(t) for t in texts]
+
+
 def test_packing_of_odd_documents(spark, odd_documents, no_documents):
     rows = packing.pack(odd_documents, tokenizer_path(), 64).collect()
     check_packing(rows, [(r.doc_id, r.text) for r in odd_documents.collect()], 64)

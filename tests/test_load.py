@@ -2,6 +2,7 @@ import datetime
 import uuid
 
 import pytest
+import samples
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -410,3 +411,25 @@ def test_unused_versions_are_removed(spark, warehouse):
     fresh = Warehouse(spark, warehouse.root)
     assert fresh.read("names").count() == 3 and fresh.read("stats").count() == 2 and fresh.ledger.is_loaded("names")
     assert warehouse.tidy(grace=0) == {"ledger": 0, "schemas": 0, "versions": 0}
+
+
+def test_sample_sources_number_the_lines_once(spark, tmp_path, monkeypatch):
+    folder = "/root/testdata/sf0.001"
+    read, load = [], samples.load
+
+    def noted(session, sf_dir, name, *given):
+        frame = load(session, sf_dir, name, *given)
+        if any(file.endswith("/lineitem.parquet") for file in frame.inputFiles()):
+            read.append(name)
+        return frame
+
+    monkeypatch.setattr(samples, "load", noted)
+    samples.write_sources(spark, folder, str(tmp_path))
+    assert read == ["b"]
+    for dataset, table in (("pbp", "plays"), ("ff_opportunity", "ff_opportunity"), ("injuries", "injuries")):
+        expected = load(spark, folder, table)
+        written = spark.read.parquet(f"{tmp_path}/{dataset}").select(
+            *[F.col(f"`{f.name}`").cast(f.dataType) for f in expected.schema]
+        )
+        assert written.count() == expected.count() > 0
+        assert written.exceptAll(expected).count() == 0

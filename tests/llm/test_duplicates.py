@@ -361,3 +361,12 @@ def test_long_lines_are_compared_by_edits(spark):
         texts += [" ".join(line), " ".join(other)]
     documents = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert {(r.doc_id, r.first_id) for r in line_dedup.repeated_lines(documents).collect()} == expected
+
+
+def test_words_of_lines_are_stored_as_text_and_buckets_with_their_hub(spark, monkeypatch):
+    kept, store = {}, line_dedup.stored
+    monkeypatch.setattr(line_dedup, "stored", lambda frame, name, *more: kept.setdefault(name, frame.columns) and store(frame, name, *more))
+    text = "one two three four five six seven eight nine ten"
+    documents = spark.createDataFrame([(1, text), (2, text + " eleven"), (2, text + " eleven")], "doc_id long, text string")
+    assert [(r.doc_id, r.first_id) for r in line_dedup.repeated_lines(documents).collect()] == [(2, 1)]
+    assert kept["words"] == ["node", "n", "kinds", "norm"] and kept["met"] == ["bucket", "node", "n", "hub"]

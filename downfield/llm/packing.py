@@ -26,7 +26,7 @@ KNOWN_WORDS = 500_000  # words a task remembers the ids of
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary, task int, slot long"
 
-_STOP = re.compile(rb"(?<=[a-z])([.,])(?=[ \n]|$)")
+_STOP = re.compile(rb"([.,])(?=[ \n]|$)(?<=[a-z].)")  # the sign first: most places fail at once
 _PIECE_WORD = re.compile(r"[^\W\d_]+")
 _LATIN = rb"(?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+"  # of a to z and the letters from U+00C0 to U+00FF
 _LATIN_WORD = re.compile(_LATIN)
@@ -191,17 +191,21 @@ def fit_counts(found: list[tuple[int, ...]], histogram: np.ndarray, sweeps: int
     """
     left = [float(v) for v in histogram]
     x = [0.0] * len(found)
-    uses = [{n: p.count(n) for n in p} for p in found]
-    weight = [sum(m * m for m in u.values()) for u in uses]
+    # few patterns have a length twice; the others need no counts, which would take most of the driver's memory here
+    twice = {i: {n: p.count(n) for n in p} for i, p in enumerate(found) if len(set(p)) < len(p)}
     for _ in range(sweeps):
         most = 0.0
-        for i, own in enumerate(uses):
-            pull = sum(m * left[n] for n, m in own.items()) / weight[i]
+        for i, p in enumerate(found):
+            own = twice.get(i)
+            if own is None:
+                pull = sum([left[n] for n in p]) / len(p)
+            else:
+                pull = sum(m * left[n] for n, m in own.items()) / sum(m * m for m in own.values())
             move = max(pull, -x[i])
             if move > 1e-3 or move < -1e-3:
                 x[i] += move
                 most = max(most, abs(move))
-                for n, m in own.items():
+                for n, m in own.items() if own else ((n, 1) for n in p):
                     left[n] -= m * move
         if most < 0.25:
             break

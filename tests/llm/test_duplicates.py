@@ -370,3 +370,20 @@ def test_words_of_lines_are_stored_as_text_and_buckets_with_their_hub(spark, mon
     documents = spark.createDataFrame([(1, text), (2, text + " eleven"), (2, text + " eleven")], "doc_id long, text string")
     assert [(r.doc_id, r.first_id) for r in line_dedup.repeated_lines(documents).collect()] == [(2, 1)]
     assert kept["words"] == ["node", "n", "kinds", "norm"] and kept["met"] == ["bucket", "node", "n", "hub"]
+
+
+def test_lines_that_share_pairs_of_words_alone_rarely_meet(spark, monkeypatch):
+    """Buckets of pairs held most of these lines with others; their number grew with the square of the lines."""
+    random, kept, store = np.random.default_rng(5), {}, line_dedup.stored
+
+    def keep(frame, name, *more):
+        out = store(frame, name, *more)
+        kept.setdefault(name, out)
+        return out
+
+    monkeypatch.setattr(line_dedup, "stored", keep)
+    monkeypatch.setattr(line_dedup, "discard", lambda *frames: None)
+    lines = [" ".join(f"left{i} right{i}" for i in random.choice(200, 10, replace=False)) for _ in range(200)]
+    documents = spark.createDataFrame([*enumerate(lines), (200, lines[0] + " more")], "doc_id long, text string")
+    assert [(r.doc_id, r.first_id) for r in line_dedup.repeated_lines(documents).collect()] == [(200, 0)]
+    assert kept["met"].count() < 400 and kept["words"].count() < 201

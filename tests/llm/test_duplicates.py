@@ -387,3 +387,62 @@ def test_lines_that_share_pairs_of_words_alone_rarely_meet(spark, monkeypatch):
     documents = spark.createDataFrame([*enumerate(lines), (200, lines[0] + " more")], "doc_id long, text string")
     assert [(r.doc_id, r.first_id) for r in line_dedup.repeated_lines(documents).collect()] == [(200, 0)]
     assert kept["met"].count() < 400 and kept["words"].count() < 201
+
+
+def kept_tables(monkeypatch):
+    """What line dedup stores, by name, in the order of storing; nothing is deleted."""
+    kept, store = defaultdict(list), line_dedup.stored
+
+    def keep(frame, name, *more):
+        kept[name].append(store(frame, name, *more))
+        return kept[name][-1]
+
+    monkeypatch.setattr(line_dedup, "stored", keep)
+    monkeypatch.setattr(line_dedup, "discard", lambda *frames: None)
+    return kept
+
+
+def test_buckets_are_searched_in_parts_and_those_with_the_same_lines_become_one(spark, monkeypatch):
+    """All members of all buckets were shuffled at once, and each bucket of a group of near copies was kept."""
+    kept = kept_tables(monkeypatch)
+    base = [f"word{i}" for i in range(40)]
+    texts = [" ".join([*base[:-1], f"last{i}"]) for i in range(10)]
+    documents = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = line_dedup.repeated_lines(documents).collect()
+    assert sorted((r.doc_id, r.first_id) for r in found) == [(i, 0) for i in range(1, 10)]
+    rows = [part.count() for part in kept["met"]]
+    assert len(rows) == line_dedup.PARTS and all(rows) and kept["sets"][0].count() == 10
+    assert kept["sets"][0].groupBy("node").sum("weight").first()[1] == sum(rows) / 10
+
+
+def test_lines_that_share_one_passage_are_not_compared(spark, monkeypatch):
+    """Lines of one bucket were joined with their kinds of words however few buckets they shared."""
+    kept = kept_tables(monkeypatch)
+    lines = [" ".join([*[f"left{i}x{k}" for k in range(30)], "some longish passage", *[f"right{i}x{k}" for k in range(30)]]) for i in range(40)]
+    documents = spark.createDataFrame([*enumerate(lines), (40, lines[0] + " more")], "doc_id long, text string")
+    assert [(r.doc_id, r.first_id) for r in line_dedup.repeated_lines(documents).collect()] == [(40, 0)]
+    assert sum(part.count() for part in kept["met"]) > 40 and kept["words"][0].count() == 2
+    assert [(r.a, r.b) for r in kept["first"][0].collect()] == [(r.a, r.b) for r in kept["pairs"][0].collect()]
+    assert kept["first"][0].count() == 1 and kept["pairs"][1].count() == 0
+
+
+def test_similar_lines_of_repeated_words_are_found(spark):
+    """Repeated runs count singly, and more buckets are asked for of long lines; no similar line may be missed."""
+    random = np.random.default_rng(13)
+    pairs = []
+    for n in (5, 6, 9, 10, 14, 15, 20, 25, 39, 40, 60, 80, 120, 200, 320):
+        for words, most in ((4, 6), (12, 1), (12, 9), (400, 1)):
+            line = []
+            while len(line) < n:
+                line += [f"q{n}w{random.integers(0, words)}"] * int(random.integers(1, most + 1))
+            line, other = line[:n], list(line[:n])
+            for k, at in enumerate(random.choice(n, n // 5, replace=False)):
+                other[at] = f"new{k}" if random.integers(0, 2) else line[int(random.integers(0, n))]
+            pairs.append((" ".join(line), " ".join(other)))
+    pairs += [(a, " ".join(a.split(" ") + ["x"] * (len(a.split(" ")) // 4))) for a, _ in pairs]  # the longer one has a fifth more
+    documents = spark.createDataFrame([(i, "\n".join(p)) for i, p in enumerate(pairs)], "doc_id long, text string")
+    found = {(r.doc_id, r.place) for r in line_dedup.repeated_lines(documents).collect()}
+    assert {(i, 1) for i in range(len(pairs))} <= found
+    few = documents.where(F.length("text") < 400)
+    found = {(r.doc_id, r.place, r.first_id, r.first_place) for r in line_dedup.repeated_lines(few).collect()}
+    assert found == all_pair_lines([(r.doc_id, r.text) for r in few.collect()], 1)
